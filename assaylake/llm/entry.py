@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.llm import bpe, licenses, quality, secrets, warc, wordpiece
+from assaylake.llm import bpe, licenses, ngram_join, quality, secrets, warc, wordpiece
 from assaylake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -35,7 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op6_ngram_jaccard_join, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

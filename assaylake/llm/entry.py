@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.llm import bpe, licenses, ngram_join, quality, secrets, warc, wordpiece
+from assaylake.llm import ann, bpe, licenses, ngram_join, quality, secrets, warc, wordpiece
 from assaylake.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -39,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op6_ngram_jaccard_join, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op6_ngram_jaccard_join, op7_learned_partitions, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

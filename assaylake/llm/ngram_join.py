@@ -41,7 +41,7 @@ class Shingler:
     def __init__(self, words: int):
         import xxhash
 
-        self.n, self.word = words, Bounded(xxhash.xxh3_64_intdigest)
+        self.n, self.word = words, Bounded(xxhash.xxh3_64_intdigest, 200_000)
 
     def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All shingles of the texts with repeats, and the index of each one's text."""
@@ -88,7 +88,7 @@ def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
     def run(batches):
         shingler, part, seq = Shingler(words), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in slices(whole, "text", 24 << 20):
+            for b in slices(whole, "text", 8 << 20):
                 block = part << 24 | seq
                 seq += 1
                 h, d = shingler.block(byte_column(b, "text"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaylake.llm import ann, bpe, licenses, ngram_join, quality, secrets, warc, wordpiece
+from assaylake.llm import ann, bpe, grammar, licenses, ngram_join, packing, quality, secrets, warc, wordpiece
 from assaylake.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_grammar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.shard_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op5_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op6_ngram_jaccard_join, op7_learned_partitions, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op4_grammar_shards, op5_bin_slack_packing, op6_ngram_jaccard_join, op7_learned_partitions, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

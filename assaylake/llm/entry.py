@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from assaylake.llm import ann, bpe, grammar, licenses, ngram_join, packing, quality, secrets, warc, wordpiece
 from assaylake.llm.common import table
 
@@ -51,8 +52,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op4_grammar_shards, op5_bin_slack_packing, op6_ngram_jaccard_join, op7_learned_partitions, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
+    own = {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op4_grammar_shards, op5_bin_slack_packing, op6_ngram_jaccard_join, op7_learned_partitions, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_round_trip": warc.ORACLE_SQL}
+    known = {"op8_warc_round_trip": warc.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in known.items() if v}

@@ -294,7 +294,11 @@ def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
 
 
 def keep_first_of_each(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """The documents of which ``doc_id`` is its component's smallest, with all their columns; one row for each."""
+    """The documents of which ``doc_id`` is its component's smallest, with all their columns.
+
+    Rows that repeat both doc_id and text are one; rows without a doc_id stay.
+    """
     joined = join_documents(docs, words, percent)
     gone = joined.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return known.unionByName(docs.filter("doc_id is null"))

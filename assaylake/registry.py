@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("rollup",)
+
+
+def _all() -> dict:
+    return {name: pair for m in MODULES for name, pair in import_module(f"assaylake.plans.{m}").QUERIES.items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: pair[0] for name, pair in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: pair[1] for name, pair in _all().items() if pair[1]}

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rollup",)
+MODULES = ("rollup", "statistics", "scorecard")
 
 
 def _all() -> dict:

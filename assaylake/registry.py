@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rollup", "statistics", "scorecard")
+MODULES = ("rollup", "statistics", "scorecard", "consensus", "history")
 
 
 def _all() -> dict:

@@ -105,9 +105,6 @@ class Scanner:
         found: list[list[int]] = []
         need = (math.log2(w) - c.threshold) * w  # entropy = log2(w) - sum(c log2 c) / w
         for i, x in enumerate(s):
-            n = counts.get(x, 0)
-            total += term[n + 1] - term[n]
-            counts[x] = n + 1
             if i >= w:
                 y = s[i - w]
                 n = counts[y]
@@ -116,6 +113,9 @@ class Scanner:
                     del counts[y]
                 else:
                     counts[y] = n - 1
+            n = counts.get(x, 0)
+            total += term[n + 1] - term[n]
+            counts[x] = n + 1
             if i >= w - 1 and total <= need + 1e-9 and self._kinds(counts) >= c.mixed:
                 a = i - w + 1
                 if found and a <= found[-1][1]:

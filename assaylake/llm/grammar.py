@@ -22,24 +22,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import partitions, shared_folder, slices, text_column
+from assaylake.llm.common import partitions, shared_folder, slices, text_column, written
 
 END = 0
 ROUNDS, RARE = 8, 16
 _SHARD = "shard long, n_ids long, doc_ids binary, known binary, counts binary, places binary, first int, rules binary, lengths binary, low binary, high binary"
 
 
-def _frequent(a: np.ndarray, b: np.ndarray, ok: np.ndarray, least: int) -> np.ndarray:
-    """Codes of pairs that occur at least ``least`` times: hashed counts first, then exact ones of what is left."""
-    code = (a << 32 | b)[ok]
-    bucket = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
-    heavy = np.bincount(bucket, minlength=1 << 22) >= least
-    few = np.sort(code[heavy[bucket]])
+def _frequent(code: np.ndarray, inner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that occur at least ``least`` times, and the positions where they may stand: hashed counts first, then exact ones of what is left."""
+    bucket = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    bucket[~inner] = 1 << 20
+    heavy = np.bincount(bucket, minlength=(1 << 20) + 1) >= least
+    heavy[1 << 20] = False
+    at = np.flatnonzero(heavy[bucket])
+    few = np.sort(code[at])
     if not len(few):
-        return few
+        return few, at
     lead = np.flatnonzero(np.append(True, few[1:] != few[:-1]))
     count = np.diff(np.append(lead, len(few)))
-    return few[lead[count >= least]]
+    return few[lead[count >= least]], at
 
 
 def compress(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,20 +50,20 @@ def compress(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray,
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        inner = ~mark[:-1]
-        pairs = _frequent(seq[:-1], seq[1:], inner, max(RARE, len(seq) >> 14))
+        code = seq[:-1] << 32 | seq[1:]
+        pairs, may = _frequent(code, ~mark[:-1], max(RARE, len(seq) >> 14))
         if not len(pairs):
             break
-        code = seq[:-1] << 32 | seq[1:]
-        at = np.searchsorted(pairs, code)
-        at[at == len(pairs)] = 0
-        hit = np.flatnonzero((pairs[at] == code) & inner)
+        at = np.minimum(np.searchsorted(pairs, code[may]), len(pairs) - 1)
+        right = pairs[at] == code[may]
+        hit, rule = may[right], at[right]
         run = np.append(True, np.diff(hit) > 1)  # of hits that follow each other every second one is taken
         head = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - head) % 2 == 0]
+        even = (np.arange(len(hit)) - head) % 2 == 0
+        hit, rule = hit[even], rule[even]
         base = first + sum(len(r) for r in rules)
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
-        seq[hit] = base + at[hit]
+        seq[hit] = base + rule
         mark[hit] = mark[hit + 1]
         kept = np.ones(len(seq), bool)
         kept[hit + 1] = False
@@ -103,15 +105,30 @@ class Shard:
     def size(self, symbols: np.ndarray) -> np.ndarray:
         return np.where(symbols < self.first, 1, self.lengths[np.maximum(symbols - self.first, 0)]) if len(self.rules) else np.ones(len(symbols), np.int64)
 
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of every symbol one after the other, each symbol's start there, and its number of ids."""
+        size = np.append(np.ones(self.first, np.int64), self.lengths)
+        start = np.cumsum(size) - size
+        flat = np.arange(int(size.sum()))
+        done = 0
+        while done < len(self.rules):  # rules that refer to ids and to what is spelled already
+            stop = done + int((self.rules[done:].max(1) >= self.first + done).argmax()) if (self.rules[done:] >= self.first + done).any() else len(self.rules)
+            for side in (0, 1):
+                part = self.rules[done:stop, side]
+                n = size[part]
+                to = start[self.first + done : self.first + stop] + (size[self.rules[done:stop, 0]] if side else 0)
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                flat[np.repeat(to, n) + at] = flat[np.repeat(start[part], n) + at]
+            done = stop
+        return flat.astype("<u4"), start, size
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(self.rules) and (big := symbols >= self.first).any():
-            at = np.cumsum(1 + big) - (1 + big)
-            out = np.empty(len(symbols) + int(big.sum()), np.int64)
-            out[at[~big]] = symbols[~big]
-            pair = self.rules[symbols[big] - self.first]
-            out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+        if not hasattr(self, "spelling"):
+            self.spelling = self.spelled()
+        flat, start, size = self.spelling
+        n = size[symbols]
+        ends = np.cumsum(n)
+        return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[symbols] - (ends - n), n)]
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the shard, from the symbols that overlap them."""
@@ -168,7 +185,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, block: i
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """The shards with the number of ids of all shards before each."""
     shards = spark.read.schema(_SHARD).parquet(folder)
-    before = shards.select("shard", F.expr("sum(n_ids) over (order by shard rows between unbounded preceding and current row) - n_ids").alias("base"))
+    before = written(shards.select("shard", F.expr("sum(n_ids) over (order by shard rows between unbounded preceding and current row) - n_ids").alias("base")), "bases")
     return shards.join(before, "shard")
 
 

@@ -5,9 +5,10 @@ distinct shingles once, as packed bytes; each fragment counts, for every documen
 in another document too; the counts are summed per document over the fragments. A document with fewer shared shingles
 than the similarity asks for has no partner and is done. This drops common passages, which alone never fill a document.
 
-Of the rest, equal sets are one class with its smallest doc_id as representative. Representatives that share a shingle
-of their prefixes (the lowest part of the order, which similar sets must share) fall into one group: linear in the
-prefixes, as each shingle ties its documents to one of them. Within a group the overlaps of pairs are counted from
+Of the rest, equal sets are one class with its smallest doc_id as representative. Shingles are counted once more among
+the representatives; those that still share enough are put in groups: sets that share a shingle of their prefixes (their
+rarest shingles, of which similar sets must share one) belong together. That is linear in the prefixes, as each shingle
+ties its documents to one of them, and common passages come last in the order. Within a group the overlaps of pairs are counted from
 posting lists, fragment by fragment of the order, and summed per pair; a group beyond a bounded size is dealt out as
 pairs of blocks, so no task holds a whole group. Tasks return a forest of the links that they find, never all pairs.
 
@@ -32,7 +33,7 @@ from assaylake.llm.graph import UnionFind, components
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW = 5  # bytes of a shingle's hash that a fragment gets; the fragment itself stands for the upper ones
 #: Bounds of a task of the pair stage.
-BLOCK_DOCS, BLOCK_SHINGLES = 3000, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 2000, 400_000
 
 
 class Shingler:
@@ -194,20 +195,31 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, shingles binary")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id, shingle: of n shingles the lowest n - ceil(n * percent / 100) + 1, of which similar sets share one."""
+def _exploded(sets: DataFrame) -> DataFrame:
+    """doc_id, shingle of every set."""
 
     def run(batches):
-        for b in batches:
-            ids, keys = [], []
-            for doc, n, x in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("shingles").to_pylist()):
-                k = n - -(-n * percent // 100) + 1
-                keys.append(np.frombuffer(x, "<i8", k))
-                ids.append(np.full(k, doc, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], ["doc_id", "shingle"])
-
-    return sets.mapInArrow(run, "doc_id long, shingle long")
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                b = whole.slice(i, 500)
+                keys = [np.frombuffer(x, "<i8") for x in b.column("shingles").to_pylist()]
+                ids = np.repeat(b.column("doc_id").to_numpy(), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], ["doc_id", "shingle"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, shingle long")
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, shingle: of n shingles, rarest first, the n - ceil(n * percent / 100) + 1 of which similar sets share one.
+
+    Shingles of one set alone match nothing and are only counted; sets that share too few of theirs have no partner.
+    """
+    rows = _exploded(sets)
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = rows.join(common, "shingle").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "shingle"))).alias("shared"))
+    alive = sets.select("doc_id", "n").join(shared, "doc_id").filter(100 * F.size("shared") >= percent * F.col("n"))
+    length = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    return alive.select("doc_id", F.explode(F.slice("shared", 1, length)).alias("x")).select("doc_id", "x.shingle")
 
 
 def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int, pieces: int = 8) -> list[tuple[int, int]]:

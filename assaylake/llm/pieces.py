@@ -35,6 +35,19 @@ class PieceTable:
         self.flat = np.zeros(0, np.uint32)
         self.count = np.zeros(0, np.int64)
         self.odd = np.zeros(0, bool)
+        self.seen = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that came more than once; all go if these are still too many."""
+        keep = self.seen > 1
+        if keep.sum() * 2 > self.most:
+            return self._clear()
+        start = np.cumsum(self.count) - self.count
+        size = self.count[keep]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[keep] - (ends - size), size)]
+        self.count, self.odd, self.seen = size, self.odd[keep] if self.spaced else self.odd, np.ones(len(size), np.int64)
+        self.numbers = _Numbers(zip((p for p, k in zip(self.numbers, keep.tolist()) if k), range(len(size))))
 
     def cut(self, text: str) -> list[str]:
         if self.spaced:  # a piece that starts with a line feed has no space before it
@@ -44,7 +57,7 @@ class PieceTable:
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, and where each text's ids start (with the end)."""
         if len(self.numbers) > self.most:
-            self._clear()
+            self._forget()
         known, number = len(self.numbers), self.numbers.__getitem__
         codes, heads, hard = [], [], []
         for i, t in enumerate(texts):
@@ -53,6 +66,7 @@ class PieceTable:
             heads.append(head)
             hard.append(self.spaced and bool(rest) and (not head or head[-1].isspace()))
         new = list(self.numbers)[known:]
+        self.seen = np.bincount(np.concatenate([*codes, np.zeros(0, np.int64)]), minlength=len(self.numbers)) + np.append(self.seen, np.zeros(len(new), np.int64))
         if self.spaced:
             odd = np.array([not p or p[-1].isspace() for p in new], bool)  # the words on both sides may share this white space
             self.odd = np.concatenate([self.odd, odd])

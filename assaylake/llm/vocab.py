@@ -7,6 +7,8 @@ here, by the tokenizer's own pattern; all others, and those with a special token
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -45,20 +47,21 @@ class LibraryWords:
         code, lengths, other = [], [], []
         find, number, lower = self.find, numbers.setdefault, self.lower
         for i, s in enumerate(strings):
-            if _PLAIN(s) and "<|" not in s:
-                words = find(s.lower() if lower else s)
+            if (s.isascii() or _PLAIN(s)) and "<|" not in s:
+                if lower:
+                    s = s.lower()
+                # a word of letters, with the space before it if that counts, is one match of the pattern
+                words = (s,) if (s[1:] if s[:1] == " " else s).isalpha() and (not lower or s[0] != " ") else find(s)
                 lengths.append(len(words))
                 code += [number(w, len(numbers)) for w in words]
             else:
                 other.append(i)
                 lengths.append(1)
                 code.append(-len(other))
-        model, ids = self.model, []
-        for w in numbers:
-            ids.append([t.id for t in model(w.encode().decode("latin-1").translate(_LETTERS))])
+        ids = [[t.id for t in x] for x in map(self.model, [w.encode().decode("latin-1").translate(_LETTERS) for w in numbers])]
         ids += [x.ids for i in range(0, len(other), 64) for x in self.tokenizer.encode_batch([strings[j] for j in other[i : i + 64]], add_special_tokens=False)]
         count = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((t for x in ids for t in x), np.int64, int(count.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum()))
         code = np.array(code, np.int64)
         code = np.where(code < 0, len(numbers) - 1 - code, code)
         size = count[code] if len(code) else np.zeros(0, np.int64)
@@ -67,15 +70,17 @@ class LibraryWords:
         return out, np.diff(np.append(0, ends)[np.append(0, np.cumsum(lengths)).astype(np.int64)])
 
 
+@lru_cache(maxsize=1)
 def byte_level(path: str | None = None) -> PieceTable:
-    """For byte_bpe_50k.json and files of its kind."""
+    """For byte_bpe_50k.json and files of its kind. One table serves all tasks of a worker."""
     import public_tokenizers
 
-    return PieceTable(LibraryWords(path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, lower=False), spaced=True)
+    return PieceTable(LibraryWords(path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, lower=False), spaced=True, most=700_000)
 
 
+@lru_cache(maxsize=1)
 def word_level(path: str | None = None) -> PieceTable:
-    """For word_bpe_49k.json and files of its kind: lower case, white space dropped."""
+    """For word_bpe_49k.json and files of its kind: lower case, white space dropped. One table serves all tasks of a worker."""
     import public_tokenizers
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"

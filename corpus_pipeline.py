@@ -9,25 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assaylake.llm import ngram_join, packing, quality, secrets
-from assaylake.llm.common import table, written
+from assaylake.llm.common import ship, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents that with the smallest doc_id stays."""
+    ship(spark)
     return ngram_join.keep_first_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays."""
+    ship(spark)
     return secrets.redact_secrets(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack_documents(docs)
 
 

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rollup", "statistics", "scorecard", "consensus", "history", "text", "streams")
+MODULES = ("rollup", "statistics", "scorecard", "consensus", "history", "text", "records", "streams")
 
 
 def _all() -> dict:

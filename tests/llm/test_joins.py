@@ -90,13 +90,13 @@ def test_linked_pairs_with_long_sets():
 
 def test_components(spark):
     rng = random.Random(6)
-    edges = [(i, i + 1) for i in range(0, 50)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(7, 7)]
+    edges = [(i, i + 1) for i in range(0, 50)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(40)] + [(7, 7), (130, 130), (130, 131)]
     found = graph.UnionFind()
     for a, b in edges:
         if a != b:
             found.union(a, b)
     got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5))
-    assert {r["node"]: r["component"] for r in got.collect()} == {x: found.find(x) for x in found.parent}
+    assert {r["node"]: r["component"] for r in got.collect()} == {x: found.find(x) for e in edges for x in e}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -142,7 +142,7 @@ class Shard:
         return self.expand(self.symbols[self.places[i] : self.places[i + 1]])
 
 
-def write_shards(docs: DataFrame, folder: str, path: str | None = None, block: int = 16 << 20) -> None:
+def write_shards(docs: DataFrame, folder: str, path: str | None = None, block: int = 12 << 20) -> None:
     """Encodes the documents and writes their shards, shard numbers ascending with doc_id."""
 
     def run(batches):

@@ -122,7 +122,7 @@ def tokenize(docs: DataFrame, path: str | None, capacity: int, salts: int) -> Da
         table, part, seq, own = word_level(path), TaskContext.get().partitionId(), 0, 0
         small = table.encode.tokenizer.get_vocab_size() <= 1 << 16
         for whole in batches:
-            for b in slices(whole, "text", 16 << 20):
+            for b in slices(whole, "text", 12 << 20):
                 flat, ends = table.block(text_column(b, "text"))
                 flat = np.insert(flat, ends[1:], END).astype("<u4")
                 stops = ends[1:] + np.arange(1, b.num_rows + 1)

@@ -6,6 +6,7 @@ numbered and encoded once, and the texts' ids are gathered from the pieces' ids
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -24,9 +25,6 @@ class PieceTable:
     """Ids of texts by pieces. ``spaced``: a piece is encoded with the space before it; else white space means nothing."""
 
     def __init__(self, encode: Encode, spaced: bool, most: int = 500_000):
-        import gc
-
-        gc.disable()  # the table holds many strings and no cycles
         self.encode, self.spaced, self.most = encode, spaced, most
         self._clear()
 
@@ -56,6 +54,13 @@ class PieceTable:
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, and where each text's ids start (with the end)."""
+        gc.disable()  # a block makes many small objects and no cycles
+        try:
+            return self._block(texts)
+        finally:
+            gc.enable()
+
+    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.numbers) > self.most:
             self._forget()
         known, number = len(self.numbers), self.numbers.__getitem__

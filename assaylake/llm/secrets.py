@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import map_blocks, text_column
+from assaylake.llm.common import map_blocks, slices, text_column
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
@@ -174,7 +174,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         scanner = Scanner()
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, "text")):
             old = b.column("text").to_pylist()
             new = [x if x is None else redact(x, scanner) for x in old]
             b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(new, b.schema.field("text").type))

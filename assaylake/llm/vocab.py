@@ -75,12 +75,11 @@ def byte_level(path: str | None = None) -> PieceTable:
     """For byte_bpe_50k.json and files of its kind. One table serves all tasks of a worker."""
     import public_tokenizers
 
-    return PieceTable(LibraryWords(path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, lower=False), spaced=True, most=700_000)
+    return PieceTable(LibraryWords(path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, lower=False), spaced=True, most=600_000)
 
 
-@lru_cache(maxsize=1)
 def word_level(path: str | None = None) -> PieceTable:
-    """For word_bpe_49k.json and files of its kind: lower case, white space dropped. One table serves all tasks of a worker."""
+    """For word_bpe_49k.json and files of its kind: lower case, white space dropped."""
     import public_tokenizers
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"

@@ -281,7 +281,7 @@ def join_links(sets: DataFrame, percent: int) -> DataFrame:
     hubs = prefixes.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     ties = prefixes.join(hubs, "shingle").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     groups = written(components(ties), "groups")
-    placed = sets.join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+    placed = sets.join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
     sizes = sizes.select("component", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = placed.join(sizes, "component").withColumn("own_block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -295,10 +295,10 @@ def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     docs = _prepare(docs)
     counted = written(count_shared(docs, words), "shared")
     alive = counted.filter(f"doc_id is not null and n_shingles > 0 and 100 * shared >= {percent} * n_shingles").select("doc_id").distinct()
-    sets = written(_sets(docs.join(alive, "doc_id", "left_semi"), words), "sets")
+    sets = written(_sets(docs.join(alive.hint("merge"), "doc_id", "left_semi"), words), "sets")
     known = sets.select("doc_id", "digest", "n").filter("n > 0")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "shingles")
+    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "digest").hint("merge"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "shingles")
     links = join_links(reps, percent)
     members = known.join(classes, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(members)).withColumnRenamed("node", "doc_id")
@@ -312,5 +312,5 @@ def keep_first_of_each(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     """
     joined = join_documents(docs, words, percent)
     gone = joined.filter("doc_id <> component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    known = docs.filter("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
     return known.unionByName(docs.filter("doc_id is null"))

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Every step is a join and an aggregation over edges; partitions first replace their own edges by a forest. Steps are
-written to the shared folder, so neither lineage nor the driver grows with the graph.
+Every step is a join and an aggregation over edges; partitions first replace their own edges by a forest. The edges of a
+node with a large share of them all are not gathered in one task (``join_hot``). Steps are written to the shared folder,
+so neither lineage nor the driver grows with the graph.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import written
+from assaylake.llm.common import join_hot, written
 
 
 class UnionFind:
@@ -58,16 +59,16 @@ def _forest(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long").filter("a <> b")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k")).select("a", F.least("a", "m").alias("m"), "k")
+    return join_hot(both, least, "a", "k", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    kept = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+    kept = join_hot(down, least, "a", "k", total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return kept.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -79,6 +80,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
-        now = written(_forest(_small_star(_large_star(now)).distinct()), "edges")
+        now = written(_forest(_small_star(_large_star(now, state[0]), state[0]).distinct()), "edges")
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

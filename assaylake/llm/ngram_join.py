@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import Bounded, byte_column, partitions, slices, written
+from assaylake.llm.common import Bounded, byte_column, join_hot, partitions, slices, written
 from assaylake.llm.graph import UnionFind, components
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -279,12 +279,13 @@ def join_links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links among distinct sets (doc_id, n, shingles), enough to connect all that are linked."""
     prefixes = written(_prefixes(sets, percent), "prefixes")
     hubs = prefixes.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    ties = prefixes.join(hubs, "shingle").filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    ties = join_hot(prefixes, hubs, "shingle", "k", prefixes.count()).filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     groups = written(components(ties), "groups")
-    placed = sets.join(groups.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
+    placed = groups.withColumnRenamed("node", "doc_id").hint("merge").join(sets.select("doc_id", "n"), "doc_id")
     sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
-    sizes = sizes.select("component", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, "component").withColumn("own_block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = sizes.select("component", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = join_hot(placed, sizes, "component", "docs", groups.count()).withColumn("own_block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.hint("merge").join(sets.select("doc_id", "shingles"), "doc_id")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), "doc_id", "own_block", "shingles")
     return dealt.groupBy("component", "i", "j").applyInArrow(_link_blocks(percent), "a long, b long")
@@ -297,10 +298,10 @@ def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     alive = counted.filter(f"doc_id is not null and n_shingles > 0 and 100 * shared >= {percent} * n_shingles").select("doc_id").distinct()
     sets = written(_sets(docs.join(alive.hint("merge"), "doc_id", "left_semi"), words), "sets")
     known = sets.select("doc_id", "digest", "n").filter("n > 0")
-    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")), "classes")
     reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "digest").hint("merge"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "shingles")
     links = join_links(reps, percent)
-    members = known.join(classes, "digest").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    members = join_hot(known, classes, "digest", "k", known.count()).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(members)).withColumnRenamed("node", "doc_id")
     return counted.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,6 +70,28 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Hands memory that is free back to the system; Arrow's pool and the C library keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """A function over batches that releases memory at its end, as a worker goes on to other stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     return [b"" if x is None else x for x in batch.column(name).cast(pa.binary()).to_pylist()]
@@ -88,9 +113,11 @@ def slices(batch: pa.RecordBatch, name: str, most: int = 8 << 20) -> Iterator[pa
     for i in range(n):
         if total and total + sizes[i] > most:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()
             start, total = i, 0
         total += int(sizes[i])
     yield batch.slice(start, n - start)
+    pa.default_memory_pool().release_unused()
 
 
 def map_blocks(df: DataFrame, text: str, block: Callable[[pa.RecordBatch], dict], ddl: str, most: int = 8 << 20, make: Callable | None = None) -> DataFrame:
@@ -107,7 +134,7 @@ def map_blocks(df: DataFrame, text: str, block: Callable[[pa.RecordBatch], dict]
                 out = block(state, b) if make else block(b)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in ((f, out[f.name]) for f in schema)], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(releasing(run), ddl)
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import partitions, shared_folder, slices, text_column, written
+from assaylake.llm.common import partitions, releasing, shared_folder, slices, text_column, written
 
 END = 0
 ROUNDS, RARE = 8, 16
@@ -179,7 +179,7 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, block: i
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, _SHARD).write.option("compression", "zstd").parquet(folder)
+    ordered.mapInArrow(releasing(run), _SHARD).write.option("compression", "zstd").parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,7 +213,7 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFr
                         out.append(pa.array([x.tolist() for x in each], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return read_shards(spark, folder).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+    return read_shards(spark, folder).mapInArrow(releasing(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
 def shard_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

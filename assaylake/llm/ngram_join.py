@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import Bounded, byte_column, join_hot, partitions, slices, written
+from assaylake.llm.common import Bounded, byte_column, join_hot, partitions, release, releasing, slices, written
 from assaylake.llm.graph import UnionFind, components
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +89,7 @@ def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
     def run(batches):
         shingler, part, seq = Shingler(words), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", 6 << 20):
                 block = part << 24 | seq
                 seq += 1
                 h, d = shingler.block(byte_column(b, "text"))
@@ -125,11 +125,12 @@ def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
                     part_of = slice(i, i + 64)
                     yield pa.RecordBatch.from_arrays([pa.array(out["fragment"][part_of], pa.int32()), pa.array([block] * len(out["fragment"][part_of]), pa.int64()), pa.array(out["own"][part_of], pa.binary()), pa.array(out["low"][part_of], pa.binary())], ["fragment", "block", "own", "low"])
 
-    return docs.mapInArrow(run, "fragment int, block long, own binary, low binary")
+    return docs.mapInArrow(releasing(run), "fragment int, block long, own binary, low binary")
 
 
 def _count_fragment(t: pa.Table) -> pa.Table:
     """For each block, how many shingles of each of its documents stand in other blocks too."""
+    release()
     if t.num_rows == 0 or t.column("fragment")[0].as_py() < 0:
         return t.select(["block", "own", "low"])
     owns = [np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in t.column("own").to_pylist()]
@@ -181,7 +182,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
         shingler = Shingler(words)
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", 6 << 20):
                 h, d = shingler.block(byte_column(b, "text"))
                 order = np.lexsort((h, d))
                 h, d = h[order], d[order]
@@ -192,7 +193,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 packed = [h[x:y].astype("<u8").tobytes() for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for x in packed], pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "n", "digest", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, shingles binary")
+    return docs.mapInArrow(releasing(run), "doc_id long, n long, digest binary, shingles binary")
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def _exploded(sets: DataFrame) -> DataFrame:
                 ids = np.repeat(b.column("doc_id").to_numpy(), [len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], ["doc_id", "shingle"])
 
-    return sets.select("doc_id", "shingles").mapInArrow(run, "doc_id long, shingle long")
+    return sets.select("doc_id", "shingles").mapInArrow(releasing(run), "doc_id long, shingle long")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:

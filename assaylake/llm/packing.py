@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import partitions, slices, text_column, written
+from assaylake.llm.common import partitions, releasing, slices, text_column, written
 
 END = 1
 CAPACITY = 2048
@@ -141,7 +141,7 @@ def tokenize(docs: DataFrame, path: str | None, capacity: int, salts: int) -> Da
                     own += full
                 yield pa.RecordBatch.from_arrays([pa.array(rows["row"], pa.int64()), b.column("doc_id"), pa.array(rows["doc_tokens"], pa.int64()), pa.array(rows["rest"], pa.int32()), pa.array(rows["own_first"], pa.int64()), pa.array(rows["own_crc"], pa.list_(pa.int64())), pa.array(rows["rest_ids"], pa.binary()), pa.array(rows["salt"], pa.int32())], [x.split()[0] for x in _TOKENS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _TOKENS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), _TOKENS)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -180,4 +180,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
 
     full = tokens.filter("size(own_crc) > 0").select("doc_id", "doc_tokens", "own_first", F.posexplode("own_crc").alias("k", "ids_crc32"))
     own = full.select("doc_id", (F.col("k") * F.lit(capacity).cast("long")).alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("own_first") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return own.unionByName(placed.mapInArrow(pieces, out))
+    return own.unionByName(placed.mapInArrow(releasing(pieces), out))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import byte_column, map_blocks, slices, written
+from assaylake.llm.common import byte_column, map_blocks, releasing, slices, written
 
 #: Frequent words of the languages at hand, whose shares make up the word histogram.
 COMMON_WORDS = {
@@ -178,4 +178,4 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), words: dict[str, str]
         for b in (x for whole in batches for x in slices(whole, "text")):
             yield b.filter(pa.array([good(*x) for x in zip(b.column("lang").to_pylist(), byte_column(b, "text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import map_blocks, slices, text_column
+from assaylake.llm.common import map_blocks, releasing, slices, text_column
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
@@ -184,4 +184,4 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 b = b.set_column(at, "n_chars", pa.array([w if x == y or y is None else len(y) for w, x, y in zip(was, old, new)], b.schema.field(at).type))
             yield b
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(releasing(run), fields)

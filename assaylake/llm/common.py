@@ -56,13 +56,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def join_hot(rows: DataFrame, once: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined with ``once``, which has one row for each key, with the key's number of rows in ``count`` (dropped).
 
-    Keys of over a thousandth of the ``total`` rows, of which there are fewer than 1000, are broadcast, so their rows
-    stay where they are; only the others' rows are shuffled. A total below the true one raises that bound as much.
+    The rows of keys of over a thousandth of the ``total`` rows are dealt over shares of about that size. Such keys are
+    fewer than 1000, so their shares are broadcast; a total below the true one raises that bound as much.
     """
-    hot = once.filter(F.col(count) * 1000 > total)
-    found = rows.join(F.broadcast(hot), key)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(once.hint("merge"), key)
-    return found.unionByName(others).drop(count)
+    shares = once.withColumn("_shares", F.ceil(F.col(count) * 1000 / F.lit(max(total, 1))).cast("int"))
+    hot = shares.filter("_shares > 1").select(key, "_shares")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_shares", F.lit(1))).cast("int"))
+    places = shares.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
+    return dealt.drop("_shares").join(places.drop("_shares", count).hint("merge"), [key, "_share"]).drop("_share")
 
 
 def partitions(spark: SparkSession) -> int:

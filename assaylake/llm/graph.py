@@ -65,10 +65,10 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     return join_hot(both, least, "a", "k", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
-    kept = join_hot(down, least, "a", "k", total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    kept = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return kept.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -80,6 +80,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
-        now = written(_forest(_small_star(_large_star(now, state[0]), state[0]).distinct()), "edges")
+        now = written(_forest(_small_star(_large_star(now, state[0])).distinct()), "edges")
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaylake.llm import ann, graph, ngram_join, warc
+from assaylake.llm.common import join_hot
 
 
 def shingles(text, n=4):
@@ -183,3 +184,21 @@ def test_small_payloads_stand_alone(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "long text"), (4, "u", "long text")], PAGES), folder, least_bytes=5)
     got = sorted((r["page_id"], r["record_type"]) for r in warc.archive_index(spark, folder).collect())
     assert got == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response")]
+
+
+@pytest.mark.parametrize("size", [10, 5000])
+def test_join_of_hot_keys_is_the_plain_join(spark, size):
+    rows = spark.range(size).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id").unionByName(spark.range(size).select("id", "id").toDF("k", "id"))
+    once = rows.groupBy("k").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("k <> 2")
+    got = join_hot(rows, once, "k", "n", rows.count())
+    assert got.columns == ["k", "id", "least"]
+    want = rows.join(once.drop("n"), "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_components_of_a_star_and_a_chain(spark):
+    star = [(i, 500) for i in range(1000, 4000)] + [(500, 7)]
+    chain = [(i, i + 1) for i in range(10_000, 10_040)]
+    edges = spark.createDataFrame(star + chain + [(5, 5)], "a long, b long").repartition(5)
+    got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    assert got == {i: 7 for i in [7, 500, *range(1000, 4000)]} | {i: 10_000 for i in range(10_000, 10_041)}

@@ -33,9 +33,13 @@ def overlap_ratio(quote: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q)).otherwise(F.lit(0.0))
 
 
+def containment_tokens(text: Column) -> Column:
+    return words(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +")
+
+
 def containment(a: Column, b: Column) -> Column:
     """Shared tokens over the smaller token set; 0 where one is empty."""
-    x, y = words(F.regexp_replace(F.lower(a), "[^a-z0-9 ]", " "), " +"), words(F.regexp_replace(F.lower(b), "[^a-z0-9 ]", " "), " +")
+    x, y = containment_tokens(a), containment_tokens(b)
     least = F.least(F.size(x), F.size(y))
     return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(F.lit(0.0))
 
@@ -45,6 +49,12 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def runs(words: Column, n: int) -> Column:
+    """Distinct runs of n words, each joined by spaces; none where there are fewer."""
+    shifted = [F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - n + 1, F.lit(0))).alias(str(k)) for k in range(n)]
+    return F.array_distinct(F.transform(F.arrays_zip(*shifted), lambda x: F.concat_ws(" ", *[x[str(k)] for k in range(n)])))
+
+
 def stem(token: Column) -> Column:
     """Drops ing or ed where three letters stay before it, else one trailing s (but not of ss)."""
     return (

@@ -14,9 +14,9 @@ PARTS = 40
 VALUE = "[0-9]+"
 
 
-def _claims(s, d):
-    passages = r.table(s, d, "benchmark").filter(F.col("item_id") < PARTS)
-    return grounding.claims(r.table(s, d, "documents").select("doc_id", "text"), passages, PARTS)
+def _spans(s, d):
+    """All documents and all passages, which the operators join by what they share."""
+    return r.table(s, d, "documents").select("doc_id", "text"), r.table(s, d, "benchmark").select("item_id", "text")
 
 
 _CLAIMS = f"claims as (select d.doc_id as case_id, b.item_id, d.text as source, b.text as quote from documents d join benchmark b on b.item_id < {PARTS} and d.doc_id % {PARTS} = b.item_id % {PARTS})"
@@ -121,23 +121,23 @@ _RISK = """risk as (select conv_id, bool_or(e) as e, bool_or(s) as s, bool_or(c)
 
 QUERIES = {
     "f01_evidence_overlap": (
-        lambda s, d: grounding.evidence_overlap(_claims(s, d)),
+        lambda s, d: grounding.evidence_overlap(*_spans(s, d)),
         sql(f"""with {_CLAIMS}, k as (select case_id, item_id, {_tokens('quote', _EV)} as q, {_tokens('source', _EV)} as s from claims)
             select case_id, item_id, round(case when len(q) > 0 then {_common('q', 's')} / len(q) else 0.0 end, 6) as overlap, round(case when len(q) > 0 then {_common('q', 's')} / len(q) else 0.0 end, 6) >= 0.8 as valid from k"""),
     ),
     "f02_containment": (
-        lambda s, d: grounding.containment(_claims(s, d)),
+        lambda s, d: grounding.containment(*_spans(s, d)),
         sql(f"""with {_CLAIMS}, k as (select case_id, item_id, {_tokens("regexp_replace(lower(quote), '[^a-z0-9 ]', ' ', 'g')", ' +')} as q, {_tokens("regexp_replace(lower(source), '[^a-z0-9 ]', ' ', 'g')", ' +')} as s from claims)
             select case_id, item_id, round(case when least(len(q), len(s)) > 0 then {_common('q', 's')} / least(len(q), len(s)) else 0.0 end, 6) as containment from k"""),
     ),
     "g03_source_grounding": (
-        lambda s, d: grounding.source_grounding(_claims(s, d)),
+        lambda s, d: grounding.source_grounding(*_spans(s, d)),
         sql(f"""with {_CLAIMS}, k as (select case_id, item_id, list_distinct(list_transform(list_filter({_tokens('quote', '[^a-z0-9]+')}, lambda w: regexp_matches(w, '[0-9]') or (length(w) >= 4 and w not in ({_STOP}))), lambda w: {_stem('w')})) as q,
             list_distinct(list_transform({_tokens('source', '[^a-z0-9]+')}, lambda w: {_stem('w')})) as s from claims), m as (select *, len(q) - {_common('q', 's')} as missing from k)
             select case_id, item_id, len(q) as salient, missing, len(q) > 0 and missing = 0 as disproved from m"""),
     ),
     "g04_evidence_presence": (
-        lambda s, d: grounding.evidence_presence(_claims(s, d)),
+        lambda s, d: grounding.evidence_presence(*_spans(s, d)),
         sql(f"with {_CLAIMS} select case_id, item_id, length({_plain('quote')}) >= 12 and contains({_plain('source')}, {_plain('quote')}) as present from claims"),
     ),
     "g10_value_presence": (

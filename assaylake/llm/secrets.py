@@ -6,7 +6,7 @@ one symbol enters and one leaves per step, and only their terms of ``sum(c * log
 class's threshold are joined into spans, which an allow-list may suppress.
 
 Defined cases: a null or empty text has no spans; a null doc_id passes through; repeated rows give repeated results;
-extra columns are dropped; spans of one kind never overlap; a candidate of any length costs time in proportion to it.
+extra columns are dropped; spans of one kind never overlap, spans of different kinds may; a candidate of any length costs time in proportion to it.
 """
 
 from __future__ import annotations
@@ -88,15 +88,13 @@ class Scanner:
         return spans
 
     def entropy(self, s: str, at: int) -> list[tuple[int, int, int]]:
-        out, taken = [], []
+        out = []
         for c, runs in self._runs:
             for m in runs.finditer(s):
                 for a, b in self._windows(m.group(), c):
                     a, b = a + m.start(), b + m.start()
-                    if any(a < y and x < b for x, y in taken) or self._allowed(s, s[a:b]):
-                        continue
-                    taken.append((a, b))
-                    out.append((at + a, KINDS.index(c.kind), at + b))
+                    if not self._allowed(s, s[a:b]):
+                        out.append((at + a, KINDS.index(c.kind), at + b))
         return out
 
     def _windows(self, s: str, c: CharClass) -> list[tuple[int, int]]:

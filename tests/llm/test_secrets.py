@@ -66,3 +66,26 @@ def test_redaction_keeps_rows_and_columns(spark, make):
 
 def test_empty_table(spark, make):
     assert secrets.scan_secrets(make(["x"]).filter("false")).count() == 0
+
+
+def windows(s, c):
+    """Positions in windows at or above the class's threshold, each window counted anew."""
+    out = set()
+    for m in re.finditer(c.chars + "+", s):
+        for i in range(m.start(), m.end() - c.window + 1):
+            w = s[i : i + c.window]
+            kinds = any("a" <= x <= "z" for x in w) + any("A" <= x <= "Z" for x in w) + any("0" <= x <= "9" for x in w)
+            if kinds >= c.mixed and -sum(n / c.window * math.log2(n / c.window) for n in (w.count(x) for x in set(w))) >= c.threshold - 1e-10:
+                out.update(range(i, i + c.window))
+    return out
+
+
+def test_a_secret_beside_a_hex_key_is_found_and_masked():
+    secret, scanner = "Zq8Kd03LmXw91PvTbR7cYhJ2aQ5eUs", secrets.Scanner()
+    for mark in "-_/+":
+        for s in (HEX40 + mark + secret, secret + mark + HEX40, HEX40 + mark + secret + mark + HEX40):
+            text = f"id {s} end"
+            spans = scanner.scan(text)
+            for c in secrets.CLASSES:
+                assert {i for a, k, b in spans if secrets.KINDS[k] == c.kind for i in range(a, b)} == windows(text, c)
+            assert secrets.redact(text, scanner) == "id [SECRET] end"

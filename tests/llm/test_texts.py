@@ -55,6 +55,32 @@ def test_divergence_drops_junk_and_keeps_prose(spark, make):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
 
 
+def test_texts_without_common_words_go_at_all_lengths(spark, make):
+    rng = random.Random(10)
+    common = "the of and to in a is that for was on be with as by at".split()
+    rare = lambda: "".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randint(4, 8)))
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else rare() for _ in range(n)) + "."
+    clean = [prose(rng.choice([60, 90, 150, 400])) for _ in range(80)]
+    menus = [" | ".join(rare().capitalize() + "." for _ in range(n)) for n in (40, 60, 120, 300)]
+    marks = [" ".join(rare() + rng.choice(["***", "$$$"]) for _ in range(n)) for n in (60, 200)]
+    lists = [" ".join(rare() for _ in range(n)) for n in (80, 200, 500)]
+    made = clean + menus + marks + lists
+    docs = make(made)
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs).collect()}
+    assert all(got[i]["kept"] for i in range(80))
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(80, len(made)))
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == set(range(80))
+
+
+def test_a_language_of_few_words_is_held_against_all(spark, make):
+    rng = random.Random(12)
+    word = lambda: rng.choice("the of and to in a is".split()) if rng.random() < 0.4 else "".join(rng.choice("aeioubcdl") for _ in range(6))
+    clean = [" ".join(word() for _ in range(200)) for _ in range(20)]
+    menu = make([" | ".join("".join(rng.choice("aeioubcdl") for _ in range(6)) for _ in range(200))], ids=[99], lang="xx")
+    got = {r["doc_id"]: r for r in quality.judge_quality(make(clean).unionByName(menu)).collect()}
+    assert not got[99]["kept"] and sum(r["kept"] for r in got.values()) == 20
+
+
 def test_distance():
     p, q = np.array([3, 1, 0]), np.array([1, 1, 2])
     a, b = p / p.sum(), q / q.sum()

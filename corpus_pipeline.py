@@ -18,10 +18,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+#: Documents are near-duplicates from this Jaccard similarity of their shingles of so many words. op6 has its own figures.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents that with the smallest doc_id stays."""
     ship(spark)
-    return ngram_join.keep_first_of_each(docs)
+    return ngram_join.keep_first_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

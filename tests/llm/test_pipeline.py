@@ -28,6 +28,21 @@ def test_stages_follow_each_other(spark):
     assert {r["doc_id"] for r in packed.collect()} == set(kept[2])
 
 
+def test_near_duplicates_just_above_and_below_the_limit(spark, make):
+    import corpus_pipeline as c
+
+    words = lambda n, k: [f"w{k}x{i}" for i in range(n)]
+    changed = lambda x: " ".join([*x[: len(x) // 2], "other", *x[len(x) // 2 + 1 :]])
+    # n words have n - 4 shingles; one changed word in the middle leaves n - 9 of n + 1 in the union
+    pairs = {n: words(n, n) for n in (48, 49, 52)}
+    for n in pairs:
+        shingles = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (pairs[n], changed(pairs[n]).split())]
+        similarity = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
+        assert (similarity >= 0.8) == (n >= 49)
+    docs = make([t for x in pairs.values() for t in (" ".join(x), changed(x))])
+    assert sorted(r["doc_id"] for r in c.near_duplicates(spark, docs, SF).collect()) == [0, 1, 2, 4]
+
+
 def test_sql_twins(spark):
     from assaylake.llm import entry
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.functions.hashing import content_id, split_of
@@ -44,6 +44,13 @@ def first_with_item(orders: DataFrame, items: DataFrame, parts: DataFrame, item:
     return held.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
 
 
-def positive_first(cases: DataFrame, n: int) -> DataFrame:
-    """The first n cases with blocked ones before the others, each in order."""
-    return cases.orderBy(F.desc(F.coalesce("gold_block", F.lit(False))), "case_id").limit(n)
+def positive_first(cases: DataFrame, width: int = 4096) -> DataFrame:
+    """Every case with its position, from 0, when blocked cases come before the others, each in order of case_id.
+
+    Ranks are taken within ranges of ``width`` ids; only the ranges' counts go through one window.
+    """
+    keyed = cases.withColumn("_first", F.coalesce("gold_block", F.lit(False))).withColumn("_range", F.floor(F.col("case_id") / width))
+    before = Window.orderBy(F.desc("_first"), "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy("_first", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("_first", "_range").orderBy("case_id")) - 1
+    return keyed.withColumn("_rank", rank).join(starts, ["_first", "_range"]).withColumn("position", F.col("_start") + F.col("_rank")).drop("_first", "_range", "_rank", "_start")

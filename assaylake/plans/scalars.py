@@ -32,7 +32,7 @@ def truncated(s, d):
 
 
 def slugs(s, d):
-    return _docs(s, d).select("doc_id", t.slug(F.substring("text", 1, 60)).alias("slug"))
+    return _docs(s, d).select("doc_id", t.slug(F.col("text")).alias("slug"))
 
 
 def seeds(s, d):

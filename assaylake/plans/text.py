@@ -249,7 +249,7 @@ QUERIES = {
         """select o_custkey, arg_min(o_orderkey, row(o_orderdate, o_orderkey)) as o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem join part on l_partkey = p_partkey where p_type = 'PROMO') group by o_custkey""",
     ),
     "t06_positive_first": (
-        lambda s, d: datagen.positive_first(r.cases(s, d), 100).select("case_id", "gold_block"),
+        lambda s, d: datagen.positive_first(r.cases(s, d)).select("position", "case_id", "gold_block"),
         sql("select case_id, gold_block from cases order by coalesce(gold_block, false) desc, case_id limit 100", "cases"),
     ),
 }

@@ -154,3 +154,17 @@ def test_hashes(spark):
 def test_mutants(spark):
     m = datagen.field_mutants(spark.range(1), "id", spark.createDataFrame([("a", "presence", False), ("b", "enum", True)], "field string, kind string, required boolean"))
     assert rows(m, "field", "mutated", "expected") == [("a", None, "PASS"), ("b", "__not_in_enum__", "BLOCK")]
+
+
+def test_positive_first_keeps_every_case(spark):
+    made = [(i, None if i % 7 == 0 else i % 3 == 0) for i in range(-5, 300)]
+    got = datagen.positive_first(spark.createDataFrame(made[::-1], "case_id long, gold_block boolean"), 16).collect()
+    assert [(r["case_id"], r["gold_block"]) for r in sorted(got, key=lambda r: r["position"])] == sorted(made, key=lambda x: (not x[1], x[0]))
+    assert sorted(r["position"] for r in got) == list(range(305))
+
+
+def test_slug_takes_the_whole_text(spark, tmp_path):
+    from assaylake.plans import scalars
+
+    spark.createDataFrame([(1, " Ab c! " * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert scalars.slugs(spark, str(tmp_path)).first()["slug"] == "_".join(["ab_c"] * 50)

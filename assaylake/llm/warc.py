@@ -8,7 +8,8 @@ payloads by address. Only SQL functions run; payload bytes move once, to where t
 that a third of all pages share is one row on the payload side.
 
 Defined cases: a null html is the empty payload; a null url is the empty URI; records with a null page_id form responses
-of their own (nothing can refer to them); rows that repeat a page_id and payload give one response and revisits;
+of their own (nothing can refer to them); rows that repeat a page_id and payload give one response, the first by url,
+and revisits, each with its own url;
 an empty table gives empty archives; extra columns are dropped.
 """
 
@@ -66,12 +67,14 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
     small = written(rows.select("page_id", "url", "address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("digest"), shared.alias("shared")), "warc-rows")
     owners = small.filter("shared").groupBy("address").agg(F.max("page_id").alias("owner"))
     joined = small.filter("shared").join(owners, "address")
-    # rows that repeat the owner's page_id and payload: the first is the response
-    tied = joined.filter("page_id = owner").groupBy("address", "owner", "payload_bytes", "digest").agg(F.min("url").alias("url"), F.count(F.lit(1)).alias("n"))
-    mine = tied.select(F.col("owner").alias("page_id"), "url", "address", "payload_bytes", "digest", "owner", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    # rows that repeat the owner's page_id and payload: the first by url is the response; equal rows are counted, so that no
+    # group is ranked in one task, and each keeps its own url
+    tied = joined.filter("page_id = owner").groupBy("address", "owner", "url", "payload_bytes", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = tied.groupBy("address", "owner").agg(F.min("url").alias("first"))
+    mine = tied.join(first, ["address", "owner"]).select(F.col("owner").alias("page_id"), "url", "address", "payload_bytes", "digest", "owner", (F.col("url") == F.col("first")).alias("leads"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
     names = ["page_id", "url", "address", "payload_bytes", "digest", "owner"]
     records = (
-        mine.select(*names, F.when(F.col("k") == 1, "response").otherwise("revisit").alias("record_type"))
+        mine.select(*names, F.when(F.col("leads") & (F.col("k") == 1), "response").otherwise("revisit").alias("record_type"))
         .unionByName(joined.filter("page_id <> owner").select(*names, F.lit("revisit").alias("record_type")))
         .unionByName(small.filter(~F.col("shared")).withColumn("owner", F.col("page_id")).select(*names, F.lit("response").alias("record_type")))
     )

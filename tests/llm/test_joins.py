@@ -202,3 +202,13 @@ def test_components_of_a_star_and_a_chain(spark):
     edges = spark.createDataFrame(star + chain + [(5, 5)], "a long, b long").repartition(5)
     got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
     assert got == {i: 7 for i in [7, 500, *range(1000, 4000)]} | {i: 10_000 for i in range(10_000, 10_041)}
+
+
+def test_archive_keeps_each_url_of_repeated_rows(spark, tmp_path):
+    folder = str(tmp_path / "w")
+    rows = [(7, "http://b", "same"), (7, "http://a", "same"), (7, "http://c", "same"), (7, "http://c", "same"), (3, "http://d", "same")]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), folder)
+    heads = [(r["page_id"], r["record_type"], r["refers_to"], bytes(r["header"]).decode().split("WARC-Target-URI: ")[1].split("\r")[0]) for r in warc.read_headers(spark, folder).collect()]
+    revisits = [(7, "revisit", 7, f"http://{x}") for x in "bcc"] + [(3, "revisit", 7, "http://d")]
+    assert sorted(heads, key=str) == sorted([(7, "response", None, "http://a"), *revisits], key=str)
+    assert warc.read_archive(spark, folder).count() == len(rows)

@@ -1,4 +1,4 @@
-"""Queries of the streaming views. They drain a file stream over the whole event table and are held against SQL over the batch."""
+"""Queries of the streaming views. They run a file stream over the whole event table in one batch, write its result, and are held against SQL over the batch."""
 
 from __future__ import annotations
 
@@ -12,7 +12,13 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def _events(s, d):
-    return views.event_stream(s, f"{d}/events.parquet*", EVENTS)
+    return views.event_stream(s, f"{d}/events.parquet*", EVENTS, None)
+
+
+def _folder(s) -> str:
+    """A new folder that driver and executors share."""
+    base = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def _text(c: str):
@@ -20,16 +26,16 @@ def _text(c: str):
 
 
 def tumbling(s, d):
-    out = views.drain(views.tumbling(_events(s, d)), f"t{uuid.uuid4().hex}")
+    out = views.settled(views.tumbling(_events(s, d)), _folder(s))
     return out.select(_text("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def sliding(s, d):
-    return views.drain(views.sliding(_events(s, d)), f"t{uuid.uuid4().hex}").select(_text("start").alias("start"), "event_type", "n")
+    return views.settled(views.sliding(_events(s, d)), _folder(s)).select(_text("start").alias("start"), "event_type", "n")
 
 
 def sessions(s, d):
-    return views.drain(views.sessions(_events(s, d)), f"t{uuid.uuid4().hex}").select(_text("start").alias("start"), "user_id", "n")
+    return views.settled(views.sessions(_events(s, d)), _folder(s)).select(_text("start").alias("start"), "user_id", "n")
 
 
 QUERIES = {

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
-    """A Parquet folder (or file pattern) as a stream with ``ts`` as event time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = 64) -> DataFrame:
+    """A Parquet folder (or file pattern) as a stream with ``ts`` as event time; with None all present files are one batch, so none of their events is late."""
+    source = spark.readStream.schema(schema)
+    return (source.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else source).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -87,6 +88,24 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version={last}")
 
 
+def settled(df: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over all that is there now and returns its complete result, read back from Parquet in ``folder``.
+
+    State, progress and results stand below the folder, which driver and executors must share; no row passes the driver.
+    A batch that is run again writes the same place.
+    """
+    done = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+        done.append(number)
+
+    query = df.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(f"{folder}/result/batch={done[-1]}") if done else spark.createDataFrame([], df.schema)
+
+
 def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there now into a table in memory and returns it: for small results and tests."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

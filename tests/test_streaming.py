@@ -41,3 +41,15 @@ def test_upsert_and_drift(spark, tmp_path):
     assert sorted((r["k"], r["verdict"]) for r in now.collect()) == [(1, "BLOCK"), (2, "PASS")]
     base = spark.createDataFrame([(1, "PASS"), (2, "PASS")], "k long, verdict string")
     assert [r["k"] for r in views.drift_alerts(now, base, "k").collect()] == [1]
+
+
+def test_many_files_lose_no_old_events_and_nothing_stays_in_memory(spark, tmp_path):
+    from assaylake.plans import streams
+
+    path = str(tmp_path / "events.parquet")
+    for k in range(70):  # the newest first, each file of one event a day
+        spark.createDataFrame([(k, dt.datetime(2024, 6, 1) - dt.timedelta(days=k), 1, "a", 1.0, "")], EVENTS).coalesce(1).write.mode("append").parquet(path)
+    before = {t.name for t in spark.catalog.listTables()}
+    assert streams.sessions(spark, str(tmp_path)).count() == 70
+    assert sum(r["n"] for r in streams.tumbling(spark, str(tmp_path)).collect()) == 70
+    assert {t.name for t in spark.catalog.listTables()} == before

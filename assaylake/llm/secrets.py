@@ -1,12 +1,18 @@
 """Secret scans: fixed rules plus sliding-window Shannon entropy per character class.
 
 Every text is scanned whole in one pass. Candidate strings are runs of 20 or more key-like characters; within a
-candidate, each character class (hex digits, base64 digits) gets a window whose symbol counts are kept incrementally:
-one symbol enters and one leaves per step, and only their terms of ``sum(c * log2 c)`` change. Windows at or above the
-class's threshold are joined into spans, which an allow-list may suppress.
-
-Defined cases: a null or empty text has no spans; a null doc_id passes through; repeated rows give repeated results;
-extra columns are dropped; spans of one kind never overlap, spans of different kinds may; a candidate of any length costs time in proportion to it.
+candidate, each character class (hex digits, base64 digits) gets a window whose symbol counts, and counts of lower case,
+upper case and digits, are kept incrementally: one symbol enters and one leaves per step, and only their terms of
+``sum(c * log2 c)`` change. The terms are integers, so a window's sum does not depend on the steps before it. Windows at
+or above the class's threshold are joined into spans.
+
+The allow-list is searched once in a candidate that has a span. A span that lies within one of its matches is suppressed;
+words such as "example" excuse what stands within 16 characters of them, not the whole candidate. Spans that mostly count
+up or down by one (alphabets, digits in order, repeats) are suppressed too.
+
+Defined cases: a null or empty text has no spans; a null doc_id passes through; repeated rows give repeated results; an
+empty table gives no rows; extra columns are dropped; spans of one kind never overlap, spans of different kinds may; ties
+of start are listed by kind; a candidate of any length costs time in proportion to it.
 """
 
 from __future__ import annotations
@@ -14,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,25 +57,27 @@ CLASSES = (
     CharClass("entropy_base64", r"[A-Za-z0-9+/_-]", 20, 3.9),
 )
 
-#: Strings that look random but are public: matched against the span with its whole candidate.
+#: Strings that look random but are public, as patterns, or as patterns with the number of characters around a match that it excuses.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(?i).*(example|placeholder|changeme|dummy|sample|your[_-]).*",
+    (r"(?i)example|placeholder|changeme|dummy|sample|your[_-]", 16),
     r"/[a-z0-9_/-]+/[a-z0-9_/-]*",
 )
+#: Lower case, upper case, digits, others.
+_KIND = {chr(c): 0 if chr(c).islower() else 1 if chr(c).isupper() else 2 if chr(c).isdigit() else 3 for c in range(128)}
 
 
 @dataclass
 class Scanner:
     classes: tuple[CharClass, ...] = CLASSES
-    allow: Iterable[str] = ALLOW
+    allow: Iterable[str | tuple[str, int]] = ALLOW
     _runs: list = field(default_factory=list, repr=False)
 
     def __post_init__(self):
         self._runs = [(c, re.compile(c.chars + "{%d,}" % c.window)) for c in self.classes]
-        self._allow = [re.compile(x) for x in self.allow]
+        self._allow = [(re.compile(x), 0) if isinstance(x, str) else (re.compile(x[0]), x[1]) for x in self.allow]
         top = max((c.window for c in self.classes), default=1)
-        self._term = [0.0] + [n * math.log2(n) for n in range(1, top + 1)]
+        self._term = [0] + [round(n * math.log2(n) * (1 << 40)) for n in range(1, top + 1)]
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind index, end) of the fixed rules."""
@@ -88,33 +98,36 @@ class Scanner:
         return spans
 
     def entropy(self, s: str, at: int) -> list[tuple[int, int, int]]:
-        out = []
+        """Spans of a candidate that starts at ``at``."""
+        out, public = [], None
         for c, runs in self._runs:
             for m in runs.finditer(s):
                 for a, b in self._windows(m.group(), c):
                     a, b = a + m.start(), b + m.start()
-                    if not self._allowed(s, s[a:b]):
+                    if public is None:
+                        public = self._public(s)
+                    if not self._allowed(public, s, a, b):
                         out.append((at + a, KINDS.index(c.kind), at + b))
         return out
 
     def _windows(self, s: str, c: CharClass) -> list[tuple[int, int]]:
         """Unions of the windows at or above the threshold."""
-        w, term, counts, total = c.window, self._term, {}, 0.0
+        w, term, counts, total, kinds = c.window, self._term, dict.fromkeys(s, 0), 0, [0, 0, 0, 0]
+        kind = {x: _KIND.get(x, 3) for x in counts}
         found: list[list[int]] = []
-        need = (math.log2(w) - c.threshold) * w  # entropy = log2(w) - sum(c log2 c) / w
+        need = (math.log2(w) - c.threshold) * w * (1 << 40) + 1000  # entropy = log2(w) - sum(c log2 c) / w; 1000 for rounding
         for i, x in enumerate(s):
             if i >= w:
                 y = s[i - w]
                 n = counts[y]
                 total += term[n - 1] - term[n]
-                if n == 1:
-                    del counts[y]
-                else:
-                    counts[y] = n - 1
-            n = counts.get(x, 0)
+                counts[y] = n - 1
+                kinds[kind[y]] -= 1
+            n = counts[x]
             total += term[n + 1] - term[n]
             counts[x] = n + 1
-            if i >= w - 1 and total <= need + 1e-9 and self._kinds(counts) >= c.mixed:
+            kinds[kind[x]] += 1
+            if total <= need and i >= w - 1 and (kinds[0] > 0) + (kinds[1] > 0) + (kinds[2] > 0) >= c.mixed:
                 a = i - w + 1
                 if found and a <= found[-1][1]:
                     found[-1][1] = i + 1
@@ -122,22 +135,25 @@ class Scanner:
                     found.append([a, i + 1])
         return [(a, b) for a, b in found]
 
-    @staticmethod
-    def _kinds(counts: dict) -> int:
-        return any("a" <= x <= "z" for x in counts) + any("A" <= x <= "Z" for x in counts) + any("0" <= x <= "9" for x in counts)
+    def _public(self, s: str) -> tuple[list[int], list[int]]:
+        """Starts of the allow-list's matches in order, and for each the furthest end so far."""
+        places = sorted((max(0, m.start() - around), m.end() + around) for x, around in self._allow for m in x.finditer(s))
+        return [a for a, _ in places], list(accumulate((b for _, b in places), max))
 
-    def _allowed(self, whole: str, span: str) -> bool:
-        if any(x.fullmatch(whole) or x.fullmatch(span) for x in self._allow):
+    @staticmethod
+    def _allowed(public: tuple[list[int], list[int]], s: str, a: int, b: int) -> bool:
+        i = bisect_right(public[0], a)
+        if i and public[1][i - 1] >= b:
             return True
-        steps = sum(abs(ord(b) - ord(a)) <= 1 for a, b in zip(span, span[1:]))
-        return steps * 2 >= len(span)  # alphabets, digits in order, repeats
+        steps = sum(abs(ord(y) - ord(x)) <= 1 for x, y in zip(s[a:b], s[a + 1 : b]))
+        return steps * 2 >= b - a  # alphabets, digits in order, repeats
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan_secrets(docs: DataFrame, allow: Iterable[str] = ALLOW, classes: tuple[CharClass, ...] = CLASSES) -> DataFrame:
+def scan_secrets(docs: DataFrame, allow: Iterable[str | tuple[str, int]] = ALLOW, classes: tuple[CharClass, ...] = CLASSES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans for each document."""
     allow = tuple(allow)
 

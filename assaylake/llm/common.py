@@ -45,22 +45,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors. ``folders`` gets its path."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
+    if folders is not None:
+        folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes intermediate tables that nothing reads any more."""
+    for path in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    folders.clear()
+
+
 def join_hot(rows: DataFrame, once: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """``rows`` joined with ``once``, which has one row for each key, with the key's number of rows in ``count`` (dropped).
+    """``rows`` joined with ``once``, which has a few rows for each key, each with the key's number of ``rows`` in ``count`` (dropped).
 
     The rows of keys of over a thousandth of the ``total`` rows are dealt over shares of about that size. Such keys are
     fewer than 1000, so their shares are broadcast; a total below the true one raises that bound as much.
     """
     shares = once.withColumn("_shares", F.ceil(F.col(count) * 1000 / F.lit(max(total, 1))).cast("int"))
-    hot = shares.filter("_shares > 1").select(key, "_shares")
+    hot = shares.filter("_shares > 1").select(key, "_shares").distinct()
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_share", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_shares", F.lit(1))).cast("int"))
     places = shares.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
     return dealt.drop("_shares").join(places.drop("_shares", count).hint("merge"), [key, "_share"]).drop("_share")

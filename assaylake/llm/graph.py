@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import join_hot, written
+from assaylake.llm.common import discard, join_hot, written
 
 
 class UnionFind:
@@ -65,21 +65,24 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     return join_hot(both, least, "a", "k", 2 * total).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    kept = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+    kept = join_hot(down, least, "a", "k", total).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return kept.unionByName(least.select("a", F.col("m").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for each node of the edges (a, b)."""
-    now, last = written(_forest(edges), "edges"), None
+    """node, component (its smallest node) for each node of the edges (a, b). The edges are not read again afterwards."""
+    spark, folders = edges.sparkSession, []
+    now, last = written(_forest(edges), "edges", folders), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last or not state[0]:
             break
-        last = state
-        now = written(_forest(_small_star(_large_star(now, state[0])).distinct()), "edges")
+        last, before = state, list(folders)
+        now = written(_forest(_small_star(_large_star(now, state[0]), state[0]).distinct()), "edges", folders)
+        discard(spark, before)
+        del folders[: len(folders) - 1]
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))

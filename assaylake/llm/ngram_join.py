@@ -1,20 +1,23 @@
 """N-gram Jaccard self-join by vertical partitioning, and the components of its links.
 
-The global order of the shingles (their hashes) is cut into fragments. Each block of documents sends a fragment its
-distinct shingles once, as packed bytes; each fragment counts, for every document, how many of its shingles there stand
-in another document too; the counts are summed per document over the fragments. A document with fewer shared shingles
-than the similarity asks for has no partner and is done. This drops common passages, which alone never fill a document.
-
-Of the rest, equal sets are one class with its smallest doc_id as representative. Shingles are counted once more among
-the representatives; those that still share enough are put in groups: sets that share a shingle of their prefixes (their
-rarest shingles, of which similar sets must share one) belong together. That is linear in the prefixes, as each shingle
-ties its documents to one of them, and common passages come last in the order. Within a group the overlaps of pairs are counted from
-posting lists, fragment by fragment of the order, and summed per pair; a group beyond a bounded size is dealt out as
-pairs of blocks, so no task holds a whole group. Tasks return a forest of the links that they find, never all pairs.
+The global order of the shingles is cut into fragments twice. First, fragments of about ``FRAGMENT`` shingles each count
+for every document how many of its shingles there stand in another document too; the counts are summed per document. A
+document with fewer shared shingles than the similarity asks for has no partner and is done. This drops common passages,
+which alone never fill a document. Of the rest, equal sets are one class with its smallest doc_id as representative.
+
+The pairs of representatives that may be linked share a shingle of their prefixes (their rarest shingles, of which
+similar sets must share one). Their sets are cut at the same places of the order into ``CUTS`` fragments, the overlap of
+each pair is counted in each fragment by itself, and the counts are summed per pair. Not all pairs of a group are
+candidates: in a first round each document meets the hub of each prefix shingle, which is the document with fewest
+shingles of its own, so a group of copies costs as many pairs as it has members. In a second round only documents meet
+that share a prefix shingle, stand in different components after the first, and pass the length and position filters.
+Such a shingle's rows are dealt over cells of at most ``BLOCK`` rows a side; rows of its largest component meet the
+others only. Pairs within a component need no test, as their link would add nothing.
 
 Defined cases: null or empty text has an empty set and is its own component; texts of fewer words than a shingle are one
-shingle; a null doc_id has its set size and a null component; rows that repeat a doc_id are one node; an empty table
-gives no rows; extra columns are dropped.
+shingle; texts of any length are read whole, a set's memory follows its distinct shingles; a null doc_id has its set size
+and a null component; rows that repeat a doc_id are one node with each row's links; ties of hubs go to the smaller
+doc_id; an empty table gives no rows; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import Bounded, byte_column, join_hot, partitions, release, releasing, slices, written
-from assaylake.llm.graph import UnionFind, components
+from assaylake.llm.common import Bounded, byte_column, discard, join_hot, partitions, release, releasing, slices, written
+from assaylake.llm.graph import components
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW = 5  # bytes of a shingle's hash that a fragment gets; the fragment itself stands for the upper ones
-#: Bounds of a task of the pair stage.
-BLOCK_DOCS, BLOCK_SHINGLES = 2000, 400_000
+#: Bytes of text whose shingles a block holds, and that a fragment of the first cut holds on average (two million shingles).
+TEXT, FRAGMENT = 3 << 20, 12 << 20
+#: Fragments of the second cut, and rows on a side of a cell.
+CUTS, BLOCK = 8, 1000
 
 
 class Shingler:
@@ -42,7 +47,7 @@ class Shingler:
     def __init__(self, words: int):
         import xxhash
 
-        self.n, self.word = words, Bounded(xxhash.xxh3_64_intdigest, 200_000)
+        self.n, self.word = words, Bounded(xxhash.xxh3_64_intdigest, 50_000)
 
     def block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All shingles of the texts with repeats, and the index of each one's text."""
@@ -89,7 +94,7 @@ def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
     def run(batches):
         shingler, part, seq = Shingler(words), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in slices(whole, "text", 6 << 20):
+            for b in slices(whole, "text", TEXT):
                 block = part << 24 | seq
                 seq += 1
                 h, d = shingler.block(byte_column(b, "text"))
@@ -108,7 +113,7 @@ def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
                 ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
                 out = {"fragment": [-1 - block % fragments], "own": [zlib.compress(np.stack([n, shared, valid]).astype("<i4").tobytes(), 1)], "low": [ids.tobytes()]}
                 h, d, size = h[lead], d[lead], size
-                frag = ((h >> np.uint64(48)).astype(np.int64) * fragments) >> 16
+                frag = ((h >> np.uint64(34)).astype(np.int64) * fragments) >> 30
                 d = np.where(size > 1, b.num_rows, d)
                 order = np.argsort(frag * (b.num_rows + 1) + d, kind="stable")
                 h, d, frag = h[order], d[order], frag[order]
@@ -130,27 +135,27 @@ def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
 
 def _count_fragment(t: pa.Table) -> pa.Table:
     """For each block, how many shingles of each of its documents stand in other blocks too."""
-    release()
     if t.num_rows == 0 or t.column("fragment")[0].as_py() < 0:
         return t.select(["block", "own", "low"])
-    owns = [np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in t.column("own").to_pylist()]
     rows = []
     for x in t.column("low").to_pylist():
         wide = np.zeros((len(x) // _LOW, 8), np.uint8)
         wide[:, :_LOW] = np.frombuffer(x, np.uint8).reshape(-1, _LOW)
         rows.append(wide.view("<u8").ravel())
     h = np.concatenate(rows)
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    lead = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    size = np.diff(np.append(lead, len(s)))
-    shared = np.zeros(len(h), np.int64)
-    shared[order] = np.repeat(size > 1, size)
-    out, at = [], 0
-    for own, row in zip(owns, rows):
-        ends = np.append(0, np.cumsum(shared[at : at + len(row)]))[np.append(0, np.cumsum(own))]
+    h.sort()
+    again = h[1:][h[1:] == h[:-1]]
+    del h
+    again = again[np.append(True, again[1:] != again[:-1])] if len(again) else again
+    out = []
+    for own, row in zip(t.column("own").to_pylist(), rows):
+        own = np.frombuffer(zlib.decompress(own), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(again, row), max(len(again) - 1, 0))
+        shared = again[at] == row if len(again) else np.zeros(len(row), bool)
+        ends = np.append(0, np.cumsum(shared))[np.append(0, np.cumsum(own))]
         out.append(zlib.compress(np.diff(ends)[:-1].astype("<i4").tobytes(), 1))
-        at += len(row)
+    del rows
+    release()
     return pa.table([t.column("block"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=["block", "own", "low"])
 
 
@@ -169,7 +174,8 @@ def _sum_block(t: pa.Table) -> pa.Table:
 
 def count_shared(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, shared (shingles that other documents have too) of every document."""
-    parts = _fragments(docs, words, partitions(docs.sparkSession))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = _fragments(docs, words, max(partitions(docs.sparkSession), -(-size // FRAGMENT)))
     counted = parts.groupBy("fragment").applyInArrow(_count_fragment, "block long, own binary, low binary")
     return counted.groupBy("block").applyInArrow(_sum_block, "doc_id long, n_shingles long, shared long")
 
@@ -182,7 +188,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
         shingler = Shingler(words)
         for whole in batches:
-            for b in slices(whole, "text", 6 << 20):
+            for b in slices(whole, "text", TEXT):
                 h, d = shingler.block(byte_column(b, "text"))
                 order = np.lexsort((h, d))
                 h, d = h[order], d[order]
@@ -197,122 +203,155 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _exploded(sets: DataFrame) -> DataFrame:
-    """doc_id, shingle of every set."""
+    """node, doc_id, n, shingle of every set."""
 
     def run(batches):
         for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
+            for i in range(0, whole.num_rows, 200):
+                b = whole.slice(i, 200)
                 keys = [np.frombuffer(x, "<i8") for x in b.column("shingles").to_pylist()]
-                ids = np.repeat(b.column("doc_id").to_numpy(), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], ["doc_id", "shingle"])
+                size = [len(x) for x in keys]
+                cols = [np.repeat(b.column(c).to_numpy(), size) for c in ("node", "doc_id", "n")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.concatenate(keys))], ["node", "doc_id", "n", "shingle"])
 
-    return sets.select("doc_id", "shingles").mapInArrow(releasing(run), "doc_id long, shingle long")
+    return sets.mapInArrow(releasing(run), "node long, doc_id long, n long, shingle long")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id, shingle: of n shingles, rarest first, the n - ceil(n * percent / 100) + 1 of which similar sets share one.
+    """shingle, node, doc_id, n, held, pos: of n shingles, rarest first, the n - ceil(n * percent / 100) + 1 of which similar sets share one.
 
-    Shingles of one set alone match nothing and are only counted; sets that share too few of theirs have no partner.
+    Shingles of one set alone match nothing and are only counted: ``held`` are the others, and ``pos`` is a place among
+    them. Sets that share too few have no partner.
     """
     rows = _exploded(sets)
-    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = rows.join(common, "shingle").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "shingle"))).alias("shared"))
-    alive = sets.select("doc_id", "n").join(shared, "doc_id").filter(100 * F.size("shared") >= percent * F.col("n"))
-    length = F.size("shared") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return alive.select("doc_id", F.explode(F.slice("shared", 1, length)).alias("x")).select("doc_id", "x.shingle")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumn("often", F.col("k"))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    ranked = join_hot(rows, common, "shingle", "k", total).selectExpr("shingle", "node", "doc_id", "n", "count(*) over (partition by node) as held", "row_number() over (partition by node order by often, shingle) - 1 as pos")
+    return ranked.filter(f"100 * held >= {percent} * n and pos <= held - ceil(n * {percent} / 100)")
+
+
+def _hub_pairs(prefixes: DataFrame, percent: int, total: int) -> DataFrame:
+    """Pairs of each document with the hub of each of its prefix shingles; as many as prefix rows at most."""
+    hub = F.min(F.struct((F.col("n") - F.col("held")).alias("lone"), "doc_id", "node", "n"))
+    hubs = prefixes.groupBy("shingle").agg(hub.alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    met = join_hot(prefixes, hubs, "shingle", "k", total).selectExpr("node as a", "doc_id as da", "n as na", "hub.node as b", "hub.doc_id as db", "hub.n as nb")
+    return met.filter(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").distinct()
 
 
-def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int, pieces: int = 8) -> list[tuple[int, int]]:
-    """A forest of the links among documents; where there are two sides, of those between them.
+def _cross_pairs(placed: DataFrame, percent: int, total: int) -> DataFrame:
+    """Pairs of documents of different components that share a prefix shingle and pass the filters.
 
-    The order is cut into ``pieces`` fragments, whose overlaps are counted from posting lists and summed per pair.
+    ``placed`` are the prefixes with their component. Where the two meet at their first common shingle, their overlap is
+    at most one more than the shorter rest behind it; similar sets meet there, so no other place can lose them.
     """
-    n = np.array([len(x) for x in sets], np.int64)
-    cross = len(np.unique(sides)) > 1
-    order = np.argsort(sides, kind="stable")  # the first side's documents come first
-    ids, n, sets = ids[order], n[order], [sets[i] for i in order]
-    turn = int((np.sort(sides) != sides.min()).argmax()) if cross else 0
-    h = np.concatenate(sets)
-    d = np.repeat(np.arange(len(sets)), n)
-    by = np.argsort(h, kind="stable")
-    h, d = h[by], d[by]
-    lead = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    size = np.diff(np.append(lead, len(h)))
-    start = np.repeat(lead, size)
-    slot = np.empty(len(h), np.int64)
-    slot[by] = np.arange(len(h))  # where each set's shingle stands in the posting lists
-    ends = np.append(0, np.cumsum(n))
-    stop = start + np.repeat(size, size)
-    found, links = UnionFind(), []
-    for x in range(turn if cross else 1, len(sets)):
-        at = slot[ends[x] : ends[x + 1]]  # ascending: sets are sorted
-        overlap = np.zeros(len(sets), np.int64)
-        for cut in np.array_split(at, pieces) if len(at) > 4096 else [at]:
-            a = start[cut]
-            b = np.minimum(stop[cut], cut)  # documents before this one
-            length = b - a
-            total = int(length.sum())
-            if total:
-                run = np.arange(total) + np.repeat(a - (np.cumsum(length) - length), length)
-                overlap += np.bincount(d[run], minlength=len(sets))
-        near = np.flatnonzero(100 * overlap[: turn if cross else x] >= percent * (n[x] + n[: turn if cross else x] - overlap[: turn if cross else x]))
-        for y in near.tolist():
-            if found.union(x, y):
-                links.append((int(ids[x]), int(ids[y])))
-    return links
-
-
-def _link_blocks(percent: int):
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("doc_id").to_numpy()
-        sides = t.column("own_block").to_numpy()
-        a, b = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        links = []
-        if a == b or len(np.unique(sides)) > 1:
-            links = linked_pairs(ids, [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()], sides, percent)
-        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def join_links(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links among distinct sets (doc_id, n, shingles), enough to connect all that are linked."""
-    prefixes = written(_prefixes(sets, percent), "prefixes")
-    hubs = prefixes.groupBy("shingle").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    ties = join_hot(prefixes, hubs, "shingle", "k", prefixes.count()).filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    groups = written(components(ties), "groups")
-    placed = groups.withColumnRenamed("node", "doc_id").hint("merge").join(sets.select("doc_id", "n"), "doc_id")
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
-    sizes = sizes.select("component", "docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = join_hot(placed, sizes, "component", "docs", groups.count()).withColumn("own_block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.hint("merge").join(sets.select("doc_id", "shingles"), "doc_id")
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), "doc_id", "own_block", "shingles")
-    return dealt.groupBy("component", "i", "j").applyInArrow(_link_blocks(percent), "a long, b long")
+    each = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = F.max(F.struct("k", "component"))
+    shingles = each.groupBy("shingle").agg(F.sum("k").alias("k"), largest.alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shingles = shingles.selectExpr("shingle", "k", "top.component as top", f"cast(ceil(top.k / {BLOCK}) as int) as across", f"cast(ceil((k - top.k) / {BLOCK}) as int) as down")
+    rows = join_hot(placed, shingles, "shingle", "k", total)
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    upto = lambda a, b: F.explode(F.sequence(a, b))
+    zero, names = F.lit(0), ["shingle", "node", "doc_id", "n", "held", "pos", "component"]
+    top = rows.filter("component = top").select(*names, block("across").alias("i"), upto(zero, F.col("down") - 1).alias("j"))
+    rest = rows.filter("component <> top").withColumn("own", block("down"))
+    beside = rest.select(*names, F.col("own").alias("j"), upto(zero, F.col("across") - 1).alias("i"))
+    left = rest.select(*names, F.col("own").alias("i"), upto(F.col("own"), F.col("down") - 1).alias("j"))
+    right = rest.select(*names, F.col("own").alias("j"), upto(zero, F.col("own")).alias("i"))
+
+    def meet(x: DataFrame, y: DataFrame, once: str) -> DataFrame:
+        y = y.select("shingle", "i", "j", *[F.col(c).alias(f"{c}_") for c in names[1:]])
+        near = f"{once} and component <> component_ and 100 * least(n, n_) >= {percent} * greatest(n, n_) and {100 + percent} * least(held - pos, held_ - pos_) >= {percent} * (n + n_)"
+        return x.join(y.hint("merge"), ["shingle", "i", "j"]).filter(near).selectExpr("struct(node, doc_id, n) as x", "struct(node_ as node, doc_id_ as doc_id, n_ as n) as y")
+
+    met = meet(top, beside, "true").unionByName(meet(left, right, "(i < j or node < node_)"))
+    ordered = met.selectExpr("greatest(x, y) as x", "least(x, y) as y")
+    return ordered.selectExpr("x.node as a", "x.doc_id as da", "x.n as na", "y.node as b", "y.doc_id as db", "y.n as nb").distinct()
+
+
+def _segments(sets: DataFrame) -> DataFrame:
+    """node, fragment, part: each set's shingles in each of the ``CUTS`` fragments of the order, packed."""
+
+    def run(batches):
+        bounds = np.array([(f << 64) // CUTS for f in range(CUTS)], np.uint64)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 200):
+                b = whole.slice(i, 200)
+                out = {"node": [], "fragment": [], "part": []}
+                for node, x in zip(b.column("node").to_pylist(), b.column("shingles").to_pylist()):
+                    cuts = np.append(np.searchsorted(np.frombuffer(x, "<u8"), bounds), len(x) // 8).tolist()
+                    for f, (p, q) in enumerate(zip(cuts, cuts[1:])):
+                        if p < q:
+                            out["node"].append(node)
+                            out["fragment"].append(f)
+                            out["part"].append(x[8 * p : 8 * q])
+                yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["fragment"], pa.int32()), pa.array(out["part"], pa.binary())], list(out))
+
+    return sets.select("node", "shingles").mapInArrow(releasing(run), "node long, fragment int, part binary")
+
+
+#: A pair: two sets, the doc_ids of their representatives and their sizes.
+PAIR = ["a", "da", "na", "b", "db", "nb"]
+
+
+def _partial(batches):
+    """The overlap of each pair in a fragment."""
+    for whole in batches:
+        for b in slices(whole, "part", 4 << 20):
+            got = []
+            for x, y in zip(b.column("part").to_pylist(), b.column("other").to_pylist()):
+                both = np.concatenate([np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")])
+                both.sort(kind="stable")
+                got.append(int((both[1:] == both[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in PAIR], pa.array(got, pa.int64())], [*PAIR, "overlap"])
+
+
+def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked: partial overlaps in each fragment, summed per pair."""
+    total = pairs.count()
+    by = lambda c: segments.withColumnRenamed("node", c).join(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("k")).hint("merge"), c)
+    ones = join_hot(pairs, by("b"), "b", "k", total).withColumnRenamed("part", "other").withColumn("_at", F.struct("a", "fragment"))
+    met = join_hot(ones, by("a").select(F.struct("a", "fragment").alias("_at"), "part", "k"), "_at", "k", total * CUTS).select(*PAIR, "part", "other")
+    summed = met.mapInArrow(releasing(_partial), ", ".join(f"{c} long" for c in [*PAIR, "overlap"])).groupBy(*PAIR).agg(F.sum("overlap").alias("overlap"))
+    return summed.filter(f"100 * overlap >= {percent} * (na + nb - overlap)").select(*PAIR)
+
+
+def join_links(sets: DataFrame, percent: int, folders: list[str]) -> DataFrame:
+    """a, b: links among distinct sets (node, doc_id, n, shingles) by doc_id, enough to connect all that are linked."""
+    prefixes = written(_prefixes(sets, percent), "prefixes", folders)
+    total = prefixes.count()
+    pairs = written(_hub_pairs(prefixes, percent, total), "hub-pairs", folders)
+    segments = written(_segments(sets.join(prefixes.select("node").distinct().hint("merge"), "node", "left_semi")), "segments", folders)
+    first = written(_links(pairs, segments, percent), "hub-links", folders)
+    placed = prefixes.join(components(first.select("a", "b")).hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = written(_cross_pairs(written(placed, "placed", folders), percent, total), "cross-pairs", folders)
+    return _links(more, segments, percent).unionByName(first).select(F.col("da").alias("a"), F.col("db").alias("b"))
 
 
 def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links are Jaccard similarities of at least ``percent`` / 100."""
-    docs = _prepare(docs)
+    docs, folders = _prepare(docs), []
     counted = written(count_shared(docs, words), "shared")
     alive = counted.filter(f"doc_id is not null and n_shingles > 0 and 100 * shared >= {percent} * n_shingles").select("doc_id").distinct()
-    sets = written(_sets(docs.join(alive.hint("merge"), "doc_id", "left_semi"), words), "sets")
+    sets = written(_sets(docs.join(alive.hint("merge"), "doc_id", "left_semi"), words), "sets", folders)
     known = sets.select("doc_id", "digest", "n").filter("n > 0")
-    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")), "classes")
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "digest").hint("merge"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "shingles")
-    links = join_links(reps, percent)
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")), "classes", folders)
+    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "digest").hint("merge"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.monotonically_increasing_id().alias("node"), "doc_id", "n", "shingles")
+    links = join_links(written(reps, "representatives", folders), percent, folders)
     members = join_hot(known, classes, "digest", "k", known.count()).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(members)).withColumnRenamed("node", "doc_id")
+    discard(docs.sparkSession, folders)
     return counted.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first_of_each(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """The documents of which ``doc_id`` is its component's smallest, with all their columns.
 
-    Rows that repeat both doc_id and text are one; rows without a doc_id stay.
+    Rows that repeat both doc_id and text are one; rows without a doc_id stay. Texts are moved once, and compared only where a doc_id repeats.
     """
-    joined = join_documents(docs, words, percent)
-    gone = joined.filter("doc_id <> component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.filter("doc_id is null"))
+    joined = join_documents(docs, words, percent).filter("doc_id is not null")
+    marks = joined.groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("gone"), (F.count(F.lit(1)) > 1).alias("again")).filter("gone or again")
+    marks = written(marks, "marks")
+    single = docs.join(marks.select("doc_id").hint("merge"), "doc_id", "left_anti")
+    again = marks.filter("again and not gone").select("doc_id")
+    twice = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(twice)

@@ -49,13 +49,32 @@ def test_components_match_brute_force(spark, make, seed):
     assert got == {i: (len(shingles(t)), want[i]) for i, t in enumerate(texts)}
 
 
-def test_block_pairs_lose_no_link(spark, make, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 7)
+def test_cells_lose_no_link(spark, make, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "FRAGMENT", 2000)
+    monkeypatch.setattr(ngram_join, "TEXT", 1500)
     texts = corpus(3)
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_documents(make(texts)).collect()}
     assert got == brute(list(enumerate(texts)))
 
 
+def test_links_beside_hubs_are_found(spark, make, monkeypatch):
+    """Chains: each text is near the next only, so hubs alone do not connect them."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(8)
+    texts = []
+    for c in range(6):
+        x = [f"c{c}w{i}" for i in range(120)]
+        for _ in range(12):
+            at = rng.randrange(110)
+            x = x[:at] + [f"n{rng.random()}"] + x[at + 1 :]
+            texts.append(" ".join(x))
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_documents(make(texts)).collect()}
+    want = brute(list(enumerate(texts)))
+    assert got == want and len(set(want.values())) < len(texts) / 2
+
+
 def test_join_edges(spark, make):
     assert ngram_join.join_documents(make(["x"]).filter("false")).count() == 0
     got = ngram_join.join_documents(make(["a b c d e", "a b c d e", None], [5, 3, None])).collect()
@@ -72,21 +91,23 @@ def test_one_of_each_group_stays(spark, make):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute(list(enumerate(texts))).values()))
 
 
-def test_linked_pairs_with_long_sets():
+def test_partial_overlaps_of_long_sets(spark):
     rng = np.random.default_rng(0)
-    sets = [np.sort(rng.choice(9000, 6000, replace=False)).astype(np.uint64) for _ in range(6)]
-    sets.append(np.sort(np.append(sets[0][:-200], np.arange(20000, 20100))).astype(np.uint64))
-    links = ngram_join.linked_pairs(np.arange(7), sets, np.zeros(7, int), 85)
-    want = graph.UnionFind()
-    for i in range(7):
-        for j in range(i):
-            o = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * o >= 85 * (len(sets[i]) + len(sets[j]) - o):
-                want.union(i, j)
-    found = graph.UnionFind()
-    for a, b in links:
-        found.union(a, b)
-    assert [found.find(i) for i in range(7)] == [want.find(i) for i in range(7)]
+    sets = [np.unique(rng.integers(0, 2**63, 6000, dtype=np.uint64) * np.uint64(2)) for _ in range(4)]
+    sets.append(np.unique(np.append(sets[0][:-200], rng.integers(0, 2**63, 100, dtype=np.uint64))))
+    rows = [(i, i, len(x), bytearray(x.astype("<u8").tobytes())) for i, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node long, doc_id long, n long, shingles binary")
+    pairs = spark.createDataFrame([(i, i, len(sets[i]), j, j, len(sets[j])) for i in range(5) for j in range(i)], ", ".join(f"{c} long" for c in ngram_join.PAIR))
+    got = {(r["a"], r["b"]) for r in ngram_join._links(pairs, ngram_join._segments(table), 85).collect()}
+    near = lambda x, y: 100 * len(np.intersect1d(x, y)) >= 85 * len(np.union1d(x, y))
+    assert got == {(i, j) for i in range(5) for j in range(i) if near(sets[i], sets[j])} == {(4, 0)}
+
+
+def test_repeated_ids_with_other_texts_are_one_node(spark, make):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = make([a, a + " x", b, b + " y", a, None, ""], [9, 5, 5, 7, 9, 7, 3])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_documents(docs).collect())
+    assert got == [(3, 0, 3), (5, 57, 5), (5, 58, 5), (7, 0, 5), (7, 58, 5), (9, 57, 5), (9, 57, 5)]
 
 
 def test_components(spark):

@@ -7,19 +7,35 @@ from pyspark.sql import functions as F
 
 #: Splits evidence into tokens; a dot stays inside its token.
 EVIDENCE_SPLIT = r"[\s\"'`:,;|\\\[\]{}()<>=]+"
-#: Kinds of personal data and their patterns.
+# The scan's and the redaction's patterns, the order of redactions, and the words without content.
+#: Kinds of personal data that the scan counts.
 PII = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}",
-    "card": r"[0-9]{4}[- ][0-9]{4}[- ][0-9]{4}[- ][0-9]{4}",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "phone": r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "credit_card": r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b",
+    "medical_record": r"\bMRN[:\s-]?\d{6,}\b|\bMedical\s+Record\s+#?\s*\d{6,}\b",
+    "insurance_number": r"\b(?:Policy|Insurance|Member|ID)[\s#:]*\d{6,}\b",
+    "driver_license": r"\b[A-Z]{1,2}\d{6,}\b|\bDL[:\s-]?\d{6,}\b",
+    "passport": r"\b[A-Z]{1,2}\d{6,9}\b|\bPassport[:\s#]*\d{6,9}\b",
+    "ip_address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
+    "mac_address": r"\b([0-9A-Fa-f]{2}[:-]){5}([0-9A-Fa-f]{2})\b",
 }
-#: Applied in this order.
-REDACTIONS = ("email", "card", "ssn", "phone", "ip", "date")
-#: Words that carry no content for grounding.
-STOPWORDS = ("about", "after", "also", "been", "from", "have", "into", "more", "that", "their", "them", "then", "there", "they", "this", "were", "what", "when", "which", "with", "would", "your")
+#: Replaced one after the other, in this order.
+REDACTIONS = {
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "phone": r"\b\+?1?\s*\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
+    "dob": r"(?i)\b(?:dob|date of birth|born on)\b[:\s]*\d{1,2}[/-]\d{1,2}[/-]\d{2,4}",
+    "mrn": r"(?i)\b(?:mrn|medical record number|patient id|patient identifier)\s*[:#]?\s*[A-Za-z0-9\-]{4,}\b",
+    "address": r"(?i)\b\d{1,5}\s+[A-Za-z0-9.\- ]+\s+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl)\b",
+}
+STOPWORDS = (
+    "a an and are as at be been but by can did do does for from had has have her here his how into its "
+    "may not now off our out per she should so some such than that the their them then there these they this those "
+    "through thus to too was were what when where which while who whom why will with would yes you your yours"
+).split()
+CONTEXT = 50
 
 
 def words(text: Column, pattern: str) -> Column:
@@ -56,19 +72,18 @@ def runs(words: Column, n: int) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Drops ing or ed where three letters stay before it, else one trailing s (but not of ss)."""
+    """Drops ing or ed, else one trailing s (but not of ss), where three characters stay before it."""
     return (
         F.when((F.length(token) >= 6) & token.endswith("ing"), F.substring(token, F.lit(1), F.length(token) - 3))
         .when((F.length(token) >= 5) & token.endswith("ed"), F.substring(token, F.lit(1), F.length(token) - 2))
-        .when(token.endswith("s") & ~token.endswith("ss"), F.substring(token, F.lit(1), F.length(token) - 1))
+        .when((F.length(token) >= 4) & token.endswith("s") & ~token.endswith("ss"), F.substring(token, F.lit(1), F.length(token) - 1))
         .otherwise(token)
     )
 
 
-def salient_stems(text: Column) -> Column:
-    """Stems of the tokens that carry content: all with a digit, and words of four letters or more that are no stopword."""
-    tokens = words(text, "[^a-z0-9]+")
-    kept = F.filter(tokens, lambda x: x.rlike("[0-9]") | ((F.length(x) >= 4) & ~x.isin(*STOPWORDS)))
+def salient_stems(text: Column, least: int = 4) -> Column:
+    """Stems of the tokens that carry content: all numbers, and of the others those of ``least`` characters or more that are no stopword."""
+    kept = F.filter(words(text, "[^a-z0-9]+"), lambda x: x.rlike("^[0-9]+$") | ((F.length(x) >= least) & ~x.isin(*STOPWORDS)))
     return F.array_distinct(F.transform(kept, stem))
 
 
@@ -77,8 +92,8 @@ def source_stems(text: Column) -> Column:
 
 
 def redacted(text: Column) -> Column:
-    for kind in REDACTIONS:
-        text = F.regexp_replace(text, PII[kind], f"[REDACTED_{kind.upper()}]")
+    for kind, pattern in REDACTIONS.items():
+        text = F.regexp_replace(text, pattern, f"[REDACTED_{kind.upper()}]")
     return text
 
 
@@ -86,9 +101,18 @@ def matches(text: Column, kind: str) -> Column:
     return F.regexp_count(text, F.lit(PII[kind]))
 
 
+def spans(text: Column, kind: str) -> Column:
+    """Every match of a kind with its start, from 0, and the text around it, ``CONTEXT`` characters on either side."""
+    found, between = F.regexp_extract_all(text, F.lit(PII[kind]), F.lit(0)), F.split(text, PII[kind], -1)
+    length = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + F.length(y))
+    start = lambda i: length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i))
+    around = lambda v, a: F.substring(text, F.greatest(a - CONTEXT, F.lit(0)) + 1, F.least(a, F.lit(CONTEXT)) + F.length(v) + CONTEXT)
+    return F.transform(found, lambda v, i: F.struct(v.alias("value"), start(i).alias("start"), around(v, start(i)).alias("context")))
+
+
 def head_and_tail(text: Column, most: int = 2000, each: int = 800) -> Column:
     """Texts beyond ``most`` characters keep their first and last ``each``."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, each), F.lit("\n...\n"), F.substring(text, -each, each))).otherwise(text)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, each), F.lit("\n...[truncated]...\n"), F.substring(text, -each, each))).otherwise(text)
 
 
 def line_with(text: Column, token: Column) -> Column:

@@ -79,6 +79,12 @@ def pii_scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[t.matches(F.col("text"), k).cast("long").alias(k) for k in t.PII])
 
 
+def pii_spans(docs: DataFrame) -> DataFrame:
+    """Every occurrence of personal data: its kind, start, value and context."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), t.spans(F.col("text"), k).alias("found")) for k in t.PII])
+    return docs.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.kind", F.explode("x.found").alias("y")).select("doc_id", "kind", F.col("y.start").cast("long").alias("start"), "y.value", "y.context")
+
+
 def redaction(docs: DataFrame) -> DataFrame:
     """Length and digest of each text after redaction, and the number of marks."""
     out = t.redacted(F.col("text"))

@@ -53,14 +53,14 @@ def compose_runs(votes: DataFrame) -> DataFrame:
 
 
 def pack_rollup(votes: DataFrame) -> DataFrame:
-    """Over all cases: mean match rate, share of unstable cases, false blocks on modal verdicts."""
+    """Over all cases: mean match rate, share of unstable cases, and of the clean cases those whose modal verdict blocks or asks for review."""
     c = case_rollup(votes)
     clean = ~F.col("gold_block")
     return c.agg(
         F.count(F.lit(1)).alias("cases"),
         F.round(F.avg("match_rate"), 4).alias("mean_match_rate"),
         F.round(F.avg((F.col("instability") > 0).cast("double")), 4).alias("instability_rate"),
-        F.round(ratio(F.count_if(clean & (F.col("modal_verdict") == "BLOCK")), F.count_if(clean)), 4).alias("false_block_rate"),
+        F.round(ratio(F.count_if(clean & F.col("modal_verdict").isin("BLOCK", "WARN")), F.count_if(clean)), 4).alias("false_block_rate"),
     )
 
 

@@ -35,9 +35,9 @@ def judge_scorecard(findings: DataFrame, gold: DataFrame) -> DataFrame:
     return pairs.groupBy("role").agg(*_counts()).select("role", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"))
 
 
-def majority_scorecard(votes: DataFrame, run: int = 0) -> DataFrame:
+def majority_scorecard(votes: DataFrame) -> DataFrame:
     """Blocking majority of each case, with TIE as a verdict of its own, against gold."""
-    by = votes.filter(F.col("run") == run).groupBy("case_id").agg(F.first("gold_block").alias("gold"), F.count_if(F.col("vote") == "BLOCK").alias("b"), F.count_if(F.col("vote") == "PASS").alias("p"))
+    by = votes.groupBy("case_id").agg(F.first("gold_block").alias("gold"), F.count_if(F.col("vote") == "BLOCK").alias("b"), F.count_if(F.col("vote") == "PASS").alias("p"))
     verdict = F.when(F.col("b") > F.col("p"), "BLOCK").when(F.col("p") > F.col("b"), "PASS").otherwise("TIE")
     return by.groupBy(verdict.alias("majority")).agg(F.count(F.lit(1)).alias("cases"), F.count_if("gold").alias("gold_block"), F.count_if(~F.col("gold")).alias("gold_clean"))
 

@@ -10,36 +10,36 @@ from assaylake.plans.scorecard import _lens
 from assaylake.sources import relations as r
 from assaylake.sources.relations import _u, sql
 
-_TIERS = """one as (select case_id, code, role, bool_or(has_evidence) as evidence, any_value(tier) as tier, any_value(pillar) as pillar, any_value(owner) as owner from findings where run = 0 group by case_id, code, role),
+_TIERS = """one as (select case_id, code, role, bool_or(has_evidence) as evidence, any_value(tier) as tier, any_value(pillar) as pillar, any_value(owner) as owner from run_findings group by case_id, code, role),
   b as (select case_id, code, any_value(tier) as tier, any_value(pillar) as pillar, count(*) as judges, count(*) filter (evidence) as with_evidence, bool_or(evidence and (owner = '' or owner = role)) as owned from one group by case_id, code),
   tiers as (select case_id, code, tier, pillar, judges, with_evidence, case tier
     when 1 then case when judges >= 2 and with_evidence >= 2 then 'triggered' when judges = 1 and owned then 'triggered' else 'flagged' end
     when 2 then case when judges >= 2 then 'triggered' else 'flagged' end else case when judges >= 2 then 'corroborated' else 'listed' end end as state from b)"""
 _CONSENSUS = f"""{_TIERS}, v as (select case_id, count(*) as valid, max(case vote when 'BLOCK' then 2 when 'WARN' then 1 else 0 end) as worst, bool_or(role = 'faithfulness' and vote = 'PASS') as faithful,
     bool_or(role <> 'faithfulness' and vote = 'BLOCK') as other_block, greatest(count(*) filter (vote = 'BLOCK'), count(*) filter (vote = 'WARN'), count(*) filter (vote = 'PASS')) as majority,
-    coalesce(avg(confidence), 0.0) as confidence from votes where run = 0 group by case_id),
+    coalesce(avg(confidence), 0.0) as confidence from run_votes group by case_id),
   t as (select case_id, count(*) filter (tier = 1 and state = 'triggered') as tier1 from tiers group by case_id),
   final as (select v.case_id, valid, coalesce(tier1, 0) as tier1, case when valid < 2 then 'WARN' when coalesce(tier1, 0) > 0 then 'BLOCK' when faithful and not other_block then 'PASS'
     when worst = 2 then 'BLOCK' when worst = 1 then 'WARN' else 'PASS' end as verdict, confidence, majority >= 2 as consensus, majority < 2 or confidence < 0.6 as uncertain from v left join t on v.case_id = t.case_id)"""
-_DISPROVED = f"disproved as (select distinct case_id, code from findings where run = 0 and {_u(chr(39) + 'disprove' + chr(39), 'case_id', 'code')} < 0.25)"
+_DISPROVED = f"disproved as (select distinct case_id, code from run_findings where {_u(chr(39) + 'disprove' + chr(39), 'case_id', 'code')} < 0.25)"
 _SEVERITY = "severity as (select * from (values ('HIGH', 1.0::double), ('MEDIUM', 0.5::double), ('LOW', 0.2::double)) s(severity, weight))"
 _BUCKETS = f"""{_DISPROVED}, {_SEVERITY}, buckets as (select f.case_id, f.role, f.code, f.severity, s.weight, case when not gradeable then 'skipped_non_gradeable' when d.code is not null then 'suppressed'
-    when not has_evidence then 'ungrounded' else 'active' end as bucket from findings f left join disproved d on f.case_id = d.case_id and f.code = d.code left join severity s on f.severity = s.severity where run = 0)"""
+    when not has_evidence then 'ungrounded' else 'active' end as bucket from run_findings f left join disproved d on f.case_id = d.case_id and f.code = d.code left join severity s on f.severity = s.severity)"""
 _W = "coalesce(max(weight) filter (bucket {}), 0.0)"
 _VERDICT = "case when {0} >= 0.5 then 'BLOCK' when {0} > 0.0 then 'WARN' else 'PASS' end"
 
 
 def _votes(s, d):
-    return r.votes(s, d).filter("run = 0")
+    return r.run_votes(s, d)
 
 
 def _disproved(s, d):
-    f = r.findings(s, d, 0)
+    f = r.run_findings(s, d)
     return f.filter(uniform("disprove", F.col("case_id"), F.col("code")) < 0.25).select("case_id", "code").distinct()
 
 
 def _buckets(s, d):
-    return op.ground_findings(r.findings(s, d, 0), _disproved(s, d), s.createDataFrame(list(r.SEVERITY), "severity string, weight double"))
+    return op.ground_findings(r.run_findings(s, d), _disproved(s, d), s.createDataFrame(list(r.SEVERITY), "severity string, weight double"))
 
 
 def _stages(s, d):
@@ -49,16 +49,17 @@ def _stages(s, d):
 
 
 QUERIES = {
-    "c02_tier_rules": (lambda s, d: op.code_tiers(r.findings(s, d, 0)), sql(f"with {_TIERS} select * from tiers", "findings")),
+    "c02_tier_rules": (lambda s, d: op.code_tiers(r.run_findings(s, d)), sql(f"with {_TIERS} select * from tiers", "run_votes", "run_findings")),
     "c02_pillars": (
-        lambda s, d: op.pillar_verdicts(op.code_tiers(r.findings(s, d, 0))),
+        lambda s, d: op.pillar_verdicts(op.code_tiers(r.run_findings(s, d))),
         sql(
             f"""with {_TIERS}, p as (select case_id, state, unnest(case pillar when 'dual' then ['artifact', 'conversation'] else [pillar] end) as pillar from tiers)
             select case_id, pillar, case when bool_or(state = 'triggered') then 'BLOCK' when bool_or(state in ('flagged', 'corroborated')) then 'WARN' else 'PASS' end as verdict from p group by case_id, pillar""",
-            "findings",
+            "run_votes",
+            "run_findings",
         ),
     ),
-    "c02_verdict": (lambda s, d: op.consensus(_votes(s, d), r.findings(s, d, 0)), sql(f"with {_CONSENSUS} select * from final", "findings")),
+    "c02_verdict": (lambda s, d: op.consensus(_votes(s, d), r.run_findings(s, d)), sql(f"with {_CONSENSUS} select * from final", "run_votes", "run_findings")),
     "c04_outcome": (
         lambda s, d: op.case_outcomes(r.votes(s, d)),
         sql(
@@ -72,42 +73,45 @@ QUERIES = {
         ),
     ),
     "c07_withstands": (
-        lambda s, d: op.withstands(_votes(s, d), r.findings(s, d, 0), _disproved(s, d), _lens(s)),
+        lambda s, d: op.withstands(_votes(s, d), r.run_findings(s, d), _disproved(s, d), _lens(s)),
         sql(
-            f"""with {_DISPROVED}, lens as (select role, code from dim_role, dim_code where owner = '' or owner = role), f as (select case_id, role, code from findings where run = 0),
+            f"""with {_DISPROVED}, lens as (select role, code from dim_role, dim_code where owner = '' or owner = role), f as (select case_id, role, code from run_findings),
             l as (select f.* from f anti join disproved using (case_id, code)), i as (select l.* from l join lens using (role, code)),
             o as (select l.* from l anti join lens using (role, code)), k as (select case_id, role from i union all select case_id, role from o semi join i using (case_id, code))
             select v.case_id, v.role, v.vote, coalesce(h.n, 0) as raised, coalesce(k.n, 0) as kept, case when v.vote = 'BLOCK' and coalesce(h.n, 0) > 0 and coalesce(k.n, 0) = 0 then 'PASS' else v.vote end as decision
-            from (select * from votes where run = 0) v left join (select case_id, role, count(*) as n from f group by all) h on v.case_id = h.case_id and v.role = h.role
+            from run_votes v left join (select case_id, role, count(*) as n from f group by all) h on v.case_id = h.case_id and v.role = h.role
             left join (select case_id, role, count(*) as n from k group by all) k on v.case_id = k.case_id and v.role = k.role""",
-            "findings",
+            "run_votes",
+            "run_findings",
         ),
     ),
     "c10_gate_decision": (
-        lambda s, d: op.gate_decisions(op.consensus(_votes(s, d), r.findings(s, d, 0)), r.findings(s, d, 0)),
+        lambda s, d: op.gate_decisions(op.consensus(_votes(s, d), r.run_findings(s, d)), r.run_findings(s, d)),
         sql(
-            f"""with {_CONSENSUS}, h as (select case_id, bool_or(severity = 'HIGH') as high from findings where run = 0 group by case_id)
+            f"""with {_CONSENSUS}, h as (select case_id, bool_or(severity = 'HIGH') as high from run_findings group by case_id)
             select f.case_id, verdict, case when verdict = 'PASS' then 'allow' when verdict = 'WARN' then 'regenerate' when coalesce(high, false) then 'escalate' else 'regenerate' end as decision
             from final f left join h on f.case_id = h.case_id""",
-            "findings",
+            "run_votes",
+            "run_findings",
         ),
     ),
     "w17_stage_attribution": (
         lambda s, d: op.stage_attribution(_stages(s, d)),
         sql(
-            """with s as (select case_id, role as stage, case role when 'policy' then 0 when 'risk' then 1 else 2 end as ordinal, case vote when 'BLOCK' then 2 when 'WARN' then 1 else 0 end as rank from votes where run = 0)
+            """with s as (select case_id, role as stage, case role when 'policy' then 0 when 'risk' then 1 else 2 end as ordinal, case vote when 'BLOCK' then 2 when 'WARN' then 1 else 0 end as rank from run_votes)
             select case_id, stage, rank from (select *, row_number() over (partition by case_id order by rank desc, ordinal) as k from s) where k = 1""",
-            "votes",
+            "run_votes",
         ),
     ),
-    "g01_buckets": (lambda s, d: _buckets(s, d), sql(f"with {_BUCKETS} select * from buckets", "findings")),
-    "a43_coverage": (lambda s, d: op.coverage_counts(_buckets(s, d)), sql(f"with {_BUCKETS} select bucket, count(*) as n, count(distinct case_id) as cases from buckets group by bucket", "findings")),
+    "g01_buckets": (lambda s, d: _buckets(s, d), sql(f"with {_BUCKETS} select * from buckets", "run_votes", "run_findings")),
+    "a43_coverage": (lambda s, d: op.coverage_counts(_buckets(s, d)), sql(f"with {_BUCKETS} select bucket, count(*) as n, count(distinct case_id) as cases from buckets group by bucket", "run_votes", "run_findings")),
     "u08_rescore": (
         lambda s, d: op.rescore(_buckets(s, d)),
         sql(
             f"""with {_BUCKETS} select case_id, count(*) filter (bucket = 'suppressed') as suppressed, {_VERDICT.format(_W.format("= 'active'"))} as verdict,
             {_VERDICT.format(_W.format("in ('active', 'suppressed')"))} as counterfactual from buckets group by case_id""",
-            "findings",
+            "run_votes",
+            "run_findings",
         ),
     ),
 }

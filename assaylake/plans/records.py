@@ -27,24 +27,25 @@ _RAW = f"""raw as (select doc_id, list_extract([{', '.join(f"'{w}'" for w in _WO
 
 
 def _spoiled(s, d):
-    """Votes of one run, some with faults."""
+    """Votes, some with faults."""
     u = uniform("spoil", F.col("case_id"), F.col("role"))
-    v = r.votes(s, d).filter("run = 0")
+    v = r.run_votes(s, d)
     return v.select("case_id", "role", "run", F.when(u < 0.1, "MAYBE").otherwise(F.col("vote")).alias("vote"), F.when((u > 0.1) & (u < 0.2), F.lit(1.5)).otherwise(F.col("confidence")).alias("confidence"), F.when(u > 0.9, " ").otherwise("fine").alias("summary"))
 
 
 _US = _u("'spoil'", "case_id", "role")
 _SPOILED = f"""spoiled as (select case_id, role, run, case when {_US} < 0.1 then 'MAYBE' else vote end as vote, case when {_US} > 0.1 and {_US} < 0.2 then 1.5 else confidence end as confidence,
-  case when {_US} > 0.9 then ' ' else 'fine' end as summary from votes where run = 0)"""
+  case when {_US} > 0.9 then ' ' else 'fine' end as summary from run_votes)"""
 
 
 def _assigned(s):
     return s.createDataFrame([("risk", "tone"), ("risk", "unsafe_advice"), ("policy", "style")], "role string, code string")
 
 
-def _flags(s, d, run):
-    f = r.findings(s, d, run).groupBy("case_id").agg(F.collect_set("code").alias("flags"))
-    v = r.votes(s, d).filter((F.col("run") == run) & (F.col("role") == "risk")).select("case_id", F.col("vote").alias("verdict"))
+def _flags(s, d, role):
+    """A judge's verdict and flags of every run, as a backend's."""
+    f = r.run_findings(s, d).filter(F.col("role") == role).groupBy("case_id").agg(F.collect_set("code").alias("flags"))
+    v = r.run_votes(s, d).filter(F.col("role") == role).select("case_id", F.col("vote").alias("verdict"))
     return v.join(f, "case_id", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>")))
 
 
@@ -79,7 +80,7 @@ QUERIES = {
         sql(
             f"""with {_SPOILED}, e as (select case_id, role, run, list_filter([case when vote not in ('PASS', 'WARN', 'BLOCK') then 'decision' end, case when confidence < 0 or confidence > 1 then 'confidence' end,
             case when trim(summary) = '' then 'summary' end], lambda x: x is not null) as e from spoiled) select case_id, role, run, array_to_string(e, ',') as errors, len(e) = 0 as usable from e""",
-            "votes",
+            "run_votes",
         ),
     ),
     "p16_taxonomy_lint": (
@@ -87,9 +88,9 @@ QUERIES = {
         sql("select case_id, code, 'D1' as rule from gold_codes where code = 'format' union all select case_id, code, 'D8' from gold_codes join dim_code using (code) where tier = 1 and case_id % 2 <> 0", "gold_codes"),
     ),
     "p17_readiness": (
-        lambda s, d: op.readiness(r.dim_code(s), _lens(s).filter("code <> 'style'"), r.findings(s, d, 0).filter("code <> 'tone'").select("code").distinct()),
+        lambda s, d: op.readiness(r.dim_code(s), _lens(s).filter("code <> 'style'"), r.findings(s, d).filter("code <> 'tone'").select("code").distinct()),
         sql(
-            """with o as (select distinct code from findings where run = 0 and code <> 'tone') select 'no_owner' as "check", code, 'warn' as severity from dim_code where owner = '' union all select 'no_lens', 'style', 'error'
+            """with o as (select distinct code from findings where code <> 'tone') select 'no_owner' as "check", code, 'warn' as severity from dim_code where owner = '' union all select 'no_lens', 'style', 'error'
             union all select 'never_raised', code, 'info' from dim_code anti join o using (code) where gradeable""",
             "findings",
         ),
@@ -115,24 +116,25 @@ QUERIES = {
         sql("select case_id, code from gold_codes union select g.case_id, b.code from gold_codes g join dim_code a on g.code = a.code join dim_code b on a.family = b.family and a.family <> ''", "gold_codes"),
     ),
     "c06_judge_signals": (
-        lambda s, d: op.judge_signals(r.findings(s, d, 0), _lens(s), s.createDataFrame(list(r.SEVERITY), "severity string, weight double")),
-        sql(f"with {_LENS}, {_SEVERITY} select distinct f.case_id, f.role, f.code, f.tier, s.weight, l.code is not null as in_lens from findings f left join lens l on f.role = l.role and f.code = l.code join severity s on f.severity = s.severity where run = 0", "findings"),
+        lambda s, d: op.judge_signals(r.run_findings(s, d), _lens(s), s.createDataFrame(list(r.SEVERITY), "severity string, weight double")),
+        sql(f"with {_LENS}, {_SEVERITY} select distinct f.case_id, f.role, f.code, f.tier, s.weight, l.code is not null as in_lens from run_findings f left join lens l on f.role = l.role and f.code = l.code join severity s on f.severity = s.severity", "run_findings"),
     ),
     "c12_worst_of": (
-        lambda s, d: op.worst_of(_flags(s, d, 0), _flags(s, d, 1)),
+        lambda s, d: op.worst_of(_flags(s, d, "risk"), _flags(s, d, "policy")),
         sql(
-            """with v as (select case_id, run, case vote when 'BLOCK' then 2 when 'WARN' then 1 else 0 end as rank from votes where role = 'risk' and run < 2), f as (select distinct case_id, code from findings where run < 2),
-            g as (select case_id, string_agg(code, ',' order by code) as flags from f group by case_id), w as (select case_id, max(rank) as w from v group by case_id)
-            select w.case_id, case w when 2 then 'BLOCK' when 1 then 'WARN' else 'PASS' end as verdict, coalesce(flags, '') as flags from w left join g on w.case_id = g.case_id""",
-            "findings",
+            """with v as (select case_id, max(case vote when 'BLOCK' then 2 when 'WARN' then 1 else 0 end) as w from run_votes where role in ('risk', 'policy') group by case_id),
+            g as (select case_id, string_agg(distinct code, ',' order by code) as flags from run_findings where role in ('risk', 'policy') group by case_id)
+            select v.case_id, case w when 2 then 'BLOCK' when 1 then 'WARN' else 'PASS' end as verdict, coalesce(flags, '') as flags from v left join g on v.case_id = g.case_id""",
+            "run_votes",
+            "run_findings",
         ),
     ),
     "a44_ensemble": (
-        lambda s, d: op.ensemble(r.votes(s, d).filter("run = 0")),
+        lambda s, d: op.ensemble(r.run_votes(s, d)),
         sql(
-            """with n as (select case_id, count(*) as members, count(*) filter (vote = 'BLOCK') as rejects, string_agg(distinct role, ',' order by role) filter (vote = 'BLOCK') as b from votes where run = 0 group by case_id)
+            """with n as (select case_id, count(*) as members, count(*) filter (vote = 'BLOCK') as rejects, string_agg(distinct role, ',' order by role) filter (vote = 'BLOCK') as b from run_votes group by case_id)
             select case_id, members, rejects, case when rejects * 2 > members then 'BLOCK' else 'PASS' end as verdict, case when rejects * 2 > members then b else '' end as rejecting from n""",
-            "votes",
+            "run_votes",
         ),
     ),
     "w05_ledger": (

@@ -28,7 +28,7 @@ QUERIES = {
         lambda s, d: op.pack_rollup(r.votes(s, d)),
         sql(
             f"""with {_CASE} select count(*) as cases, round(avg(match_rate), 4) as mean_match_rate, round(avg(cast(instability > 0 as double)), 4) as instability_rate,
-            round(count(*) filter (not gold_block and modal_verdict = 'BLOCK') / nullif(count(*) filter (not gold_block), 0), 4) as false_block_rate from per_case""",
+            round(count(*) filter (not gold_block and modal_verdict in ('BLOCK', 'WARN')) / nullif(count(*) filter (not gold_block), 0), 4) as false_block_rate from per_case""",
             "votes",
         ),
     ),

@@ -28,7 +28,7 @@ _PHI = """with e as (select case_id, run, role, (vote = 'BLOCK') <> gold_block a
     from e a join e b on a.case_id = b.case_id and a.run = b.run and a.role < b.role group by all),
   phi as (select *, case when cast(n11+n10 as double)*(n01+n00)*(n11+n01)*(n10+n00) > 0 then
     round((cast(n11 as double)*n00 - cast(n10 as double)*n01) / sqrt(cast(n11+n10 as double)*(n01+n00)*(n11+n01)*(n10+n00)), 6) end as phi from n)"""
-_SCORE = "case vote when 'BLOCK' then 1.0::double when 'WARN' then 0.5::double else 0.0::double end"
+_SCORE = "case vote when 'BLOCK' then 0.0::double when 'WARN' then 0.5::double else 1.0::double end"
 
 QUERIES = {
     "a05_fleiss": (
@@ -121,8 +121,8 @@ QUERIES = {
     "a33_risk_determinations": (
         lambda s, d: ca.risk_determinations(r.votes(s, d)),
         sql(
-            """select role, case vote when 'BLOCK' then 'high' when 'WARN' then 'medium' else 'none' end as category, count(*) as n, round(avg(confidence) filter (confidence <> 0), 3) as confidence,
-            case vote when 'BLOCK' then 0 when 'WARN' then 1 else 2 end as severity_rank from votes where run = 0 group by role, vote""",
+            """select role, run, case vote when 'BLOCK' then 'high' when 'WARN' then 'medium' else 'none' end as category, count(*) as n, round(avg(confidence) filter (confidence <> 0), 3) as confidence,
+            case vote when 'BLOCK' then 0 when 'WARN' then 1 else 2 end as severity_rank from votes group by role, run, vote""",
             "votes",
         ),
     ),
@@ -131,9 +131,10 @@ QUERIES = {
         sql(
             f"""with s as (select case_id, list({_SCORE} order by run) as s from votes where role = 'risk' group by case_id),
             h as (select k.k, s.s, s.s[1:k.k] as head from s, (select cast(unnest(range(1, 11)) as integer) as k) k where len(s.s) >= k.k),
-            m as (select k, head, len(list_filter(head, lambda x: x >= 0.5)) as a, len(list_filter(head, lambda x: x < 0.5)) as b, len(list_filter(s, lambda x: x >= 0.5)) as c, len(list_filter(s, lambda x: x < 0.5)) as d from h),
-            n as (select k, count(*) as cases, count(*) filter (sign(a - b) <> sign(c - d)) as flips, round(avg(list_var_pop(head)), 6) as mean_variance from m group by k)
-            select k, cases, flips, round(flips / cases, 6) as flip_rate, {wilson_sql('flips', 'cases')}, mean_variance from n""",
+            m as (select k, head, sign(len(list_filter(head, lambda x: x > 0.5)) - len(list_filter(head, lambda x: x < 0.5))) as a, sign(len(list_filter(s, lambda x: x > 0.5)) - len(list_filter(s, lambda x: x < 0.5))) as b from h),
+            n as (select k, count(*) as cases, count(*) filter (a <> b) as flips, count(*) filter (a = b and b <> 0) as converged, round(avg(list_var_pop(head)), 6) as mean_variance from m group by k)
+            select k, cases, flips, round(flips / cases, 6) as flip_rate, {wilson_sql('flips', 'cases')}, converged, round(converged / cases, 6) as convergence,
+            {wilson_sql('converged', 'cases').replace('ci_low', 'convergence_low').replace('ci_high', 'convergence_high')}, mean_variance from n""",
             "votes",
         ),
     ),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from assaylake.sources import relations as r
+from assaylake.sources import stores
+from assaylake.sources.relations import sql
 from assaylake.streaming import views
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -16,9 +17,7 @@ def _events(s, d):
 
 
 def _folder(s) -> str:
-    """A new folder that driver and executors share."""
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return stores.shared_folder(s, "stream")
 
 
 def _text(c: str):
@@ -38,7 +37,36 @@ def sessions(s, d):
     return views.settled(views.sessions(_events(s, d)), _folder(s)).select(_text("start").alias("start"), "user_id", "n")
 
 
+def _verdicts(rows):
+    return rows.select(F.col("user_id").alias("case_key"), F.col("event_id").alias("seq"), F.when(F.col("value") > 60, "BLOCK").when(F.col("value") > 30, "WARN").otherwise("PASS").alias("verdict"), F.concat(F.lit("sig"), F.floor(F.dayofmonth("ts") / 7).cast("string")).alias("signature"))
+
+
+def signature_breaks(s, d):
+    return views.breaks(_verdicts(_events(s, d)), _folder(s))
+
+
+def drift(s, d):
+    """Events whose verdict is not that of their user's first event."""
+    baseline = r.run_log(s, d).filter("case_key % 5 > 0").groupBy("case_key").agg(F.min_by("verdict", "seq").alias("verdict"))
+    return views.appended(views.drift_alerts(_verdicts(_events(s, d)).select("case_key", "seq", "verdict"), baseline, "case_key"), _folder(s))
+
+
+def upserted(s, d):
+    folder = _folder(s)
+    views.upsert_latest(_verdicts(_events(s, d)), f"{folder}/table", f"{folder}/checkpoint", "case_key", "seq").awaitTermination()
+    return views.read_upserted(s, f"{folder}/table").select("case_key", "seq", "verdict", "signature")
+
+
 QUERIES = {
+    "s_stream_breaks": (
+        signature_breaks,
+        sql("select case_key, seq, before, signature from (select case_key, seq, signature, lag(signature) over (partition by case_key order by seq) as before from run_log) where signature is distinct from before", "run_log"),
+    ),
+    "s_stream_drift": (
+        drift,
+        sql("with b as (select case_key, arg_min(verdict, seq) as v from run_log where case_key % 5 > 0 group by case_key) select r.case_key, seq, verdict, coalesce(v, 'ABSENT') as baseline from run_log r left join b on r.case_key = b.case_key where verdict <> coalesce(v, 'ABSENT')", "run_log"),
+    ),
+    "s_stream_upsert": (upserted, sql("select case_key, max(seq) as seq, arg_max(verdict, seq) as verdict, arg_max(signature, seq) as signature from run_log group by case_key", "run_log")),
     "s_stream_tumbling": (tumbling, "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2"),
     "s_stream_sliding": (
         sliding,

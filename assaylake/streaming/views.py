@@ -106,6 +106,36 @@ def settled(df: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/result/batch={done[-1]}") if done else spark.createDataFrame([], df.schema)
 
 
+def appended(df: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream without aggregations over all that is there now, appending its rows to Parquet in ``folder``, and reads them."""
+    query = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/result").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/result")
+
+
+def breaks(log: DataFrame, folder: str) -> DataFrame:
+    """Rows of a stream (case_key, seq, signature) whose signature differs from the one before, with that one (null at the first).
+
+    The last row of each key is a table of its own, one version a batch; a batch is compared in a window that spills, so
+    no key's rows have to fit in memory. A batch that is run again reads the version before it and writes the same places.
+    """
+    schema = "case_key long, seq long, before string, signature string"
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("case_key", "seq", "signature", F.lit(True).alias("new"))
+        if number:
+            known = spark.read.parquet(f"{folder}/last/batch={number - 1}")
+            rows = rows.unionByName(known.select("case_key", "seq", "signature", F.lit(False).alias("new")))
+        rows = rows.withColumn("before", F.expr("lag(signature) over (partition by case_key order by seq)"))
+        rows.filter("new and not signature <=> before").select("case_key", "seq", "before", "signature").write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+        last = rows.groupBy("case_key").agg(F.max_by(F.struct("seq", "signature"), "seq").alias("x")).select("case_key", "x.*")
+        last.write.mode("overwrite").parquet(f"{folder}/last/batch={number}")
+
+    log.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return log.sparkSession.read.schema(schema).parquet(f"{folder}/result/batch=*")
+
+
 def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there now into a table in memory and returns it: for small results and tests."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

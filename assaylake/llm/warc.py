@@ -3,13 +3,16 @@
 ``write_archive`` stores two Parquet tables below one folder: ``payloads``, where the bytes of each distinct payload stand
 once under their SHA-256, and ``headers``, where every record keeps the exact bytes of its own header block. Equal
 payloads are one response, the record with the largest page_id, and revisits that refer to it. ``read_archive`` puts the
-records together again: it recomputes each stored payload's digests, compares them with its address, and joins headers to
-payloads by address. Only SQL functions run; payload bytes move once, to where their distinct copy is stored, and a digest
-that a third of all pages share is one row on the payload side.
+records together again: it compares each stored payload with its address and joins headers to payloads by address.
+``archive_index`` reads its columns from these records alone: a response's length and digest are those of the bytes behind
+its header, and have to be what the header says; a revisit takes them from the record that it refers to.
+
+Only SQL functions run. Equal payloads are folded where they are read before they are moved, and a digest that a third of
+all pages share is one row on the payload side; revisits of one response are dealt over shares.
 
 Defined cases: a null html is the empty payload; a null url is the empty URI; records with a null page_id form responses
 of their own (nothing can refer to them); rows that repeat a page_id and payload give one response, the first by url,
-and revisits, each with its own url;
+and revisits, each with its own url; every record has an id of its own; payloads of any length are kept whole;
 an empty table gives empty archives; extra columns are dropped.
 """
 
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import shared_folder, written
+from assaylake.llm.common import join_hot, shared_folder, written
 
 CRLF = "\r\n"
 
@@ -38,35 +41,39 @@ def _addressed(pages: DataFrame) -> DataFrame:
     ).withColumn("address", F.sha2("payload", 256))
 
 
-def _header(kind: str) -> Column:
-    """The header block up to and with its empty line. A revisit's own block is empty."""
+def _header(kind: str, date: Column) -> Column:
+    """The header block up to and with its empty line. A revisit's own block is empty.
+
+    The id of a response that revisits may refer to (``named``) follows from its page and address; all others are random."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    record = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
+    response = lambda page: F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(":"), F.substring("address", 1, 32), F.lit(">"))
+    own = F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))
     lines = [
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.lit(kind)),
-        line("WARC-Record-ID", record(F.col("page_id"))),
+        line("WARC-Record-ID", F.when(F.col("named"), response(F.col("page_id"))).otherwise(own)),
+        line("WARC-Date", date),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
     ]
     if kind == "revisit":
         lines += [
             line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-            line("WARC-Refers-To", record(F.col("owner"))),
+            line("WARC-Refers-To", response(F.col("owner"))),
             line("Content-Length", F.lit("0")),
         ]
     else:
-        lines.append(line("Content-Length", F.col("payload_bytes").cast("string")))
+        lines += [line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.col("payload_bytes").cast("string"))]
     return F.concat(*lines, F.lit(CRLF))
 
 
-def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
-    """Payloads below ``least_bytes`` are stored with each record as responses of their own."""
+def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str | None = None) -> None:
+    """Payloads below ``least_bytes`` are responses of their own. ``date`` is the records' WARC-Date, by default now."""
     rows = _addressed(pages)
     shared = (F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()
     small = written(rows.select("page_id", "url", "address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("digest"), shared.alias("shared")), "warc-rows")
-    owners = small.filter("shared").groupBy("address").agg(F.max("page_id").alias("owner"))
-    joined = small.filter("shared").join(owners, "address")
+    owners = small.filter("shared").groupBy("address").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("k"))
+    joined = join_hot(small.filter("shared"), owners, "address", "k", small.count())
     # rows that repeat the owner's page_id and payload: the first by url is the response; equal rows are counted, so that no
     # group is ranked in one task, and each keeps its own url
     tied = joined.filter("page_id = owner").groupBy("address", "owner", "url", "payload_bytes", "digest").agg(F.count(F.lit(1)).alias("n"))
@@ -74,16 +81,15 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> None:
     mine = tied.join(first, ["address", "owner"]).select(F.col("owner").alias("page_id"), "url", "address", "payload_bytes", "digest", "owner", (F.col("url") == F.col("first")).alias("leads"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
     names = ["page_id", "url", "address", "payload_bytes", "digest", "owner"]
     records = (
-        mine.select(*names, F.when(F.col("leads") & (F.col("k") == 1), "response").otherwise("revisit").alias("record_type"))
-        .unionByName(joined.filter("page_id <> owner").select(*names, F.lit("revisit").alias("record_type")))
-        .unionByName(small.filter(~F.col("shared")).withColumn("owner", F.col("page_id")).select(*names, F.lit("response").alias("record_type")))
+        mine.select(*names, F.when(F.col("leads") & (F.col("k") == 1), "response").otherwise("revisit").alias("record_type"), (F.col("leads") & (F.col("k") == 1)).alias("named"))
+        .unionByName(joined.filter("page_id <> owner").select(*names, F.lit("revisit").alias("record_type"), F.lit(False).alias("named")))
+        .unionByName(small.filter(~F.col("shared")).withColumn("owner", F.col("page_id")).select(*names, F.lit("response").alias("record_type"), F.lit(False).alias("named")))
     )
-    header = F.when(F.col("record_type") == "revisit", _header("revisit")).otherwise(_header("response"))
+    when = F.lit(date) if date else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    header = F.when(F.col("record_type") == "revisit", _header("revisit", when)).otherwise(_header("response", when))
     records.select("page_id", "address", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
-    # each distinct payload once, from its owner's row
-    own = rows.join(owners.select(F.col("owner").alias("page_id"), "address"), ["page_id", "address"], "left_semi").dropDuplicates(["page_id", "address"])
-    alone = rows.filter(~shared).join(owners, "address", "left_anti").dropDuplicates(["address"])
-    stored = own.select("address", "payload").unionByName(alone.select("address", "payload"))
+    # each distinct payload once; equal ones are folded before they are moved
+    stored = rows.groupBy("address").agg(F.max("payload").alias("payload"))
     stored.write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
 
@@ -102,7 +108,7 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
         "*",
         field("WARC-Type").alias("record_type"),
         F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("payload_digest"),
-        F.expr("try_cast(regexp_extract(decode(header, 'UTF-8'), 'WARC-Refers-To: <urn:page:([^>]*)>', 1) as bigint)").alias("refers_to"),
+        F.expr("try_cast(regexp_extract(decode(header, 'UTF-8'), 'WARC-Refers-To: <urn:page:([^:>]*):', 1) as bigint)").alias("refers_to"),
     )
 
 
@@ -114,12 +120,31 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     return full.unionByName(heads.filter("record_type = 'revisit'").select("page_id", F.concat("header", end).alias("record")))
 
 
+def parsed(records: DataFrame) -> DataFrame:
+    """page_id, kind, id, refers, stated (digest), length and digest of the block, from the bytes of records (page_id, record).
+
+    Fails where a block is not as long as its header says, or a response's digest is another."""
+    latin = F.decode("record", "ISO-8859-1")  # one character a byte
+    cut = records.select("page_id", "record", (F.instr(latin, CRLF * 2) - 1).alias("at")).withColumn("head", F.decode(F.substring("record", F.lit(1), F.col("at") + 2), "UTF-8"))
+    field = lambda name: F.regexp_extract("head", rf"\r\n{name}: ([^\r]*)\r\n", 1)
+    body = F.substring("record", F.col("at") + 5, F.octet_length("record") - F.col("at") - 8)
+    got = cut.select("page_id", field("WARC-Type").alias("kind"), field("WARC-Record-ID").alias("id"), field("WARC-Refers-To").alias("refers"), F.regexp_extract(field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("stated"), field("Content-Length").cast("long").alias("length"), body.alias("body"))
+    right = (F.octet_length("body") == F.col("length")) & ((F.col("kind") == "revisit") | (base32(F.sha1("body")) == F.col("stated")))
+    stated = F.when(right, F.col("stated")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), F.col("id"))).cast("string"))
+    return got.select("page_id", "kind", "id", "refers", stated.alias("stated"), "length")
+
+
 def archive_index(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to as read back; length and digest are those of the stored bytes."""
-    stored = read_payloads(spark, folder).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("stored_digest"))
-    got = read_headers(spark, folder).join(stored, "address", "left")
-    right = F.col("payload_digest") == F.col("stored_digest")
-    return got.select("page_id", "payload_bytes", F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.lit("header and payload differ")).cast("string")).alias("payload_digest"), "record_type", "refers_to")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read from the records as they are put together again."""
+    rows = written(parsed(read_archive(spark, folder)), "warc-records")
+    out = ["page_id", F.col("length").alias("payload_bytes"), F.col("stated").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"]
+    own = rows.filter("kind = 'response'").withColumn("refers_to", F.lit(None).cast("long"))
+    again = rows.filter("kind = 'revisit'").select("page_id", "kind", "stated", F.col("refers").alias("id"))
+    times = again.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    facts = rows.filter("kind = 'response'").select("id", F.col("page_id").alias("refers_to"), "length", F.col("stated").alias("full")).join(times, "id")
+    j = join_hot(again, facts, "id", "k", rows.count())
+    same = F.when(F.col("stated") == F.col("full"), F.col("stated")).otherwise(F.raise_error(F.concat(F.lit("revisit of other bytes: "), F.col("id"))).cast("string"))
+    return own.select(*out).unionByName(j.withColumn("stated", same).select(*out))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ many as held-out queries of the sample need for the recall aimed at. Visited vec
 A part's vectors and queries meet in cells of bounded blocks of both, so a part that holds a third of all rows is dealt
 over many tasks; cells return the best of each query, which are merged by rank.
 
+Parts grow with the square root of the number of vectors, so that with structure in them a query scores a falling share.
+
 Defined cases: vectors that are null, zero, of another length than the sample's most common one, or with null or
 non-finite components take no part, nor do rows with a null vec_id; rows that repeat a vec_id are candidates each, but never for that vec_id's
 query, and its query is its first row by value; ties go to the smaller vec_id; with fewer candidates all are returned;
@@ -16,7 +18,7 @@ an empty table gives no rows; extra columns are dropped.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from assaylake.llm.common import written
 
 @dataclass(frozen=True)
 class Plan:
-    parts: int = 16
+    #: None: a quarter of the square root of the number of vectors, from 16 to a 32nd of the sample.
+    parts: int | None = None
+    #: Vectors that the partition and the classifier are fitted on, the lowest hashes of vec_id.
     sample: int = 4096
     neighbours: int = 10
     hidden: int = 128
@@ -37,6 +41,10 @@ class Plan:
     block: int = 4096
 
 
+def parts_for(rows: int, plan: Plan) -> int:
+    return plan.parts or max(16, min(int(rows**0.5 / 4), plan.sample // 32))
+
+
 class Router:
     """Two layers and a softmax over the parts."""
 
@@ -110,9 +118,10 @@ def balanced_parts(graph: np.ndarray, parts: int) -> np.ndarray:
     return label
 
 
-def fit(vectors: np.ndarray, plan: Plan, k: int = 5) -> Router | None:
-    """None where the sample is too small to cut."""
+def fit(vectors: np.ndarray, plan: Plan, k: int = 5, rows: int | None = None) -> Router | None:
+    """None where the sample is too small to cut: all vectors are one part then, and the search is exact."""
     n = len(vectors)
+    plan = replace(plan, parts=parts_for(rows or n, plan))
     if n < 8 * plan.parts:
         return None
     x = unit(vectors.astype(np.float32))
@@ -218,18 +227,11 @@ def _cell(k: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, plan: Plan = Plan()) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``."""
-    rows = _valid(vectors)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(plan.sample).collect()
-    sizes = np.bincount([len(r["embedding"]) for r in picked], minlength=1)
-    length = int(sizes.argmax())
-    rows = rows.filter(F.size("embedding") == length)
-    router = fit(np.array([r["embedding"] for r in picked if len(r["embedding"]) == length]), plan, k) if picked else None
-    index = written(_placed(rows, router, None), "ann-index")
-    queries = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asks = written(_placed(queries, router, router.visits if router else None), "ann-queries")
-    blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / plan.block).cast("int").alias(name))
+def _cells(index: DataFrame, asks: DataFrame, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score, rank: of each query the k best of the parts that it visits.
+
+    A part is cut into blocks of vectors and of queries; each pair of blocks is a cell."""
+    blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
     grid = blocks(index, "across").join(blocks(asks, "down"), "part")  # at most as many rows as parts
     block_of = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     left = index.join(F.broadcast(grid), "part").select("part", block_of("across").alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), "vec_id", "embedding", F.lit(False).alias("asks"))
@@ -237,3 +239,26 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, plan: Plan = Plan())
     found = left.unionByName(down).groupBy("part", "i", "j").applyInArrow(_cell(k), "query_id long, vec_id long, score double")
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, plan: Plan = Plan()) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``.
+
+    A query whose parts hold fewer than k candidates visits all parts, so it gets k, or all candidates if fewer.
+    """
+    rows = _valid(vectors)
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(plan.sample).collect()
+    sizes = np.bincount([len(r["embedding"]) for r in picked], minlength=1)
+    length = int(sizes.argmax())
+    rows = rows.filter(F.size("embedding") == length)
+    router = fit(np.array([r["embedding"] for r in picked if len(r["embedding"]) == length]), plan, k, rows.count()) if picked else None
+    index = written(_placed(rows, router, None), "ann-index")
+    queries = written(index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-queries")
+    found = _cells(index, _placed(queries, router, router.visits if router else None), k, plan.block)
+    if router is None or router.visits == len(router.weights[3]):
+        return found
+    found = written(found, "ann-found")
+    full = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("vec_id")
+    short = queries.join(full, "vec_id", "left_anti")
+    again = _cells(index, _placed(short, router, len(router.weights[3])), k, plan.block)
+    return found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again)

@@ -1,7 +1,7 @@
 """Token-ID shards compressed by Re-Pair grammars.
 
 Documents are range-partitioned by doc_id and each block of a partition becomes a shard. In a shard, frequent pairs of
-neighbouring ids are replaced by new symbols again and again, a set of pairs in each round; no pair spans two documents.
+neighbouring ids are replaced by new symbols again and again, a set of pairs in each round, until none is frequent; no pair spans two documents.
 The file holds the rules (left, right), the number of ids that each symbol expands to, the symbols that are left, and
 each document's place among them, so any range of ids is decoded from the symbols that it touches alone.
 
@@ -25,53 +25,63 @@ from pyspark.sql import functions as F
 from assaylake.llm.common import partitions, releasing, shared_folder, slices, text_column, written
 
 END = 0
-ROUNDS, RARE = 8, 16
+RARE = 16
 _SHARD = "shard long, n_ids long, doc_ids binary, known binary, counts binary, places binary, first int, rules binary, lengths binary, low binary, high binary"
 
 
-def _frequent(code: np.ndarray, inner: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that occur at least ``least`` times, and the positions where they may stand: hashed counts first, then exact ones of what is left."""
+def _frequent(code: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs that stand at least ``least`` times in ``code``, and where they may stand: hashed counts first, then exact ones of what is left."""
     bucket = ((code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-    bucket[~inner] = 1 << 20
-    heavy = np.bincount(bucket, minlength=(1 << 20) + 1) >= least
-    heavy[1 << 20] = False
-    at = np.flatnonzero(heavy[bucket])
-    few = np.sort(code[at])
+    may = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= least)[bucket])
+    few = np.sort(code[may])
     if not len(few):
-        return few, at
+        return few, may
     lead = np.flatnonzero(np.append(True, few[1:] != few[:-1]))
-    count = np.diff(np.append(lead, len(few)))
-    return few[lead[count >= least]], at
+    return few[lead[np.diff(np.append(lead, len(few))) >= least]], may
 
 
 def compress(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (left, right), the symbols left, and a mark at the last symbol of each document. New symbols start at ``first``."""
-    seq, mark, rules = ids.astype(np.int64), last.copy(), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        code = seq[:-1] << 32 | seq[1:]
-        pairs, may = _frequent(code, ~mark[:-1], max(RARE, len(seq) >> 14))
+    """Rules (left, right), the symbols left, and a mark at the last symbol of each document. New symbols start at ``first``.
+
+    Each round replaces all frequent pairs, from left to right. What stood at a frequent pair and was not replaced has
+    lost one of its sides, so in the next round only pairs beside new symbols can be frequent, and only these are counted;
+    rounds go on until there are none. A pair is frequent from ``RARE`` occurrences, in long shards from a 16384th part.
+    """
+    n = len(ids)
+    seq, mark, rules, base = ids.astype(np.int64), last.copy(), [], first
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)  # the symbols beside each that is left
+    gone = np.zeros(n, bool)
+    at = np.flatnonzero(~mark[:-1]) if n > 1 else np.zeros(0, np.int64)  # where pairs may begin
+    least = max(RARE, n >> 14)
+    while len(at):
+        code = seq[at] << 32 | seq[after[at]]
+        pairs, may = _frequent(code, least)
         if not len(pairs):
             break
-        at = np.minimum(np.searchsorted(pairs, code[may]), len(pairs) - 1)
-        right = pairs[at] == code[may]
-        hit, rule = may[right], at[right]
-        run = np.append(True, np.diff(hit) > 1)  # of hits that follow each other every second one is taken
-        head = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-        even = (np.arange(len(hit)) - head) % 2 == 0
+        at, code = at[may], code[may]
+        rule = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+        right = pairs[rule] == code
+        hit, rule = at[right], rule[right]
+        run = np.append(True, after[hit[:-1]] != hit[1:])  # of hits that follow each other every second one is taken
+        place = np.arange(len(hit))
+        even = (place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0
         hit, rule = hit[even], rule[even]
-        base = first + sum(len(r) for r in rules)
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
+        taken = after[hit]
         seq[hit] = base + rule
-        mark[hit] = mark[hit + 1]
-        kept = np.ones(len(seq), bool)
-        kept[hit + 1] = False
-        before = len(seq)
-        seq, mark = seq[kept], mark[kept]
-        if before - len(seq) < before // 200:
-            break
-    return np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), seq, mark
+        base += len(pairs)
+        mark[hit] = mark[taken]
+        gone[taken] = True
+        after[hit] = after[taken]
+        inner = hit[after[hit] < n]
+        before[after[inner]] = inner
+        back = before[hit]
+        at = np.concatenate([back[back >= 0], inner])
+        at.sort()
+        at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+        at = at[~mark[at]]
+    kept = ~gone
+    return np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), seq[kept], mark[kept]
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:

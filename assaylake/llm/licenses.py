@@ -8,7 +8,8 @@ so with 40 bands it is missed with a probability of about 1e-5 (``miss_probabili
 exact share of the template's shingles among those of one document in the window.
 
 Defined cases: null or empty text and texts of under five words have no licenses; a template needs five words; repeated
-rows repeat; a null doc_id passes through; extra columns are dropped; texts of any length are read whole.
+rows repeat; a null doc_id passes through; an empty table gives no rows; equal shares keep every template; extra columns
+are dropped; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import Bounded, byte_column, map_blocks
+from assaylake.llm.license_texts import TEXTS
 
-#: Public license notices and openings of license texts, by SPDX name.
-TEMPLATES = {
+#: Lines that name a license and openings of license texts, by SPDX name. With the whole texts these are the default templates.
+LINES = {
     "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
@@ -34,10 +36,11 @@ TEMPLATES = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
-    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-opening": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+TEMPLATES = LINES | TEXTS
 SHINGLE, CONTAINMENT, BANDS, STEP = 5, 0.8, 40, 4
 
 #: Everything in ASCII but letters and digits separates words.
@@ -80,6 +83,13 @@ def miss_probability(similarity: float, bands: int = BANDS) -> float:
     return (1 - similarity) ** bands
 
 
+def load_templates(folder: str) -> dict[str, str]:
+    """Templates from a folder of license texts, one a file, by file name."""
+    from pathlib import Path
+
+    return {f.name: f.read_text(encoding="utf-8", errors="replace") for f in sorted(Path(folder).iterdir()) if f.is_file()}
+
+
 class LicenseScanner:
     def __init__(self, templates: dict[str, str], bands: int = BANDS):
         self.word = Bounded(_hash_word)

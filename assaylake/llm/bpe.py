@@ -11,7 +11,7 @@ Text between two isolated spaces cannot change the words around it, so the texts
 repeat more than whole texts do; only new pieces are matched against the pattern.
 
 Defined cases: null and empty text have no tokens and the digest of nothing; a null doc_id passes through; special
-tokens' strings are ordinary text; repeated rows repeat; extra columns are dropped; a word of any length is encoded whole.
+tokens' strings are ordinary text; repeated rows repeat; an empty table gives no rows; extra columns are dropped; a word of any length is encoded whole.
 """
 
 from __future__ import annotations

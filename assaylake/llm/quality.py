@@ -14,8 +14,9 @@ of a binomial count, or p where hardly any occurrence is expected. Where chance
 Each histogram has a minimum length of its own, below which it is not measured. The scan writes each document's counts
 as a small table, from which references and verdicts follow, so texts are read once.
 
-Defined cases: null text has no words and fails; a null language or one of few words is held against the reference of
-all languages together; repeated rows repeat; an empty table gives no rows; extra columns are dropped.
+Defined cases: null text has no words and fails; a null language, one of few words, or a table without a column ``lang``
+is held against the reference of all languages together; a distance that equals its limit is within it; repeated rows
+repeat; an empty table gives no rows; texts of any length are read whole; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -62,16 +63,21 @@ def vocabulary(words: dict[str, str] | None = None) -> list[bytes]:
 
 
 def _classes() -> np.ndarray:
-    """Class of each byte: 0 white space, 1 lower, 2 upper, 3 digit, 4 sentence marks, 5 other ASCII, 6 start of a longer character, 7 the separator of menus; 8: not counted."""
+    """Class of each byte, where the first byte of a longer character stands for the whole: 0 white space, 1 lower, 2 upper,
+    3 digit, 4 sentence marks, 5 other ASCII, 6 the separator of menus, 7 Latin letters beyond ASCII, 8 Greek, 9 Cyrillic,
+    10 Hebrew, Arabic and their like, 11 scripts of South Asia, 12 marks and symbols beyond ASCII, 13 East Asian scripts, 14
+    other planes (emoji among them); 15: not counted."""
     out = np.full(256, 5)
     out[list(b" \t\n\r\x0b\x0c")] = 0
     out[ord("a") : ord("z") + 1], out[ord("A") : ord("Z") + 1], out[ord("0") : ord("9") + 1] = 1, 2, 3
     out[list(b".,;:!?'\"()-")] = 4
-    out[0xC0:], out[ord("|")], out[0x80:0xC0] = 6, 7, 8
+    out[ord("|")], out[0x80:0xC0] = 6, 15
+    out[0xC0:0xCB], out[0xCD:0xD0], out[0xD0:0xD5], out[0xD5:0xE0], out[0xE0:0xE2], out[0xE3:0xEE], out[0xF0:] = 7, 8, 9, 10, 11, 13, 14
+    out[[0xC2, 0xCB, 0xCC, 0xE2, 0xEE, 0xEF]] = 12
     return out
 
 
-_CHARS = 8
+_CHARS = 15
 _CLASS = np.eye(_CHARS + 1, dtype=np.int64)[_classes()][:, :_CHARS]
 
 
@@ -119,6 +125,10 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, slots array<int>"
 
 
+def _with_lang(docs: DataFrame) -> DataFrame:
+    return docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+
+
 def features(docs: DataFrame, limits: Limits = Limits(), words: dict[str, str] | None = None) -> DataFrame:
     """doc_id, lang, the counts of the fixed rules, and slots: the two histograms one after the other."""
     common = vocabulary(words)
@@ -133,7 +143,7 @@ def features(docs: DataFrame, limits: Limits = Limits(), words: dict[str, str] |
         names = [x.split()[0] for x in _COUNTS.split(", ")]
         return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang")} | {k: list(v) for k, v in zip(names, cols)}
 
-    return map_blocks(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")), "text", block, "doc_id long, lang string, " + _COUNTS)
+    return map_blocks(_with_lang(docs).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")), "text", block, "doc_id long, lang string, " + _COUNTS)
 
 
 def references(counted: DataFrame) -> DataFrame:
@@ -209,5 +219,5 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), words: dict[str, str]
         for b in (x for whole in batches for x in slices(whole, "text")):
             yield b.select(names).filter(pa.array([good(*x) for x in zip(_references_of(b, overall), byte_column(b, "text"))], pa.bool_()))
 
-    names = docs.columns
-    return docs.join(own, docs["lang"] == own["_lang"], "left").mapInArrow(releasing(run), docs.schema)
+    names, rows = docs.columns, _with_lang(docs)
+    return rows.join(own, rows["lang"] == own["_lang"], "left").mapInArrow(releasing(run), docs.schema)

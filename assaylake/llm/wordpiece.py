@@ -6,7 +6,8 @@ on a missing edge the pops are added and the walk goes on from the failure link.
 root (``prefix="##"``); with an empty prefix both roots are one.
 
 Defined cases: null or empty text and text of white space only count 0; a word that no sequence of pieces spells counts
-as one unknown piece; a null doc_id passes through; repeated rows repeat; extra columns are dropped.
+as one unknown piece; a null doc_id passes through; repeated rows repeat; an empty table gives no rows; a word of any
+length takes time in proportion to it; extra columns are dropped.
 """
 
 from __future__ import annotations

@@ -63,6 +63,14 @@ def discard(spark: SparkSession, folders: list[str]) -> None:
     folders.clear()
 
 
+def free_name(names: list[str], wish: str) -> str:
+    """The wished column name, with underscores before it until none of the names is like it, case aside."""
+    taken = {x.lower() for x in names}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
 def join_hot(rows: DataFrame, once: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined with ``once``, which has a few rows for each key, each with the key's number of ``rows`` in ``count`` (dropped).
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import byte_column, map_blocks, releasing, slices, written
+from assaylake.llm.common import byte_column, free_name, map_blocks, releasing, slices, written
 
 #: Frequent words of the languages at hand, whose shares make up the word histogram.
 COMMON_WORDS = {
@@ -162,10 +162,10 @@ def _known(counted: DataFrame, limits: Limits) -> tuple[DataFrame, np.ndarray |
     return written(own, "own-references"), np.array([x["n"] for x in sorted(total, key=lambda x: x["i"])], np.int64) if total else None
 
 
-def _references_of(batch: pa.RecordBatch, overall: np.ndarray | None) -> list[np.ndarray | None]:
+def _references_of(batch: pa.RecordBatch, overall: np.ndarray | None, name: str = "_reference") -> list[np.ndarray | None]:
     """The reference of each row."""
     own: dict = {}
-    at = batch.column("_reference")
+    at = batch.column(name)
     for i, lang in enumerate(langs := batch.column("lang").to_pylist()):
         if lang not in own:
             own[lang] = np.array(at[i].as_py(), np.int64) if at[i].is_valid else overall
@@ -215,9 +215,15 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), words: dict[str, str]
         slots = np.concatenate(histograms(text, own, common))
         return _divergence(slots, n, chars, ref, limits)[2]
 
+    rows = _with_lang(docs)
+    names = rows.columns
+    lang, reference = (free_name(names, x) for x in ("_lang", "_reference"))
+    known = own.withColumnsRenamed({"_lang": lang, "_reference": reference})
+    added = len(names) - len(docs.columns)
+
     def run(batches):
         for b in (x for whole in batches for x in slices(whole, "text")):
-            yield b.select(names).filter(pa.array([good(*x) for x in zip(_references_of(b, overall), byte_column(b, "text"))], pa.bool_()))
+            keep = [good(*x) for x in zip(_references_of(b, overall, reference), byte_column(b, "text"))]
+            yield b.select(names[: len(names) - added]).filter(pa.array(keep, pa.bool_()))
 
-    names, rows = docs.columns, _with_lang(docs)
-    return rows.join(own, rows["lang"] == own["_lang"], "left").mapInArrow(releasing(run), docs.schema)
+    return rows.join(known, rows["lang"] == known[lang], "left").mapInArrow(releasing(run), docs.schema)

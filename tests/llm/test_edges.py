@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 from assaylake.llm import bpe, grammar, licenses, ngram_join, packing, quality, secrets, wordpiece
 
 LONG = ("alpha beta gamma delta " * 20_000 + "token=" + "Zq8Kd03LmXw91PvTbR7cYhJ2" * 40_000) + " é漢字" * 1000  # about 1.5 MB
-PROSE = "It is said that the old town of the north was on the way to the sea, and that a man from there had been at war for a year; this was not for him to tell, as he was with the king by then. " * 3
+PROSE = (
+    "It is said that the old town of the north was on the way to the sea, and that a man from there had been at war for a year; "
+    "this was not for him to tell, as he was with the king by then. In spring the boats came back with salt and cloth, "
+    "and at the gate an old woman sold bread to those who are now forgotten. "
+)
 
 OPERATORS = {
     "op1": secrets.scan_secrets,

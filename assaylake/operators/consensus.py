@@ -109,6 +109,14 @@ def stage_findings(tiers: DataFrame, findings: DataFrame) -> DataFrame:
     return tiers.join(first, ["case_id", "code"], "left").select("case_id", "code", severity.alias("severity"), detail.alias("detail"), "judge")
 
 
+def vote_rows(votes: DataFrame, findings: DataFrame) -> DataFrame:
+    """The judges' votes as they are reported: vote, confidence (null stays null) and a reason of the decision and its codes, empty without any."""
+    codes = findings.groupBy("case_id", "role").agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("codes"))
+    j = votes.join(codes, ["case_id", "role"], "left")
+    word = F.when(F.col("vote") == "BLOCK", "reject").when(F.col("vote") == "WARN", "needs_review").otherwise("approve")
+    return j.select("case_id", "role", "vote", "confidence", F.coalesce(F.concat(word, F.lit(" \u2014 "), "codes"), F.lit("")).alias("reason"))
+
+
 def _outcome(decision: str, variance: str | None, limit: float) -> Column:
     is_ = lambda role, v: F.bool_or((F.col("role") == role) & (F.col(decision) == v))
     any_ = lambda v: F.bool_or(F.col(decision) == v)

@@ -44,10 +44,16 @@ def tail(log: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return kept.withColumn("place", F.expr(f"row_number() over (partition by {key} order by {up})"))
 
 
-def every_nth(cases: DataFrame, stride: int, key: str, within: str) -> DataFrame:
-    """Of each ``stride`` cases in order the last is test, the others train."""
-    place = F.expr(f"row_number() over (partition by {within} order by {key}) - 1")
-    return cases.withColumn("split", F.when(place % stride == stride - 1, "test").otherwise("train"))
+def every_nth(cases: DataFrame, stride: int, key: str, within: str, width: int = 4096) -> DataFrame:
+    """Of each ``stride`` cases in order the last is test, the others train. ``key`` is a number.
+
+    Places are counted within ranges of ``width`` keys; only the ranges' counts go through a window of a whole group.
+    """
+    ranged = cases.withColumn("_range", F.floor(F.col(key) / width))
+    starts = ranged.groupBy(within, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.expr(f"coalesce(sum(_n) over (partition by {within} order by _range rows between unbounded preceding and 1 preceding), 0)")).drop("_n")
+    placed = ranged.withColumn("_at", F.expr(f"row_number() over (partition by {within}, _range order by {key}) - 1")).join(starts, [within, "_range"])
+    split = F.when((F.col("_start") + F.col("_at")) % stride == stride - 1, "test").otherwise("train")
+    return placed.withColumn("split", split).drop("_range", "_at", "_start")
 
 
 def audit(log: DataFrame, actor: str | None = None, target: int | None = None, since: str | None = None) -> DataFrame:
@@ -61,9 +67,24 @@ def audit(log: DataFrame, actor: str | None = None, target: int | None = None, s
     return log
 
 
-def latency_percentiles(log: DataFrame, key: str, value: str) -> DataFrame:
-    """Exact median and 95th percentile of each key."""
-    return log.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"))
+def latency_percentiles(log: DataFrame, key: str, value: str, width: float = 1.0) -> DataFrame:
+    """Exact median and 95th percentile of each key, between neighbours where the place is not whole; null values do not count.
+
+    Values are counted by buckets of ``width``, which tell the buckets that hold the wanted places; only the rows of these
+    buckets are ranked, so a key with many rows is not gathered.
+    """
+    rows = log.filter(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("x"), F.floor(F.col(value) / width).alias("bucket"))
+    counts = rows.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    cum = counts.select("key", "bucket", "n", F.expr("sum(n) over (partition by key order by bucket) - n").alias("before"), F.expr("sum(n) over (partition by key)").alias("total"))
+    wanted = cum.select("*", F.explode(F.array(F.lit(0.5), F.lit(0.95))).alias("p")).withColumn("place", F.col("p") * (F.col("total") - 1))
+    side = F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("at")
+    wanted = wanted.select("key", "bucket", "before", "n", "total", "p", "place", side).filter("at >= before and at < before + n")
+    ranked = rows.join(wanted.select("key", "bucket").distinct(), ["key", "bucket"], "left_semi").withColumn("rank", F.expr("row_number() over (partition by key, bucket order by x) - 1"))
+    found = wanted.join(ranked, ["key", "bucket"]).filter("rank = at - before")
+    share = F.when(F.ceil("place") == F.floor("place"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("place")))
+    each = found.groupBy("key", "p", "total").agg(F.round(F.sum(F.col("x") * share), 6).alias("q"))
+    of = lambda p: F.max(F.when(F.col("p") == p, F.col("q")))
+    return each.groupBy(F.col("key").alias(key)).agg(F.max("total").alias("n"), of(0.5).alias("p50"), of(0.95).alias("p95"))
 
 
 def diff_verdicts(baseline: DataFrame, current: DataFrame, key: str) -> DataFrame:

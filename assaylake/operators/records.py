@@ -19,6 +19,22 @@ def normalized_verdict(verdict: Column) -> Column:
     return F.when(v.isin("pass", "approve"), "PASS").when(v.isin("warn", "needs_review"), "WARN").when(v.isin("block", "fail", "reject"), "BLOCK")
 
 
+def expected_set(value: Column) -> Column:
+    """The verdicts that a case expects, from one word or a JSON list of words; none for null; anything else is an error."""
+    text = F.trim(value)
+    listed = F.from_json(text, "array<string>")
+    bad = F.raise_error(F.concat(F.lit("no verdict: "), text)).cast("array<string>")
+    return F.when(value.isNull(), F.array().cast("array<string>")).when(text.startswith("["), F.coalesce(F.array_distinct(listed), bad)).when(text.startswith("{"), bad).otherwise(F.array(text))
+
+
+def expects_block(expected: Column) -> Column:
+    return F.array_contains(expected, "reject")
+
+
+def matches_expected(observed: Column, expected: Column) -> Column:
+    return F.coalesce(F.array_contains(expected, observed), F.lit(False))
+
+
 def normalized_severity(raw: Column) -> Column:
     """HIGH, MEDIUM or LOW; synonyms map, anything else is MEDIUM."""
     v = F.lower(F.trim(raw))

@@ -179,6 +179,15 @@ QUERIES = {
             "run_findings",
         ),
     ),
+    "c09_vote_rows": (
+        lambda s, d: op.vote_rows(_votes(s, d), r.run_findings(s, d)),
+        sql(
+            """with c as (select case_id, role, string_agg(distinct code, ', ' order by code) as codes from run_findings group by case_id, role)
+            select v.case_id, v.role, vote, confidence, coalesce(case vote when 'BLOCK' then 'reject' when 'WARN' then 'needs_review' else 'approve' end || ' — ' || codes, '') as reason from run_votes v left join c on v.case_id = c.case_id and v.role = c.role""",
+            "run_votes",
+            "run_findings",
+        ),
+    ),
     "l01_grade": (_grades, sql(f"with {_GRADE} select * from grades", "run_votes", "run_findings")),
     "l02_cohort": (
         lambda s, d: op.cohort(_grades(s, d), r.run_gold(s, d), r.run_cases(s, d)),

@@ -10,7 +10,7 @@ from assaylake.operators import reports as op
 from assaylake.operators import rollup
 from assaylake.plans.consensus import _BUCKETS, _buckets
 from assaylake.plans.statistics import _GRADED, _PHI
-from assaylake.plans.text import _MUTANTS, _mutants, _observed
+from assaylake.plans.text import _MUTANTS, _TOP, _mutants, _observed
 from assaylake.sources import relations as r
 from assaylake.sources import stores
 from assaylake.sources.relations import _u, sql
@@ -207,7 +207,41 @@ def _injected(s, d):
     return r.table(s, d, "documents").filter("text is not null").select("doc_id", kind.alias("defect_type"), F.md5(body).alias("digest"))
 
 
+def _expected(s, d):
+    """Runs against the set of verdicts that their case expects."""
+    from assaylake.operators import records
+
+    raw = F.when(F.col("case_id") % 5 == 0, None).when(F.col("case_id") % 5 == 1, '["needs_review", "reject"]').otherwise(F.when(F.col("gold_block"), "reject").otherwise("approve"))
+    v = rollup.compose_runs(r.votes(s, d)).withColumn("expected", records.expected_set(raw))
+    observed = F.when(F.col("verdict") == "BLOCK", "reject").when(F.col("verdict") == "WARN", "needs_review").otherwise("approve")
+    return v.select("case_id", "run", F.array_join("expected", ",").alias("expected"), records.expects_block(F.col("expected")).alias("block"), records.matches_expected(observed, F.col("expected")).alias("match"))
+
+
+def _parsed(s, d):
+    """Replies with a JSON object in a fence, bare, or none."""
+    from assaylake.sources import io
+
+    t = r.turns(s, d)
+    body = F.to_json(F.struct(F.round("sentiment", 3).alias("sentiment"), F.col("role").alias("who")))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nDone."))).when(F.col("turn") % 3 == 1, F.concat(F.lit("It is "), body)).otherwise("I cannot tell.")
+    return t.withColumn("x", io.fenced_json(reply, "sentiment double, who string")).select("conv_id", "turn", "x.sentiment", "x.who")
+
+
 QUERIES = {
+    "p01_expected_match": (
+        _expected,
+        sql(
+            """with r as (select case_id, run, any_value(gold_block) as g, count(*) filter (vote = 'BLOCK') as b, count(*) filter (vote = 'WARN') as w, count(*) filter (vote = 'PASS') as p from votes group by case_id, run),
+            x as (select case_id, run, case when case_id % 5 = 0 then [] when case_id % 5 = 1 then ['needs_review', 'reject'] when g then ['reject'] else ['approve'] end as e, case when b >= w and b >= p then 'reject' when w >= p then 'needs_review' else 'approve' end as o from r)
+            select case_id, run, array_to_string(e, ',') as expected, list_contains(e, 'reject') as block, list_contains(e, o) as match from x""",
+            "votes",
+        ),
+    ),
+    "p21_run_summary": (
+        lambda s, d: _blobs(s, d).select(F.col("run").alias("run_id"), F.get_json_object("body", "$.verdict").alias("verdict"), F.get_json_object("body", "$.gate_decision").alias("decision"), F.get_json_object("body", "$.stage_results.semantic").isNotNull().alias("semantic")),
+        sql("select cast(seq as varchar) as run_id, verdict, 'allow' as decision, seq % 2 = 0 as semantic from run_log", "run_log"),
+    ),
+    "k02_parsed_replies": (_parsed, sql("select conv_id, turn, case when turn % 3 < 2 then round(sentiment, 3) end as sentiment, case when turn % 3 < 2 then role end as who from turns", "turns")),
     "a04_bootstrap": (
         lambda s, d: op.bootstrap(_rates(s, d), "case_id", "match_rate", RESAMPLES),
         sql(
@@ -325,6 +359,10 @@ QUERIES = {
         sql(f"select distinct case_id, code from run_findings where {_u(chr(39) + 'service' + chr(39), 'case_id', 'code')} >= 0.2 and {_u(chr(39) + 'offline' + chr(39), 'case_id', 'code')} >= 0.3 and gradeable", "run_findings"),
     ),
     "u12_survivors": (_survivors, f"""with {_MUTANTS} select c_custkey, field, op, value from mutants where expected = 'BLOCK' and {_u("'observed'", 'c_custkey', 'field', 'op')} >= 0.9"""),
+    "t04_retrieval_order": (
+        _order,
+        f"with t as ({_TOP}) select query_id, string_agg(cast(vec_id as varchar), ',' order by score desc, vec_id) as retrieval_order, sha256('q' || query_id) as context_hash from t group by query_id",
+    ),
     "t05_excerpt": (
         _excerpt,
         "with k as (select *, row_number() over (partition by conv_id order by turn, text) as k from conversations) select conv_id, count(*) as turns, md5(string_agg(substr(text, 1, 300), chr(10) order by k)) as digest from k where k <= 10 group by conv_id",

@@ -149,6 +149,10 @@ _RISK = f"""hits as (select conv_id, kind, k, severity, confidence, case kind wh
     left join (select conv_id, max(factor) as risk, avg(confidence) as confidence from factors group by conv_id) f on c.conv_id = f.conv_id
     left join (select conv_id, string_agg(distinct alert, ',' order by alert) as alerts from alerts where alert is not null group by conv_id) a on c.conv_id = a.conv_id)"""
 
+_TOP = """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), s as (select q.vec_id as query_id, e.vec_id, list_sum(list_transform(list_zip(e.v, q.v), lambda p: p[1] * p[2])) /
+            (sqrt(list_sum(list_transform(e.v, lambda x: x * x))) * sqrt(list_sum(list_transform(q.v, lambda x: x * x)))) as score from e join e q on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id),
+            k as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s where score >= 0.1) select query_id, rank, vec_id, round(score, 6) as score from k where rank <= 3"""
+
 QUERIES = {
     "f01_evidence_overlap": (
         lambda s, d: grounding.evidence_overlap(*_spans(s, d)),
@@ -199,9 +203,7 @@ QUERIES = {
     ),
     "t03_kb_topk": (
         lambda s, d: grounding.top_matches(r.table(s, d, "embeddings").filter(F.col("vec_id") % 100 == 0), r.table(s, d, "embeddings"), 3, 0.1),
-        """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), s as (select q.vec_id as query_id, e.vec_id, list_sum(list_transform(list_zip(e.v, q.v), lambda p: p[1] * p[2])) /
-            (sqrt(list_sum(list_transform(e.v, lambda x: x * x))) * sqrt(list_sum(list_transform(q.v, lambda x: x * x)))) as score from e join e q on q.vec_id % 100 = 0 and q.vec_id <> e.vec_id),
-            k as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s where score >= 0.1) select query_id, rank, vec_id, round(score, 6) as score from k where rank <= 3""",
+        _TOP,
     ),
     "g17_finding_units": (lambda s, d: _units(s, d), sql(f"with {_UNIT_CODES} select * from units", "run_findings")),
     "a21_unit_scores": (

@@ -5,7 +5,8 @@ an inverted index maps each mergeable token pair, under the rank of its merge, t
 words. The merges are then replayed in rank order over all words at once: the index is read in ascending bands of ranks,
 each word applies its lowest merge first, and only the pairs of the two touched neighbours are looked up and indexed
 anew. Each distinct word is encoded once per block and each text is put together from its words, so no row leaves its
-partition and nothing is shuffled or broadcast; memory is bounded by the block and the cache.
+partition and nothing is shuffled or broadcast; memory is bounded by the block and the cache. The words are distinct over a
+block of 24 MB and what the cache keeps of the blocks before, not over the corpus; the README has the figures.
 
 Text between two isolated spaces cannot change the words around it, so the texts are first cut at spaces, whose pieces
 repeat more than whole texts do; only new pieces are matched against the pattern.

@@ -8,7 +8,8 @@ each document's place among them, so any range of ids is decoded from the symbol
 A shard is a row of a Parquet table in the shared folder, so writing is committed as Spark commits files and shards are read in
 parallel. The start of a document is its place in its shard plus the ids of all shards before it: one number for each shard.
 
-Defined cases: null or empty text is the end id alone; null doc_ids come first; equal doc_ids are ordered by text;
+Defined cases: null or empty text is the end id alone; null doc_ids come first; equal doc_ids are ordered by a hash of
+their text;
 an empty table gives an empty file; extra columns are dropped; texts of any length are kept whole.
 """
 
@@ -188,15 +189,21 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, block: i
     schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in _SHARD.split(", "))])
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash splits rows of one doc_id, or of none, over partitions; it is part of the order
+    keyed = rows.withColumn("tie", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     ordered.mapInArrow(releasing(run), _SHARD).write.option("compression", "zstd").parquet(folder)
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """The shards with the number of ids of all shards before each."""
+    """The shards with the number of ids of all shards before each: those of the partitions before, of which there are as
+    many as shuffle partitions, and those before in its own."""
     shards = spark.read.schema(_SHARD).parquet(folder)
-    before = written(shards.select("shard", F.expr("sum(n_ids) over (order by shard rows between unbounded preceding and current row) - n_ids").alias("base")), "bases")
-    return shards.join(before, "shard")
+    sizes = shards.select("shard", "n_ids", F.shiftright("shard", 32).alias("part"))
+    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.expr("coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0)").alias("before"))
+    within = F.expr("coalesce(sum(n_ids) over (partition by part order by shard rows between unbounded preceding and 1 preceding), 0)")
+    bases = written(sizes.withColumn("within", within).join(parts, "part").select("shard", (F.col("within") + F.col("before")).alias("base")), "bases")
+    return shards.join(bases, "shard")
 
 
 def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:

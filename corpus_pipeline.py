@@ -1,7 +1,9 @@
 """Corpus pipeline: quality rules, n-gram Jaccard join, secret scans, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all documents that its predecessor kept. The first three return
-the columns of ``documents``; the last returns the pieces of the packed sequences.
+the columns of ``documents``, extra ones included; the last returns the pieces of the packed sequences. Every stage takes
+nulls in any column, empty and very long texts, repeated rows, empty tables (no rows then) and columns whose names it uses
+itself; what becomes of them stands in each docstring.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from assaylake.llm.common import ship, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go. Null and empty texts go; a null language, or no column ``lang``, is held against
+    all languages together; repeated rows stay or go together; documents without a doc_id are judged like others."""
     ship(spark)
     return quality.keep_good(docs)
 
@@ -23,18 +26,20 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents that with the smallest doc_id stays."""
+    """Of each component of linked documents that with the smallest doc_id stays. Rows that repeat doc_id and text are one,
+    rows that repeat the doc_id alone stay together; null and empty texts are linked with nothing; rows without a doc_id stay."""
     ship(spark)
     return ngram_join.keep_first_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays."""
+    """Secrets are masked and ``n_chars`` follows; every row stays, also repeated ones and those without doc_id or text."""
     ship(spark)
     return secrets.redact_secrets(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens. Null and empty texts are the end id alone; repeated rows are packed each."""
     ship(spark)
     return packing.pack_documents(docs)
 

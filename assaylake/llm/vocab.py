@@ -83,4 +83,4 @@ def word_level(path: str | None = None) -> PieceTable:
     import public_tokenizers
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    return PieceTable(LibraryWords(path or public_tokenizers.path("word_bpe_49k.json"), pattern, lower=True), spaced=False, most=250_000)
+    return PieceTable(LibraryWords(path or public_tokenizers.path("word_bpe_49k.json"), pattern, lower=True), spaced=False, most=350_000)

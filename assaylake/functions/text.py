@@ -127,5 +127,9 @@ def without_blank_runs(text: Column, marker: str) -> Column:
 
 
 def slug(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def title_slug(text: Column) -> Column:
     """Upper case; every run of other characters than letters and digits is one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.upper(F.trim(text)), "[^A-Z0-9]+", "_"), "^_+|_+$", "")

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 FALSE_POSITIVES = ("privacy_leak",)
 
 
-def code_tiers(findings: DataFrame, votes: DataFrame) -> DataFrame:
+def code_tiers(findings: DataFrame, votes: DataFrame | None = None) -> DataFrame:
     """Of each case and code, what its tier's rule makes of the judges that raised it.
 
     Tier 1: two judges with evidence trigger it; one judge, with evidence, triggers it if it owns the code or none does;
     else it is flagged. Tier 2: two judges trigger it, one flags it. Tier 3 is listed, corroborated by two. A listed
-    false positive of one judge goes where all other judges of the case pass.
+    false positive of one judge goes where all other judges of the case pass; without votes none goes.
     """
     one = findings.groupBy("case_id", "code", "role").agg(F.bool_or("has_evidence").alias("evidence"), F.first("tier").alias("tier"), F.first("pillar").alias("pillar"), F.first("owner").alias("owner"))
     by = one.groupBy("case_id", "code").agg(
@@ -26,11 +26,12 @@ def code_tiers(findings: DataFrame, votes: DataFrame) -> DataFrame:
         F.bool_or(F.col("evidence") & ((F.col("owner") == "") | (F.col("owner") == F.col("role")))).alias("owned"),
         F.min("role").alias("role"),
     )
-    not_passed = votes.filter(F.col("vote") != "PASS").select("case_id", F.col("role").alias("other"))
-    lone = by.filter((F.col("judges") == 1) & F.col("code").isin(*FALSE_POSITIVES)).select("case_id", "code", "role")
-    doubted = lone.join(not_passed, "case_id").filter(F.col("other") != F.col("role")).select("case_id", "code").distinct()
-    gone = lone.select("case_id", "code").join(doubted, ["case_id", "code"], "left_anti")
-    by = by.join(gone, ["case_id", "code"], "left_anti")
+    if votes is not None:
+        not_passed = votes.filter(F.col("vote") != "PASS").select("case_id", F.col("role").alias("other"))
+        lone = by.filter((F.col("judges") == 1) & F.col("code").isin(*FALSE_POSITIVES)).select("case_id", "code", "role")
+        doubted = lone.join(not_passed, "case_id").filter(F.col("other") != F.col("role")).select("case_id", "code").distinct()
+        gone = lone.select("case_id", "code").join(doubted, ["case_id", "code"], "left_anti")
+        by = by.join(gone, ["case_id", "code"], "left_anti")
     first = F.when((F.col("judges") >= 2) & (F.col("with_evidence") >= 2), "triggered").when((F.col("judges") == 1) & F.col("owned"), "triggered").otherwise("flagged")
     second = F.when(F.col("judges") >= 2, "triggered").otherwise("flagged")
     third = F.when(F.col("judges") >= 2, "corroborated").otherwise("listed")
@@ -63,13 +64,13 @@ def composed(votes: DataFrame, veto: str = "faithfulness") -> DataFrame:
 
 
 def consensus(votes: DataFrame, findings: DataFrame, gate_mode: bool = False) -> DataFrame:
-    """The final verdict of each case. ``votes`` has ``usable``; votes that are not, and their findings, count for nothing.
+    """The final verdict of each case. Votes that are not ``usable``, and their findings, count for nothing; without that column all are.
 
     Below two usable judges (one in gate mode) a case needs review with confidence 0. A triggered tier-1 code decides by
     the evidence of the pillars; else ``composed`` does; a graver verdict of the artifact pillar raises either. Confidence
     is the mean of those given, 0 without any. One vote is a consensus in gate mode.
     """
-    good = votes.filter("usable")
+    good = votes.filter("usable") if "usable" in votes.columns else votes
     held = findings.join(good.select("case_id", "role"), ["case_id", "role"], "left_semi")
     v = good.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("valid"),

@@ -15,6 +15,13 @@ def package_cases(gold: DataFrame, codes: DataFrame) -> DataFrame:
     return j.select("case_id", content_id("case-", F.col("case_id"), F.col("codes")).alias("packaged_id"), "codes", expected.alias("expected"), split_of(F.col("case_id")).alias("split"))
 
 
+def field_mutants(records: DataFrame, key: str, specs: DataFrame) -> DataFrame:
+    """One mutant of each field of ``specs`` (field, kind, required), for a first look; ``mutation_battery`` has them all."""
+    defect = F.when(F.col("kind") == "presence", F.when(F.col("required"), "BLOCK").otherwise("PASS")).otherwise("BLOCK")
+    mutated = F.when(F.col("kind") == "presence", F.lit(None)).when(F.col("kind") == "enum", "__not_in_enum__").when(F.col("kind") == "datatype", "not-a-number").otherwise("[]")
+    return records.select(key).crossJoin(F.broadcast(specs)).select(key, "field", "kind", mutated.cast("string").alias("mutated"), defect.alias("expected"))
+
+
 # What a check of each datatype has to refuse and to accept.
 DEFECTS = {
     "decimal": [("illegal_first_char", "abc"), ("legal_prefix_then_junk", "12!!34"), ("empty", "")],
@@ -38,7 +45,7 @@ def _by_datatype(table: dict, make) -> Column:
     return out.otherwise(F.array(*map(make, table[""])) if "" in table else F.slice(F.array(*map(make, table[kinds[0]])), 1, 0))
 
 
-def field_mutants(records: DataFrame, key: str, specs: DataFrame) -> DataFrame:
+def mutation_battery(records: DataFrame, key: str, specs: DataFrame) -> DataFrame:
     """Each record against each field of ``specs`` (field, kind, required, datatype, allowed): mutants whose verdict is known by construction.
 
     Every field is stripped, which blocks where it is required and else passes, and required ones are set to null. Enum

@@ -11,9 +11,11 @@ from assaylake.functions.stats import precision_recall
 def unit_edges(codes: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Pairs of codes of one case and family of which any two quotes overlap by containment of at least ``threshold``.
 
-    ``codes`` has case_id, code, family and quotes, an array of token arrays; a case has as many rows as the taxonomy has
-    codes, so pairs are bounded. Codes without a family, and without quotes, have no edge.
+    ``codes`` has case_id, code, family and quotes, an array of token arrays, or tokens, a single quote; a case has as many
+    rows as the taxonomy has codes, so pairs are bounded. Codes without a family, and without quotes, have no edge.
     """
+    if "quotes" not in codes.columns:
+        codes = codes.withColumn("quotes", F.array("tokens"))
     a, b = (codes.filter("family <> ''").select("case_id", "family", F.col("code").alias(c), F.col("quotes").alias(q)) for c, q in (("a", "x"), ("b", "y")))
     near = lambda p, q: (F.least(F.size(p), F.size(q)) > 0) & (F.size(F.array_intersect(p, q)) / F.least(F.size(p), F.size(q)) >= threshold)
     return a.join(b, ["case_id", "family"]).filter((F.col("a") < F.col("b")) & F.exists("x", lambda p: F.exists("y", lambda q: near(p, q)))).select("case_id", "a", "b")

@@ -112,7 +112,11 @@ QUERIES = {
     "f04_stems": (stems, f"select stem, count(*) as docs from (select doc_id, unnest({_WORDS}) as stem from documents) where stem <> '' group by stem"),
     "f05_salient": (salient, f"with k as (select doc_id, {_SALIENT} as x from documents) select doc_id, len(x) as n, md5(array_to_string(list_sort(x), ' ')) as digest from k"),
     "f20_head_and_tail": (truncated, f"select doc_id, length({_CUT}) as n, md5({_CUT}) as digest from documents"),
-    "f16_slug": (slugs, "select doc_id, regexp_replace(regexp_replace(upper(replace(trim(text), 'ß', 'ss')), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from documents"),
+    "f16_slug": (slugs, "select doc_id, regexp_replace(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from documents"),
+    "f16_title_slug": (
+        lambda s, d: _docs(s, d).select("doc_id", t.title_slug(F.col("text")).alias("slug")),
+        "select doc_id, regexp_replace(regexp_replace(upper(replace(trim(text), 'ß', 'ss')), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from documents",
+    ),
     "f32_seeds": (
         seeds,
         sql("select case_id, role, cast('0x' || substr(sha256(case_id || '|' || role), 1, 8) as bigint) % 2147483648 as seed, 'run-' || substr(sha1(case_id || '|' || role), 1, 12) as run_id from run_votes", "run_votes"),

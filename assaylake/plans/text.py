@@ -115,7 +115,7 @@ def _specs(s):
 
 
 def _mutants(s, d):
-    return datagen.field_mutants(r.table(s, d, "customer"), "c_custkey", _specs(s))
+    return datagen.mutation_battery(r.table(s, d, "customer"), "c_custkey", _specs(s))
 
 
 _MUTANTS = f"""specs as (select field, kind, required, datatype, string_split(allowed, '|') as allowed from {r._values(_SPECS, 'field, kind, required, datatype, allowed')}), ops as (

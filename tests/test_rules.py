@@ -38,7 +38,7 @@ def test_head_and_tail_and_slug(spark):
     text = "a" * 1000 + "b" * 1001
     assert one(spark, t.head_and_tail(F.col("x")), x=text) == "a" * 800 + "\n...[truncated]...\n" + "b" * 800
     assert one(spark, t.head_and_tail(F.col("x")), x="a" * 2000) == "a" * 2000
-    assert one(spark, t.slug(F.col("x")), x="  Case 7: chest__pain! ") == "CASE_7_CHEST_PAIN"
+    assert one(spark, t.title_slug(F.col("x")), x="  Case 7: chest__pain! ") == "CASE_7_CHEST_PAIN"
 
 
 def test_prefix_sweep(spark):
@@ -99,7 +99,7 @@ def test_consensus(spark):
 def test_mutants(spark):
     specs = spark.createDataFrame([("f", "enum", True, "", ["AB", "c"]), ("g", "datatype", False, "date", []), ("h", "enum", True, "", ["1"])], "field string, kind string, required boolean, datatype string, allowed array<string>")
     rows = spark.createDataFrame([(1,)], "k long")
-    got = {(r["field"], r["op"]): (r["value"], r["expected"]) for r in datagen.field_mutants(rows, "k", specs).collect()}
+    got = {(r["field"], r["op"]): (r["value"], r["expected"]) for r in datagen.mutation_battery(rows, "k", specs).collect()}
     assert got["f", "case_variant"] == ("ab", "BLOCK") and got["f", "near_miss"] == ("ABX", "BLOCK") and got["f", "null"] == (None, "BLOCK")
     assert got["g", "strip"] == ("<absent>", "PASS") and ("g", "null") not in got and got["g", "legal_prefix_then_junk"] == ("2026!!junk", "BLOCK")
     assert ("h", "case_variant") not in got

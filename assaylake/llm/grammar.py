@@ -54,8 +54,8 @@ def compress(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray,
     gone = np.zeros(n, bool)
     at = np.flatnonzero(~mark[:-1]) if n > 1 else np.zeros(0, np.int64)  # where pairs may begin
     least = max(RARE, n >> 14)
+    code = (seq[:-1] << 32 | seq[1:])[~mark[:-1]] if n > 1 else at
     while len(at):
-        code = seq[at] << 32 | seq[after[at]]
         pairs, may = _frequent(code, least)
         if not len(pairs):
             break
@@ -81,6 +81,7 @@ def compress(ids: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray,
         at.sort()
         at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
         at = at[~mark[at]]
+        code = seq[at] << 32 | seq[after[at]]
     kept = ~gone
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), seq[kept], mark[kept]
 

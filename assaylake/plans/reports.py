@@ -101,8 +101,9 @@ def _order(s, d):
 
 def _excerpt(s, d):
     """What a prompt gets of a conversation: the first ten turns, three hundred characters of each."""
-    t = r.table(s, d, "conversations").groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", "text"))), 1, 10).alias("x"))
-    cut = F.array_join(F.transform("x", lambda e: F.substring(e["text"], 1, 300)), "\n")
+    first = r.table(s, d, "conversations").withColumn("k", F.expr("row_number() over (partition by conv_id order by turn, text)")).filter("k <= 10")
+    t = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", F.substring("text", 1, 300).alias("text")))).alias("x"))
+    cut = F.array_join(F.transform("x", lambda e: e["text"]), "\n")
     return t.select("conv_id", F.size("x").cast("long").alias("turns"), F.md5(cut).alias("digest"))
 
 

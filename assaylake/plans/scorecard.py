@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from assaylake.operators import rollup
 from assaylake.operators import scorecard as op
 from assaylake.sources import relations as r

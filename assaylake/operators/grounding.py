@@ -34,6 +34,19 @@ def evidence_overlap(docs: DataFrame, passages: DataFrame, least: float = 0.8) -
     return _shared(docs, passages, tokens, tokens).select("case_id", "item_id", r.alias("overlap"), (r >= least).alias("valid"))
 
 
+def valid_spans(spans: DataFrame, least: float = 0.8, omissions: tuple[str, ...] = ("MISSING_ALLERGY",)) -> DataFrame:
+    """Spans (case_id, code, quote) against the texts of their row (transcript, source, artifact), with ``valid``.
+
+    A span stands from an overlap of ``least`` with the texts together; omissions are held against transcript and source
+    alone. Where there is no text, nothing is checked and the span stands.
+    """
+    part = lambda c: F.coalesce(F.col(c), F.lit(""))
+    said = F.concat_ws("\n", part("transcript"), part("source"))
+    corpus = F.when(F.col("code").isin(*omissions), said).otherwise(F.concat_ws("\n", said, part("artifact")))
+    valid = (F.trim(F.replace(corpus, F.lit("\n"), F.lit(" "))) == "") | (t.overlap_ratio(F.col("quote"), corpus) >= least)
+    return spans.select("case_id", "code", valid.alias("valid"))
+
+
 def containment(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """Shared tokens over the smaller token set. Pairs that are no row share none."""
     tokens = t.containment_tokens(F.col("text"))

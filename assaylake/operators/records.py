@@ -128,6 +128,19 @@ def worst_of(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("case_id", F.when(worst == 2, "BLOCK").when(worst == 1, "WARN").otherwise("PASS").alias("verdict"), F.array_join(F.array_sort(F.array_union("fa", "fb")), ",").alias("flags"))
 
 
+def worst_with_artifact(structural: Column, semantic: Column, artifact: Column) -> Column:
+    """The graver of the structural and the semantic verdict; the artifact's counts if it blocks, its WARN never does."""
+    rank = lambda c: F.when(c == "BLOCK", 2).when(c == "WARN", 1).otherwise(0)
+    worst = F.greatest(rank(structural), rank(semantic), F.when(artifact == "BLOCK", 2).otherwise(0))
+    return F.when(worst == 2, "BLOCK").when(worst == 1, "WARN").otherwise("PASS")
+
+
+def gold_verdicts(cases: DataFrame, gold: DataFrame) -> DataFrame:
+    """Gold verdict of each case: the declared one, else BLOCK with a gold code; cases with neither have no row."""
+    flagged = gold.select("case_id").distinct().withColumn("flagged", F.lit("BLOCK"))
+    return cases.join(flagged, "case_id", "left").select("case_id", F.coalesce("declared", "flagged").alias("gold_verdict")).filter("gold_verdict is not null")
+
+
 def ensemble(votes: DataFrame) -> DataFrame:
     """More than half of a case's members reject: the ensemble does, with the rejecting members named."""
     reject = F.col("vote") == "BLOCK"

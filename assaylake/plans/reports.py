@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import records as fr
 from assaylake.functions.hashing import uniform
+from assaylake.operators import grounding, rollup
 from assaylake.operators import reports as op
-from assaylake.operators import rollup
 from assaylake.plans.consensus import _BUCKETS, _buckets
 from assaylake.plans.statistics import _GRADED, _PHI
-from assaylake.plans.text import _MUTANTS, _TOP, _mutants, _observed
+from assaylake.plans.text import _EV, _MUTANTS, _TOP, _common, _mutants, _observed, _tokens as _split_tokens
 from assaylake.sources import relations as r
 from assaylake.sources import stores
 from assaylake.sources.relations import _u, sql
@@ -91,8 +91,6 @@ def _survivors(s, d):
 
 
 def _order(s, d):
-    from assaylake.operators import grounding
-
     e = r.table(s, d, "embeddings")
     top = grounding.top_matches(e.filter(F.col("vec_id") % 100 == 0), e, 3, 0.1)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "vec_id"))), lambda x: x["vec_id"].cast("string"))
@@ -228,7 +226,80 @@ def _parsed(s, d):
     return t.withColumn("x", io.fenced_json(reply, "sentiment double, who string")).select("conv_id", "turn", "x.sentiment", "x.who")
 
 
+def _spans(s, d):
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    cut = lambda a: F.when(k % 5 > 0, F.substring(text, a, 500)).otherwise("")
+    quote = F.when(k % 2 == 0, F.substring(text, 1010, 60)).otherwise(F.concat(F.substring(text, 1, 60), F.lit(" never said here")))
+    return r.table(s, d, "documents").select(k.alias("case_id"), F.when(k % 3 == 0, "MISSING_ALLERGY").otherwise("FABRICATION").alias("code"), quote.alias("quote"), cut(1).alias("transcript"), cut(501).alias("source"), cut(1001).alias("artifact"))
+
+
+_SPAN = "substr(coalesce(text, ''), {}, 500)"
+
+
+def _stage_votes(s, d):
+    v = r.run_votes(s, d).groupBy("case_id")
+    return v.agg(*[F.max(F.when(F.col("role") == role, F.col("vote"))).alias(stage) for role, stage in (("policy", "structural"), ("risk", "semantic"), ("faithfulness", "artifact"))])
+
+
+def _worst(s, d):
+    from assaylake.operators import records
+
+    return _stage_votes(s, d).select("case_id", records.worst_with_artifact(F.col("structural"), F.col("semantic"), F.col("artifact")).alias("verdict"))
+
+
+def _gold_verdicts(s, d):
+    from assaylake.operators import records
+
+    c = r.cases(s, d).select("case_id", F.when(F.col("case_id") % 4 == 0, F.when(F.col("gold_block"), "BLOCK").when(~F.col("gold_block"), "PASS")).alias("declared"))
+    return records.gold_verdicts(c, r.gold_codes(s, d))
+
+
+def _cohort_rows(s, d):
+    """Rows of a cohort with its gold: the unlabeled are listed and counted apart from the measures."""
+    v = r.cases(s, d)
+    graded = rollup.compose_runs(r.votes(s, d)).select("case_id", F.col("verdict"), "run")
+    j = v.join(graded, "case_id", "left")
+    ok = (F.col("verdict") == "BLOCK") == F.col("gold_block")
+    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count_if("labeled").alias("labeled"), F.count_if(F.col("labeled") & ok).alias("right"))
+
+
 QUERIES = {
+    "c01_valid_spans": (
+        lambda s, d: grounding.valid_spans(_spans(s, d)),
+        f"""with k as (select doc_id, case when doc_id % 3 = 0 then 'MISSING_ALLERGY' else 'FABRICATION' end as code, case when doc_id % 2 = 0 then substr(coalesce(text, ''), 1010, 60) else substr(coalesce(text, ''), 1, 60) || ' never said here' end as quote,
+            case when doc_id % 5 > 0 then {_SPAN.format(1)} || chr(10) || {_SPAN.format(501)} || case when doc_id % 3 > 0 then chr(10) || {_SPAN.format(1001)} else '' end else '' end as corpus from documents),
+            w as (select *, {_split_tokens('quote', _EV)} as q, {_split_tokens('corpus', _EV)} as c from k)
+            select doc_id as case_id, code, trim(replace(corpus, chr(10), ' ')) = '' or (len(q) > 0 and {_common('q', 'c')} / len(q) >= 0.8) as valid from w""",
+    ),
+    "f37_worst_with_artifact": (
+        _worst,
+        sql(
+            """with s as (select case_id, max(vote) filter (role = 'policy') as a, max(vote) filter (role = 'risk') as b, max(vote) filter (role = 'faithfulness') as c from run_votes group by case_id)
+            select case_id, case when 'BLOCK' in (a, b, c) then 'BLOCK' when 'WARN' in (a, b) then 'WARN' else 'PASS' end as verdict from s""",
+            "run_votes",
+        ),
+    ),
+    "p07_gold_verdicts": (
+        _gold_verdicts,
+        sql(
+            """with x as (select c.case_id, coalesce(case when c.case_id % 4 = 0 then case when gold_block then 'BLOCK' when not gold_block then 'PASS' end end, case when c.case_id in (select case_id from gold_codes) then 'BLOCK' end) as v from cases c)
+            select case_id, v as gold_verdict from x where v is not null""",
+            "gold_codes",
+        ),
+    ),
+    "j02_cohort_rows": (
+        _cohort_rows,
+        sql(
+            """with g as (select case_id, run, count(*) filter (vote = 'BLOCK') as b, count(*) filter (vote = 'WARN') as w, count(*) filter (vote = 'PASS') as p from votes group by case_id, run)
+            select lang, count(*) as rows, count(*) filter (labeled) as labeled, count(*) filter (labeled and (b >= w and b >= p) = gold_block) as right from cases c left join g on c.case_id = g.case_id group by lang""",
+            "cases",
+            "votes",
+        ).replace(" as rows,", ' as "rows",').replace(" as right from", ' as "right" from'),
+    ),
+    "w03_versions_newest_first": (
+        lambda s, d: r.run_log(s, d).select("agent", "case_key", "seq", F.expr("row_number() over (partition by agent, case_key order by seq desc)").cast("long").alias("back")),
+        sql("select agent, case_key, seq, row_number() over (partition by agent, case_key order by seq desc) as back from run_log", "run_log"),
+    ),
     "p01_expected_match": (
         _expected,
         sql(

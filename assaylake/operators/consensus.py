@@ -110,6 +110,21 @@ def stage_findings(tiers: DataFrame, findings: DataFrame) -> DataFrame:
     return tiers.join(first, ["case_id", "code"], "left").select("case_id", "code", severity.alias("severity"), detail.alias("detail"), "judge")
 
 
+def stage_results(results: DataFrame) -> DataFrame:
+    """Validator results (case_id, verdict, skipped, error, severity, detail; severity and detail of the failing check, null without one) as stage rows.
+
+    An error warns with one finding of medium severity; without a verdict, or skipped, the stage does not apply and has no
+    finding; else the verdict holds, severities are normalized and a check without words says that it failed."""
+    from assaylake.operators.records import normalized_severity
+
+    failed, off = F.col("error").isNotNull(), F.col("verdict").isNull() | F.col("skipped").isNotNull()
+    status = F.when(failed, "WARN").when(off, "not_applicable").otherwise(F.col("verdict"))
+    found = F.col("severity").isNotNull() | F.col("detail").isNotNull()
+    severity = F.when(failed, "MEDIUM").when(~off & found, normalized_severity(F.coalesce("severity", F.lit(""))))
+    detail = F.when(failed, F.concat(F.lit("structural_validation_error: "), "error")).when(~off & found, F.coalesce("detail", F.lit("structural check failed")))
+    return results.select("case_id", status.alias("status"), severity.alias("severity"), detail.alias("detail"))
+
+
 def vote_rows(votes: DataFrame, findings: DataFrame) -> DataFrame:
     """The judges' votes as they are reported: vote, confidence (null stays null) and a reason of the decision and its codes, empty without any."""
     codes = findings.groupBy("case_id", "role").agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("codes"))

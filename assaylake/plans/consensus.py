@@ -76,6 +76,20 @@ def _worded(s, d):
     return _votes(s, d).select("case_id", "role", word.alias("vote"))
 
 
+def _validated(s, d):
+    """Results of a validator for every document: some skipped, some failed, some without a verdict."""
+    k = F.col("doc_id")
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("critical", "low", "odd")]), (k % 3 + 1).cast("int"))
+    return r.table(s, d, "documents").select(
+        k.alias("case_id"),
+        F.when(k % 11 > 0, F.when(k % 2 == 0, "BLOCK").otherwise("PASS")).alias("verdict"),
+        F.when(k % 7 == 0, "no profile").alias("skipped"),
+        F.when(k % 13 == 0, F.concat(F.lit("timeout "), k)).alias("error"),
+        F.when((k % 2 == 0) & (k % 5 > 0), raw).alias("severity"),
+        F.when((k % 2 == 0) & (k % 4 == 0), "field missing").alias("detail"),
+    )
+
+
 def _grades(s, d):
     return op.grade(_votes(s, d), r.run_findings(s, d), _disproved(s, d), _lens(s), _severity(s))
 
@@ -179,6 +193,13 @@ QUERIES = {
             "run_findings",
         ),
     ),
+    "c11_stage_results": (
+        lambda s, d: op.stage_results(_validated(s, d)),
+        """with k as (select doc_id as k, doc_id % 13 = 0 as bad, doc_id % 11 = 0 or doc_id % 7 = 0 as off, doc_id % 2 = 0 and (doc_id % 5 > 0 or doc_id % 4 = 0) as found from documents)
+            select k as case_id, case when bad then 'WARN' when off then 'not_applicable' when k % 2 = 0 then 'BLOCK' else 'PASS' end as status,
+            case when bad then 'MEDIUM' when not off and found then case when k % 5 = 0 then 'MEDIUM' else (['HIGH', 'LOW', 'MEDIUM'])[k % 3 + 1] end end as severity,
+            case when bad then 'structural_validation_error: timeout ' || k when not off and found then case when k % 4 = 0 then 'field missing' else 'structural check failed' end end as detail from k""",
+    ),
     "c09_vote_rows": (
         lambda s, d: op.vote_rows(_votes(s, d), r.run_findings(s, d)),
         sql(

@@ -59,33 +59,46 @@ def signature_breaks(log: DataFrame) -> DataFrame:
     return log.groupBy("case_key").applyInPandasWithState(run, schema, "signature string", "append", "NoTimeout")
 
 
-def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str):
-    """Keeps each key's latest row: every batch writes a new version of the table beside the last, then its name.
+def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, buckets: int = 64):
+    """Keeps each key's latest row. Keys are dealt over buckets; a batch writes new versions of the buckets that it touches, then their numbers.
 
-    The pointer file is replaced last, so a batch that is run again after a failure gives the same table.
+    A batch reads only versions below its own number, so one that is run again after a failure gives the same table.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = read_upserted(spark, path)
-        rows = batch if old is None else batch.unionByName(old)
-        others = [c for c in rows.columns if c not in (key, order)]
-        latest = rows.groupBy(key).agg(F.max_by(F.struct(*others, order), order).alias("x")).select(key, "x.*")
-        latest.write.mode("overwrite").parquet(f"{path}/version={number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}_versions")
+        placed = lambda rows: rows.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        rows = placed(batch)
+        touched = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # at most ``buckets``
+        known = _versions(spark, path, number)
+        old = [f"{path}/version={known[b]}/key_bucket={b}" for b in touched if b in known]
+        if old:
+            rows = rows.unionByName(placed(spark.read.schema(batch.schema).parquet(*old)))
+        others = [c for c in batch.columns if c not in (key, order)]
+        latest = rows.groupBy(key, "key_bucket").agg(F.max_by(F.struct(*others, order), order).alias("x")).select(key, "x.*", "key_bucket")
+        latest.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{path}/version={number}")
+        if touched:
+            spark.createDataFrame([(b, number) for b in touched], "bucket int, version long").coalesce(1).write.mode("append").parquet(f"{path}_versions")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last version that was finished, or None before the first."""
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """The last version of each bucket that was finished, below a number if one is given: at most as many as buckets."""
     try:
-        last = spark.read.parquet(f"{path}_versions").agg(F.max("version")).first()[0]
+        written = spark.read.schema("bucket int, version long").parquet(f"{path}_versions")
     except Exception as e:  # no version yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return None
-    return spark.read.parquet(f"{path}/version={last}")
+        return {}
+    rows = written if below is None else written.filter(F.col("version") < below)
+    return {r["bucket"]: r["v"] for r in rows.groupBy("bucket").agg(F.max("version").alias("v")).collect()}
+
+
+def read_upserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last version of every bucket, or None before the first."""
+    known = _versions(spark, path)
+    return spark.read.parquet(*[f"{path}/version={v}/key_bucket={b}" for b, v in sorted(known.items())]) if known else None
 
 
 def settled(df: DataFrame, folder: str) -> DataFrame:

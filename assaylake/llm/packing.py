@@ -113,16 +113,16 @@ def on_line(start: int, length: int, total: int, capacity: int) -> list[tuple[in
 _TOKENS = "row long, doc_id long, doc_tokens long, rest int, own_first long, own_crc array<long>, rest_ids binary, salt int"
 
 
-def tokenize(docs: DataFrame, path: str | None, capacity: int, salts: int) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None, capacity: int, salts: int, block: int = 8 << 20, pieces: int = 350_000) -> DataFrame:
     """row (unique), doc_id, doc_tokens, rest (length of what remains), own_first and own_crc (full windows), rest_ids, salt."""
 
     def run(batches):
         from assaylake.llm.vocab import word_level
 
-        table, part, seq, own = word_level(path), TaskContext.get().partitionId(), 0, 0
+        table, part, seq, own = word_level(path, pieces), TaskContext.get().partitionId(), 0, 0
         small = table.encode.tokenizer.get_vocab_size() <= 1 << 16
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", block):
                 flat, ends = table.block(text_column(b, "text"))
                 flat = np.insert(flat, ends[1:], END).astype("<u4")
                 stops = ends[1:] + np.arange(1, b.num_rows + 1)
@@ -144,11 +144,13 @@ def tokenize(docs: DataFrame, path: str | None, capacity: int, salts: int) -> Da
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), _TOKENS)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, block: int = 8 << 20, pieces: int = 350_000) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
+
+    ``block`` bytes of text and ``pieces`` known pieces of it bound a task's memory; fewer cost time, never results."""
     spark = docs.sparkSession
     salts = partitions(spark)
-    tokens = written(tokenize(docs, path, capacity, salts), "tokens")
+    tokens = written(tokenize(docs, path, capacity, salts, block, pieces), "tokens")
     rest = tokens.filter("rest > 0")
     histogram = {r["rest"]: r["n"] for r in rest.groupBy("rest").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity - 1 rows
     places, line, before = plan_windows(histogram, capacity)

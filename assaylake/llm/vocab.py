@@ -78,9 +78,9 @@ def byte_level(path: str | None = None) -> PieceTable:
     return PieceTable(LibraryWords(path or public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, lower=False), spaced=True, most=600_000)
 
 
-def word_level(path: str | None = None) -> PieceTable:
-    """For word_bpe_49k.json and files of its kind: lower case, white space dropped."""
+def word_level(path: str | None = None, most: int = 350_000) -> PieceTable:
+    """For word_bpe_49k.json and files of its kind: lower case, white space dropped. The table holds ``most`` pieces."""
     import public_tokenizers
 
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    return PieceTable(LibraryWords(path or public_tokenizers.path("word_bpe_49k.json"), pattern, lower=True), spaced=False, most=350_000)
+    return PieceTable(LibraryWords(path or public_tokenizers.path("word_bpe_49k.json"), pattern, lower=True), spaced=False, most=most)

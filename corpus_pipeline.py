@@ -41,7 +41,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens. Null and empty texts are the end id alone; repeated rows are packed each."""
     ship(spark)
-    return packing.pack_documents(docs)
+    # the workers of earlier stages and their executors' heaps are still there: less memory here than where packing runs alone
+    return packing.pack_documents(docs, block=3 << 20, pieces=120_000)
 
 
 STAGES = [

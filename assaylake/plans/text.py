@@ -18,7 +18,11 @@ def _spans(s, d):
     return r.table(s, d, "documents").select("doc_id", "text"), r.table(s, d, "benchmark").select("item_id", "text")
 
 
-_CLAIMS = "claims as (select d.doc_id as case_id, b.item_id, d.text as source, b.text as quote from documents d join benchmark b on true)"
+def _claims(of_source: str, of_quote: str) -> str:
+    """case_id, item_id, s and q: every text against every passage, both cut into tokens once."""
+    return f"d as materialized (select doc_id as case_id, {of_source} as s from documents), b as materialized (select item_id, {of_quote} as q from benchmark), k as (select * from d, b)"
+
+
 _EV = t.EVIDENCE_SPLIT.replace("'", "''")
 
 
@@ -39,9 +43,9 @@ def _plain(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-def _runs(x: str) -> str:
-    """Runs of words of a normalized text."""
-    n, w = grounding.RUN, f"string_split({x}, ' ')"
+def _runs(w: str) -> str:
+    """Runs of words in a list of them."""
+    n = grounding.RUN
     return f"list_transform(range(1, greatest(len({w}) - {n - 2}, 1)), lambda i: array_to_string(list_slice({w}, i, i + {n - 1}), ' '))"
 
 
@@ -52,6 +56,8 @@ def _redacted(x: str) -> str:
 
 
 _STOP = ", ".join(f"'{w}'" for w in t.STOPWORDS)
+_WORDS = _tokens("regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g')", " +")
+_SALIENT = f"list_distinct(list_transform(list_filter({_tokens('text', '[^a-z0-9]+')}, lambda w: regexp_matches(w, '^[0-9]+$') or (length(w) >= 4 and w not in ({_STOP}))), lambda w: {_stem('w')}))"
 
 
 def _unit_codes(s, d):
@@ -156,26 +162,26 @@ _TOP = """with e as (select vec_id, list_transform(embedding, lambda x: x::doubl
 QUERIES = {
     "f01_evidence_overlap": (
         lambda s, d: grounding.evidence_overlap(*_spans(s, d)),
-        sql(f"""with {_CLAIMS}, k as (select case_id, item_id, {_tokens('quote', _EV)} as q, {_tokens('source', _EV)} as s from claims)
-            select case_id, item_id, round(case when len(q) > 0 then {_common('q', 's')} / len(q) else 0.0 end, 6) as overlap, round(case when len(q) > 0 then {_common('q', 's')} / len(q) else 0.0 end, 6) >= 0.8 as valid from k where {_common('q', 's')} > 0"""),
+        f"""with {_claims(_tokens('text', _EV), _tokens('text', _EV))}, n as (select case_id, item_id, len(q) as q, {_common('q', 's')} as n from k)
+            select case_id, item_id, round(n / q, 6) as overlap, round(n / q, 6) >= 0.8 as valid from n where n > 0""",
     ),
     "f02_containment": (
         lambda s, d: grounding.containment(*_spans(s, d)),
-        sql(f"""with {_CLAIMS}, k as (select case_id, item_id, {_tokens("regexp_replace(lower(quote), '[^a-z0-9 ]', ' ', 'g')", ' +')} as q, {_tokens("regexp_replace(lower(source), '[^a-z0-9 ]', ' ', 'g')", ' +')} as s from claims)
-            select case_id, item_id, round(case when least(len(q), len(s)) > 0 then {_common('q', 's')} / least(len(q), len(s)) else 0.0 end, 6) as containment from k where {_common('q', 's')} > 0"""),
+        f"""with {_claims(_WORDS, _WORDS)}, n as (select case_id, item_id, least(len(q), len(s)) as m, {_common('q', 's')} as n from k)
+            select case_id, item_id, round(n / m, 6) as containment from n where n > 0""",
     ),
     "g03_source_grounding": (
         lambda s, d: grounding.source_grounding(*_spans(s, d)),
-        sql(f"""with {_CLAIMS}, k as (select case_id, item_id, list_distinct(list_transform(list_filter({_tokens('quote', '[^a-z0-9]+')}, lambda w: regexp_matches(w, '^[0-9]+$') or (length(w) >= 4 and w not in ({_STOP}))), lambda w: {_stem('w')})) as q,
-            list_distinct(list_transform({_tokens('source', '[^a-z0-9]+')}, lambda w: {_stem('w')})) as s from claims), m as (select *, len(q) - {_common('q', 's')} as missing from k)
-            select case_id, item_id, len(q) as salient, missing, len(q) > 0 and missing = 0 as disproved from m where missing < len(q)"""),
+        f"""with {_claims(f"list_distinct(list_transform({_tokens('text', '[^a-z0-9]+')}, lambda w: {_stem('w')}))", _SALIENT)}, n as (select case_id, item_id, len(q) as salient, len(q) - {_common('q', 's')} as missing from k)
+            select case_id, item_id, salient, missing, missing = 0 as disproved from n where missing < salient""",
     ),
     "g04_evidence_presence": (
         lambda s, d: grounding.evidence_presence(*_spans(s, d)),
-        f"""with d as (select doc_id as case_id, {_plain('text')} as x from documents), p as (select item_id, {_plain('text')} as x, len(string_split({_plain('text')}, ' ')) as n from benchmark where {_plain('text')} <> ''),
-            dg as (select distinct case_id, unnest({_runs('x')}) as g from d), pg as (select distinct item_id, unnest({_runs('x')}) as g from p where n >= {grounding.RUN + 2}), near as (select distinct case_id, item_id from dg join pg using (g)),
+        f"""with d as materialized (select doc_id as case_id, {_plain('text')} as x, string_split({_plain('text')}, ' ') as w from documents),
+            p as materialized (select item_id, {_plain('text')} as x, string_split({_plain('text')}, ' ') as w from benchmark where {_plain('text')} <> ''),
+            dg as (select distinct case_id, unnest({_runs('w')}) as g from d), pg as (select distinct item_id, unnest({_runs('w')}) as g from p where len(w) >= {grounding.RUN + 2}), near as (select distinct case_id, item_id from dg join pg using (g)),
             pairs as (select case_id, item_id, p.x as quote, contains(d.x, p.x) as within from near join d using (case_id) join p using (item_id)
-              union all select case_id, item_id, p.x, true from d join p on n < {grounding.RUN + 2} and contains(d.x, p.x))
+              union all select case_id, item_id, p.x, true from d join p on len(p.w) < {grounding.RUN + 2} and contains(d.x, p.x))
             select case_id, item_id, length(quote) >= 12 and within as present from pairs""",
     ),
     "g10_value_presence": (

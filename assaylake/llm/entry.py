@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from assaylake.llm import ann, bpe, grammar, licenses, ngram_join, packing, quality, secrets, warc, wordpiece
+from assaylake.llm import ann, balls, bpe, chat, grammar, licenses, merkle, ngram_join, packing, quality, secrets, warc, wordpiece
 from assaylake.llm.common import table
 
 
@@ -61,11 +61,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as read back from its formatted text. A null text is empty, a null role the empty role, rows that repeat are turns each, a row without a conv_id is a conversation of its own, an empty table gives the added conversation alone, texts of any length are formatted whole."""
+    return chat.format_round_trip(chat.with_conflict(table(spark, sf_dir, "conversations")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document. Nulls are marked in a leaf, a null language is a tree of its own, rows that repeat are leaves each, an empty table gives no rows, texts of any length are hashed whole."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 finite components. Others take no part, rows that repeat are vectors each, ties go to the smaller cluster, an empty table gives no rows, components of any magnitude are exact."""
+    return balls.cluster_digests(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op4_grammar_shards, op5_bin_slack_packing, op6_ngram_jaccard_join, op7_learned_partitions, op8_warc_round_trip, op9_license_scan, op10_quality_rules)}
+    own = {f.__name__: f for f in (op1_secret_scan, op2_bpe_round_trip, op3_token_counts, op4_grammar_shards, op5_bin_slack_packing, op6_ngram_jaccard_join, op7_learned_partitions, op8_warc_round_trip, op9_license_scan, op10_quality_rules, op11_chat_round_trip, op12_merkle_manifest, op13_ball_clusters)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    known = {"op8_warc_round_trip": warc.ORACLE_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    known = {"op8_warc_round_trip": warc.ORACLE_SQL, "op11_chat_round_trip": chat.ORACLE_SQL, "op12_merkle_manifest": merkle.oracle_sql(), "op13_ball_clusters": balls.oracle_sql(), "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in known.items() if v}

@@ -1,38 +1,12 @@
-"""Grounding of passages in source texts: each passage against each text, by equi-joins on what they share. doc_id and
-item_id are keys."""
+"""Grounding of single texts: spans against the texts of their row, values, personal data, and nearest vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions import text as t
 
-#: Shares of the texts over which common tokens are dealt, and the words of a run that candidates share.
-SHARES, RUN = 16, 5
-
-
-def _spread(docs: DataFrame, passages: DataFrame, of_doc: Column, of_passage: Column) -> DataFrame:
-    """Rows of docs and passages that share a token of their arrays, once for each shared token.
-
-    A token that most texts hold is dealt over shares of the texts, each of which meets a copy of the passages' tokens.
-    """
-    d = docs.select(F.col("doc_id").alias("case_id"), of_doc.alias("tokens")).select("case_id", F.size("tokens").alias("s"), F.explode_outer("tokens").alias("token"), F.pmod(F.xxhash64("case_id"), F.lit(SHARES)).cast("int").alias("share"))
-    p = passages.select("item_id", of_passage.alias("tokens")).select("item_id", F.size("tokens").alias("q"), F.explode("tokens").alias("token"))
-    return d.join(p.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))), ["token", "share"])
-
-
-def _shared(docs: DataFrame, passages: DataFrame, of_doc: Column, of_passage: Column) -> DataFrame:
-    """case_id, item_id, q and s (sizes of the passage's and the text's token set), n (shared tokens) of all pairs that share one."""
-    return _spread(docs, passages, of_doc, of_passage).groupBy("case_id", "item_id", "q", "s").agg(F.count(F.lit(1)).alias("n"))
-
-
-def evidence_overlap(docs: DataFrame, passages: DataFrame, least: float = 0.8) -> DataFrame:
-    """Token overlap of each passage with each text, and whether the span stands. Pairs that are no row overlap by 0."""
-    tokens = t.words(F.col("text"), t.EVIDENCE_SPLIT)
-    r = F.round(F.col("n") / F.col("q"), 6)
-    return _shared(docs, passages, tokens, tokens).select("case_id", "item_id", r.alias("overlap"), (r >= least).alias("valid"))
-
 
 def valid_spans(spans: DataFrame, least: float = 0.8, omissions: tuple[str, ...] = ("MISSING_ALLERGY",)) -> DataFrame:
     """Spans (case_id, code, quote) against the texts of their row (transcript, source, artifact), with ``valid``.
@@ -47,38 +21,6 @@ def valid_spans(spans: DataFrame, least: float = 0.8, omissions: tuple[str, ...]
     return spans.select("case_id", "code", valid.alias("valid"))
 
 
-def containment(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """Shared tokens over the smaller token set. Pairs that are no row share none."""
-    tokens = t.containment_tokens(F.col("text"))
-    return _shared(docs, passages, tokens, tokens).select("case_id", "item_id", F.round(F.col("n") / F.least("q", "s"), 6).alias("containment"))
-
-
-def source_grounding(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """Disproved where the passage has salient tokens and all their stems stand in the text. Pairs that are no row share no stem."""
-    c = _shared(docs, passages, t.source_stems(F.col("text")), t.salient_stems(F.col("text")))
-    missing = F.col("q") - F.col("n")
-    return c.select("case_id", "item_id", F.col("q").cast("long").alias("salient"), missing.cast("long").alias("missing"), (missing == 0).alias("disproved"))
-
-
-def evidence_presence(docs: DataFrame, passages: DataFrame, least: int = 12) -> DataFrame:
-    """Is the passage, of at least ``least`` characters when normalized, contained verbatim in the text.
-
-    Rows are the pairs that share a run of RUN words, and those of shorter passages that are contained. A contained passage
-    may begin and end within words of the text, so only the words between are sure to stand there whole: passages of less
-    than RUN + 2 words are held against every text. Pairs that are no row are not contained.
-    """
-    text = t.plain(F.col("text"))
-    d = docs.select("doc_id", text.alias("text"))
-    p = passages.select("item_id", text.alias("text"), F.size(F.split(text, " ")).alias("n")).filter("text <> ''")
-    runs = lambda x: x.withColumn("words", F.split("text", " "))
-    found = _spread(runs(d), runs(p.filter(F.col("n") >= RUN + 2)), t.runs(F.col("words"), RUN), t.runs(F.col("words"), RUN))
-    pairs = found.select("case_id", "item_id").distinct()
-    quotes, sources = p.select("item_id", F.col("text").alias("quote")), d.select(F.col("doc_id").alias("case_id"), F.col("text").alias("source"))
-    long = pairs.join(quotes, "item_id").join(sources, "case_id").withColumn("within", F.contains("source", "quote"))
-    short = sources.join(p.filter(F.col("n") < RUN + 2).select("item_id", F.col("text").alias("quote")), F.contains("source", "quote")).withColumn("within", F.lit(True))
-    return long.unionByName(short).select("case_id", "item_id", ((F.length("quote") >= least) & F.col("within")).alias("present"))
-
-
 def value_presence(docs: DataFrame, pattern: str) -> DataFrame:
     """Values that the pattern finds in the first line must stand in the rest; null with nothing to check."""
     first, rest = F.split_part("text", F.lit("\n"), F.lit(1)), F.expr("substring(text, instr(text, '\n') + 1)")

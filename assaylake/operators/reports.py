@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.functions.hashing import uniform
+from assaylake.functions.hashing import hash32
 from assaylake.operators import agreement, calibration, rollup
 
 #: Cumulated Poisson(1) probabilities: how often a row is drawn into a resample.
 POISSON = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759)
+#: Steps of the 32-bit mixer: after each shift the number is multiplied, modulo 2**32.
+MIXER = ((16, 0x7FEB352D), (15, 0x846CA68B), (16, 1))
+#: Distance between the seeds of a row's resamples.
+STRIDE = 0x9E3779B1
+
+
+def draws(seeds: np.ndarray, resamples: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts, a row for each resample and a column for each 32-bit seed."""
+    x = (seeds[None, :] + resamples[:, None] * np.uint64(STRIDE)) & np.uint64(0xFFFFFFFF)
+    for shift, factor in MIXER:
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(0xFFFFFFFF)
+    return np.searchsorted(np.array(POISSON) * 2.0**32, x.astype(np.float64).ravel(), side="right").reshape(x.shape)
+
+
+def _resampled(resamples: int, rows: int = 4096, block: int = 50):
+    """resample, w, wx of a task: a block of resamples times a block of rows is a matrix of counts, multiplied by the values."""
+
+    def run(batches):
+        w, wx = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            seeds, x = b.column("seed").to_numpy().astype(np.uint64), b.column("x").to_numpy()
+            for i in range(0, len(x), rows):
+                for k in range(0, resamples, block):
+                    n = draws(seeds[i : i + rows], np.arange(k, min(k + block, resamples), dtype=np.uint64)).astype(float)
+                    w[k : k + block] += n.sum(1)
+                    wx[k : k + block] += n @ x[i : i + rows]
+        if w.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(w), pa.array(wx)], ["b", "w", "wx"])
+
+    return run
 
 
 def bootstrap(rows: DataFrame, key: str, value: str, resamples: int = 1000, alpha: float = 0.05) -> DataFrame:
-    """Interval of the mean of ``value``: ci_low, ci_high, resamples.
+    """Interval of the mean of ``value``: ci_low, ci_high, resamples. Rows without a value do not count.
 
-    A row's number of draws in a resample is Poisson(1) by the hash of its key and the resample's number, which for many
-    rows is drawing with replacement. A row gives one weight a resample and these are summed before the shuffle, so
-    ``resamples`` rows leave a partition. The bounds are the sorted means at the places of alpha / 2 and 1 - alpha / 2.
+    A row's number of draws in a resample is Poisson(1) by a hash of its key and the resample's number, which for many rows
+    is drawing with replacement. Each task multiplies its rows by the counts of all resamples, so ``resamples`` partial
+    sums leave it. The bounds are the sorted means at the places of alpha / 2 and 1 - alpha / 2; resamples in which no
+    row is drawn have no mean.
     """
-    each = rows.select(F.col(key).alias("k"), F.col(value).alias("x")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("u", uniform("boot", F.col("k"), F.col("b")))
-    draws = sum(((F.col("u") >= p).cast("int") for p in POISSON), F.lit(0))
-    means = each.withColumn("w", draws).groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    sorted_ = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
-    at = lambda p: F.round(F.get("m", F.lit(int(resamples * p))), 6)
+    each = rows.filter(F.col(value).isNotNull()).select(hash32("boot", F.col(key)).alias("seed"), F.col(value).cast("double").alias("x"))
+    sums = each.mapInArrow(_resampled(resamples), "b int, w double, wx double").groupBy("b").agg(F.sum("w").alias("w"), F.sum("wx").alias("wx"))
+    sorted_ = sums.agg(F.array_sort(F.collect_list(F.col("wx") / F.nullif("w", F.lit(0)))).alias("m"))
+    at = lambda p: F.round(F.get("m", F.floor(F.size("m") * F.lit(p)).cast("int")), 6)
     return sorted_.select(at(alpha / 2).alias("ci_low"), at(1 - alpha / 2).alias("ci_high"), F.size("m").alias("resamples"))
 
 

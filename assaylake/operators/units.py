@@ -1,4 +1,4 @@
-"""Finding units: codes of one family that point at the same evidence count once. Also closures over hierarchies."""
+"""Finding units: codes of one family that point at the same evidence count once. Also verdicts of subsumption."""
 
 from __future__ import annotations
 
@@ -71,16 +71,6 @@ def pass_scores(findings: DataFrame, gold: DataFrame) -> DataFrame:
     return j.select("run", "raised", F.col("tp").cast("long").alias("tp"), "gold", p.alias("precision"), r.alias("recall"))
 
 
-def closure(edges: DataFrame, depth: int) -> DataFrame:
-    """child, ancestor, distance over an is-a hierarchy of bounded depth."""
-    reach, now = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), edges.select("child", F.col("parent").alias("ancestor"))
-    up = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
-    for d in range(2, depth + 1):
-        now = now.join(up, "ancestor").select("child", F.col("next").alias("ancestor"))
-        reach = reach.unionByName(now.withColumn("distance", F.lit(d)))
-    return reach.groupBy("child", "ancestor").agg(F.min("distance").alias("distance"))
-
-
 def subsumption_verdicts(terms: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Of each (key, note, record): SUPPRESS where both are equal or the record's concept is a kind of the note's, STAND where the note's
     is a kind of the record's, else DEFER."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions.hashing import uniform
 from assaylake.operators import floors as op
-from assaylake.operators import units
+from assaylake.operators import hierarchy
 from assaylake.plans.consensus import _DISPROVED, _disproved
 from assaylake.plans.text import _ISA, _isa
 from assaylake.sources import relations as r
@@ -137,7 +137,7 @@ QUERIES = {
         f"with {_HITS} select case_id, case when bool_or(coalesce(score >= 0.6, false)) then false end as conforms from hits group by case_id",
     ),
     "g08_all_terms_grounded": (
-        lambda s, d: op.all_grounded(_candidates(s, d), units.closure(_isa(s, d), 3)),
+        lambda s, d: op.all_grounded(_candidates(s, d), hierarchy.closure(_isa(s, d))),
         "select c_custkey as case_id, c_custkey % 3 = 1 as disproved, cast(2 as bigint) as candidates from customer",
     ),
     "g11_structure": (
@@ -153,7 +153,7 @@ QUERIES = {
         sql("select case_id, case when count(*) filter (vote = 'BLOCK') > count(*) // 2 then false when count(*) filter (vote = 'PASS') > count(*) // 2 then true end as conforms from votes group by case_id", "votes"),
     ),
     "g13_subsumption_floor": (
-        lambda s, d: op.subsumption(_terms(s, d), {"ancestors": units.closure(_isa(s, d), 3)}),
+        lambda s, d: op.subsumption(_terms(s, d), {"ancestors": hierarchy.closure(_isa(s, d))}),
         sql(
             f"""with {_ISA}, t as (select c_custkey as case_id, case c_custkey % 5 when 0 then 'c' || c_custkey when 1 then 'n' || c_nationkey when 2 then 'c' || c_custkey when 3 then 'r0' end as note,
             case c_custkey % 5 when 0 then 'n' || c_nationkey else 'c' || c_custkey end as record from customer)

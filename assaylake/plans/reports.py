@@ -15,8 +15,11 @@ from assaylake.sources import relations as r
 from assaylake.sources import stores
 from assaylake.sources.relations import _u, sql
 
-RESAMPLES = 100
-_DRAWS = " + ".join(f"cast(u >= {p} as integer)" for p in op.POISSON)
+RESAMPLES = 1000
+_DRAWS = " + ".join(f"cast(u >= {p}::double * 4294967296 as integer)" for p in op.POISSON)
+_MIXED = "cast((cast('0x' || substr(sha1('boot|' || cast(case_id as varchar)), 1, 8) as bigint) + b * 2654435761) % 4294967296 as ubigint)"
+for _shift, _factor in op.MIXER:
+    _MIXED = f"list_transform([{_MIXED}], lambda x: (xor(x, x >> {_shift}) * {_factor}) % 4294967296)[1]"
 
 
 def _rates(s, d):
@@ -317,7 +320,7 @@ QUERIES = {
     "a04_bootstrap": (
         lambda s, d: op.bootstrap(_rates(s, d), "case_id", "match_rate", RESAMPLES),
         sql(
-            f"""with {_RATES}, d as (select b, match_rate as x, {_u("'boot'", 'case_id', 'b')} as u from rates, range(0, {RESAMPLES}) n(b)), w as (select b, x, {_DRAWS} as w from d),
+            f"""with {_RATES}, d as (select b, match_rate as x, {_MIXED}::double as u from rates, range(0, {RESAMPLES}) n(b)), w as (select b, x, {_DRAWS} as w from d),
             m as (select list(m order by m) as m from (select b, sum(w * x) / sum(w) as m from w group by b))
             select round(m[{int(RESAMPLES * 0.025) + 1}], 6) as ci_low, round(m[{int(RESAMPLES * 0.975) + 1}], 6) as ci_high, cast(len(m) as integer) as resamples from m""",
             "votes",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import text as t
 from assaylake.functions.hashing import uniform
-from assaylake.operators import datagen, grounding, kpi, units
+from assaylake.operators import containment, datagen, grounding, hierarchy, kpi, units
 from assaylake.sources import relations as r
 from assaylake.sources.relations import _u, sql
 
@@ -45,7 +45,7 @@ def _plain(x: str) -> str:
 
 def _runs(w: str) -> str:
     """Runs of words in a list of them."""
-    n = grounding.RUN
+    n = containment.RUN
     return f"list_transform(range(1, greatest(len({w}) - {n - 2}, 1)), lambda i: array_to_string(list_slice({w}, i, i + {n - 1}), ' '))"
 
 
@@ -90,6 +90,22 @@ def _isa(s, d):
     return n.unionByName(c)
 
 
+def _lineage(s, d):
+    """Each order is a kind of the customer's order before it, the first one of the customer, and every fiftieth customer a kind of
+    its own last order: chains as long as customers have orders, and cycles."""
+    o = r.table(s, d, "orders").select("o_orderkey", "o_custkey")
+    before = F.expr("lag(o_orderkey) over (partition by o_custkey order by o_orderkey)")
+    chain = o.select(F.concat(F.lit("o"), "o_orderkey").alias("child"), F.coalesce(F.concat(F.lit("o"), before), F.concat(F.lit("c"), "o_custkey")).alias("parent"))
+    back = o.filter("o_custkey % 50 = 0").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))
+    return _isa(s, d).unionByName(chain).unionByName(back.select(F.concat(F.lit("c"), "o_custkey").alias("child"), F.concat(F.lit("o"), "last").alias("parent")))
+
+
+_LINEAGE = """isa as (select 'n' || n_nationkey as child, 'r' || n_regionkey as parent from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer
+    union all select 'o' || o_orderkey, coalesce('o' || lag(o_orderkey) over (partition by o_custkey order by o_orderkey), 'c' || o_custkey) from orders
+    union all select 'c' || o_custkey, 'o' || max(o_orderkey) from orders where o_custkey % 50 = 0 group by o_custkey),
+  most as (select max(n) + 3 as most from (select count(*) as n from orders group by o_custkey)),
+  up as (select child, parent as ancestor, 1 as distance from isa union select up.child, isa.parent, distance + 1 from up join isa on up.ancestor = isa.child where distance <= (select most from most))"""
+
 _ISA = """isa as (select 'n' || n_nationkey as child, 'r' || n_regionkey as parent from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer),
   up as (select child, parent as ancestor, 1 as distance from isa union all select a.child, b.parent, 2 from isa a join isa b on a.parent = b.child)"""
 
@@ -161,27 +177,27 @@ _TOP = """with e as (select vec_id, list_transform(embedding, lambda x: x::doubl
 
 QUERIES = {
     "f01_evidence_overlap": (
-        lambda s, d: grounding.evidence_overlap(*_spans(s, d)),
+        lambda s, d: containment.evidence_overlap(*_spans(s, d)),
         f"""with {_claims(_tokens('text', _EV), _tokens('text', _EV))}, n as (select case_id, item_id, len(q) as q, {_common('q', 's')} as n from k)
-            select case_id, item_id, round(n / q, 6) as overlap, round(n / q, 6) >= 0.8 as valid from n where n > 0""",
+            select case_id, item_id, round(n / q, 6) as overlap from n where 10 * n >= 8 * q and q > 0""",
     ),
     "f02_containment": (
-        lambda s, d: grounding.containment(*_spans(s, d)),
+        lambda s, d: containment.containment(*_spans(s, d)),
         f"""with {_claims(_WORDS, _WORDS)}, n as (select case_id, item_id, least(len(q), len(s)) as m, {_common('q', 's')} as n from k)
-            select case_id, item_id, round(n / m, 6) as containment from n where n > 0""",
+            select case_id, item_id, round(n / m, 6) as containment from n where 10 * n >= 6 * m and m > 0""",
     ),
     "g03_source_grounding": (
-        lambda s, d: grounding.source_grounding(*_spans(s, d)),
+        lambda s, d: containment.source_grounding(*_spans(s, d)),
         f"""with {_claims(f"list_distinct(list_transform({_tokens('text', '[^a-z0-9]+')}, lambda w: {_stem('w')}))", _SALIENT)}, n as (select case_id, item_id, len(q) as salient, len(q) - {_common('q', 's')} as missing from k)
-            select case_id, item_id, salient, missing, missing = 0 as disproved from n where missing < salient""",
+            select case_id, item_id, salient, missing, missing = 0 as disproved from n where missing = 0 and salient > 0""",
     ),
     "g04_evidence_presence": (
-        lambda s, d: grounding.evidence_presence(*_spans(s, d)),
+        lambda s, d: containment.evidence_presence(*_spans(s, d)),
         f"""with d as materialized (select doc_id as case_id, {_plain('text')} as x, string_split({_plain('text')}, ' ') as w from documents),
             p as materialized (select item_id, {_plain('text')} as x, string_split({_plain('text')}, ' ') as w from benchmark where {_plain('text')} <> ''),
-            dg as (select distinct case_id, unnest({_runs('w')}) as g from d), pg as (select distinct item_id, unnest({_runs('w')}) as g from p where len(w) >= {grounding.RUN + 2}), near as (select distinct case_id, item_id from dg join pg using (g)),
+            dg as (select distinct case_id, unnest({_runs('w')}) as g from d), pg as (select distinct item_id, unnest({_runs('w')}) as g from p where len(w) >= {containment.RUN + 2}), near as (select distinct case_id, item_id from dg join pg using (g)),
             pairs as (select case_id, item_id, p.x as quote, contains(d.x, p.x) as within from near join d using (case_id) join p using (item_id)
-              union all select case_id, item_id, p.x, true from d join p on len(p.w) < {grounding.RUN + 2} and contains(d.x, p.x))
+              union all select case_id, item_id, p.x, true from d join p on len(p.w) < {containment.RUN + 2} and contains(d.x, p.x))
             select case_id, item_id, length(quote) >= 12 and within as present from pairs""",
     ),
     "g10_value_presence": (
@@ -243,9 +259,10 @@ QUERIES = {
             "gold_codes",
         ),
     ),
-    "j19_isa_closure": (lambda s, d: units.closure(_isa(s, d), 3), sql(f"with {_ISA} select child, ancestor, cast(min(distance) as integer) as distance from up group by child, ancestor")),
+    "j19_isa_closure": (lambda s, d: hierarchy.closure(_isa(s, d)), sql(f"with {_ISA} select child, ancestor, cast(min(distance) as integer) as distance from up group by child, ancestor")),
+    "j19_lineage_closure": (lambda s, d: hierarchy.closure(_lineage(s, d)), f"with recursive {_LINEAGE} select child, ancestor, cast(min(distance) as integer) as distance from up group by child, ancestor"),
     "g09_subsumption": (
-        lambda s, d: units.subsumption_verdicts(_terms(s, d), units.closure(_isa(s, d), 3)),
+        lambda s, d: units.subsumption_verdicts(_terms(s, d), hierarchy.closure(_isa(s, d))),
         sql(
             f"""with {_ISA}, t as (select c_custkey as key, case c_custkey % 4 when 0 then 'c' || c_custkey when 1 then 'n' || c_nationkey when 2 then 'c' || c_custkey else 'r0' end as note,
             case c_custkey % 4 when 2 then 'n' || c_nationkey else 'c' || c_custkey end as record from customer)

@@ -6,18 +6,11 @@ that the reads fold. Reads are aggregations over the log, and a filter on the wo
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake.operators.history import latest, latest_authoritative
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; below the warehouse where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from assaylake.shared import shared_folder
 
 
 class Store:

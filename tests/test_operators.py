@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import stats, text
 from assaylake.functions.hashing import hash32, seed31, uniform
-from assaylake.operators import agreement, calibration, consensus, datagen, history, rollup, scorecard, units
+from assaylake.operators import agreement, calibration, consensus, datagen, hierarchy, history, rollup, scorecard, units
 
 FINDING = "case_id long, role string, code string, tier int, pillar string, owner string, has_evidence boolean, severity string, gradeable boolean"
 VOTE = "case_id long, role string, run int, gold_block boolean, vote string, confidence double"
@@ -130,7 +130,7 @@ def test_units_chain(spark):
 
 
 def test_closure_and_subsumption(spark):
-    up = units.closure(spark.createDataFrame([("c", "b"), ("b", "a")], "child string, parent string"), 3)
+    up = hierarchy.closure(spark.createDataFrame([("c", "b"), ("b", "a")], "child string, parent string"))
     assert rows(up) == [("b", "a", 1), ("c", "a", 2), ("c", "b", 1)]
     terms = spark.createDataFrame([(1, "a", "c"), (2, "c", "a"), (3, "x", "a"), (4, "a", "a")], "key long, note string, record string")
     assert rows(units.subsumption_verdicts(terms, up), "key", "verdict") == [(1, "SUPPRESS"), (2, "STAND"), (3, "DEFER"), (4, "SUPPRESS")]

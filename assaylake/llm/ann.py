@@ -9,6 +9,9 @@ A part's vectors and queries meet in cells of bounded blocks of both, so a part
 over many tasks; cells return the best of each query, which are merged by rank.
 
 Parts grow with the square root of the number of vectors, so that with structure in them a query scores a falling share.
+The sample grows with the parts up to ``most_sample``; beyond, from 16 million vectors on, parts stay at 1024.
+
+Vectors are divided by a power of two before they are squared, which is exact, so no magnitude over- or underflows.
 
 Defined cases: vectors that are null, zero, of another length than the sample's most common one, or with null or
 non-finite components take no part, nor do rows with a null vec_id; rows that repeat a vec_id are candidates each, but never for that vec_id's
@@ -30,10 +33,11 @@ from assaylake.llm.common import written
 
 @dataclass(frozen=True)
 class Plan:
-    #: None: a quarter of the square root of the number of vectors, from 16 to a 32nd of the sample.
+    #: None: a quarter of the square root of the number of vectors, from 16 to a 32nd of the largest sample.
     parts: int | None = None
-    #: Vectors that the partition and the classifier are fitted on, the lowest hashes of vec_id.
+    #: Vectors that the partition and the classifier are fitted on, the lowest hashes of vec_id: 32 for each part, at least and at most so many.
     sample: int = 4096
+    most_sample: int = 32_768
     neighbours: int = 10
     hidden: int = 128
     epochs: int = 40
@@ -42,7 +46,11 @@ class Plan:
 
 
 def parts_for(rows: int, plan: Plan) -> int:
-    return plan.parts or max(16, min(int(rows**0.5 / 4), plan.sample // 32))
+    return plan.parts or max(16, min(int(rows**0.5 / 4), max(plan.sample, plan.most_sample) // 32))
+
+
+def sample_for(rows: int, plan: Plan) -> int:
+    return max(plan.sample, min(32 * parts_for(rows, plan), plan.most_sample))
 
 
 class Router:
@@ -62,7 +70,13 @@ class Router:
         return np.argsort(-self.forward(unit, self.weights)[1], axis=1, kind="stable")
 
 
+def at_one(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to between a half and one."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = at_one(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -124,7 +138,7 @@ def fit(vectors: np.ndarray, plan: Plan, k: int = 5, rows: int | None = None) ->
     plan = replace(plan, parts=parts_for(rows or n, plan))
     if n < 8 * plan.parts:
         return None
-    x = unit(vectors.astype(np.float32))
+    x = unit(vectors).astype(np.float32)
     graph = nearest(x, x, plan.neighbours)
     label = balanced_parts(graph, plan.parts)
     target = np.zeros((n, plan.parts), np.float32)
@@ -198,6 +212,7 @@ def _placed(rows: DataFrame, router: Router | None, visits: int | None) -> DataF
 
 def best_of(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """Of each query the k rows of largest cosine with another id: (query, row, score). Scores do not depend on the rows' places."""
+    queries, rows = at_one(queries), at_one(rows)
     qn, rn = np.sqrt((queries * queries).sum(1)), np.sqrt((rows * rows).sum(1))
     out = []
     for i in range(0, len(queries), 256):
@@ -247,7 +262,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, plan: Plan = Plan())
     A query whose parts hold fewer than k candidates visits all parts, so it gets k, or all candidates if fewer.
     """
     rows = _valid(vectors)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(plan.sample).collect()
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(sample_for(rows.count(), plan)).collect()
     sizes = np.bincount([len(r["embedding"]) for r in picked], minlength=1)
     length = int(sizes.argmax())
     rows = rows.filter(F.size("embedding") == length)

@@ -22,7 +22,7 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy longest-match token counts of every text. Null and empty texts count 0, repeated rows repeat, an empty table gives no rows."""
+    """Greedy longest-match token counts of every text. Null and empty texts count 0, repeated rows repeat, texts of any length are counted whole, an empty table gives no rows."""
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"))
 
 
@@ -37,27 +37,27 @@ def op5_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set size and component of every document. Null and empty texts are linked with nothing, a null doc_id has a null component, an empty table gives no rows."""
+    """Set size and component of every document. Null and empty texts are linked with nothing, a null doc_id has a null component, texts of any length are compared whole, an empty table gives no rows."""
     return ngram_join.join_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest found of every 50th vector. Null, zero and non-finite vectors take no part, ties go to the smaller vec_id, an empty table gives no rows."""
+    """The 5 nearest found of every 50th vector. Null, zero and non-finite vectors take no part, components of any magnitude are scored alike, ties go to the smaller vec_id, an empty table gives no rows."""
     return ann.search(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as read back from its archive. A null html is the empty payload, repeated rows repeat, an empty table gives no rows."""
+    """Every page as read back from its archive. A null html is the empty payload, a null page_id comes after all others, repeated rows repeat, payloads of any length are kept whole, an empty table gives no rows."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licenses in every text. Null, empty and short texts have none, repeated rows repeat, an empty table gives no rows."""
+    """Licenses in every text. Null, empty and short texts have none, repeated rows repeat, texts of any length are scanned whole, an empty table gives no rows."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and verdict of every text. A null text has no words and fails, a null language is held against all languages together, an empty table gives no rows."""
+    """Counts and verdict of every text. A null text has no words and fails, a null language is held against all languages together, texts of any length are judged whole, an empty table gives no rows."""
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 

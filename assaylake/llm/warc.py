@@ -10,9 +10,10 @@ its header, and have to be what the header says; a revisit takes them from the r
 Only SQL functions run. Equal payloads are folded where they are read before they are moved, and a digest that a third of
 all pages share is one row on the payload side; revisits of one response are dealt over shares.
 
-Defined cases: a null html is the empty payload; a null url is the empty URI; records with a null page_id form responses
-of their own (nothing can refer to them); rows that repeat a page_id and payload give one response, the first by url,
-and revisits, each with its own url; every record has an id of its own; payloads of any length are kept whole;
+Defined cases: a null html is the empty payload; a null url is the empty URI; a record with a null page_id comes after all
+others, so it revisits where an equal payload has a page_id, and where none has one of them is the response and the others
+refer to it with no page_id; rows that repeat a page_id and payload give one response, the first by url, and revisits,
+each with its own url; every record has an id of its own; payloads of any length are kept whole;
 an empty table gives empty archives; extra columns are dropped.
 """
 
@@ -46,7 +47,7 @@ def _header(kind: str, date: Column) -> Column:
 
     The id of a response that revisits may refer to (``named``) follows from its page and address; all others are random."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    response = lambda page: F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(":"), F.substring("address", 1, 32), F.lit(">"))
+    response = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("-")), F.lit(":"), F.substring("address", 1, 32), F.lit(">"))
     own = F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))
     lines = [
         F.lit("WARC/1.1" + CRLF),
@@ -70,22 +71,23 @@ def _header(kind: str, date: Column) -> Column:
 def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str | None = None) -> None:
     """Payloads below ``least_bytes`` are responses of their own. ``date`` is the records' WARC-Date, by default now."""
     rows = _addressed(pages)
-    shared = (F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()
+    shared = F.octet_length("payload") >= least_bytes
     small = written(rows.select("page_id", "url", "address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("digest"), shared.alias("shared")), "warc-rows")
     owners = small.filter("shared").groupBy("address").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("k"))
     joined = join_hot(small.filter("shared"), owners, "address", "k", small.count())
     # rows that repeat the owner's page_id and payload: the first by url is the response; equal rows are counted, so that no
     # group is ranked in one task, and each keeps its own url
-    tied = joined.filter("page_id = owner").groupBy("address", "owner", "url", "payload_bytes", "digest").agg(F.count(F.lit(1)).alias("n"))
-    first = tied.groupBy("address", "owner").agg(F.min("url").alias("first"))
-    mine = tied.join(first, ["address", "owner"]).select(F.col("owner").alias("page_id"), "url", "address", "payload_bytes", "digest", "owner", (F.col("url") == F.col("first")).alias("leads"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    tied = joined.filter("page_id <=> owner").groupBy("address", "owner", "url", "payload_bytes", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = tied.groupBy("address").agg(F.min("url").alias("first"))
+    mine = tied.join(first, "address").select(F.col("owner").alias("page_id"), "url", "address", "payload_bytes", "digest", "owner", (F.col("url") == F.col("first")).alias("leads"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
     names = ["page_id", "url", "address", "payload_bytes", "digest", "owner"]
     records = (
         mine.select(*names, F.when(F.col("leads") & (F.col("k") == 1), "response").otherwise("revisit").alias("record_type"), (F.col("leads") & (F.col("k") == 1)).alias("named"))
-        .unionByName(joined.filter("page_id <> owner").select(*names, F.lit("revisit").alias("record_type"), F.lit(False).alias("named")))
+        .unionByName(joined.filter("not page_id <=> owner").select(*names, F.lit("revisit").alias("record_type"), F.lit(False).alias("named")))
         .unionByName(small.filter(~F.col("shared")).withColumn("owner", F.col("page_id")).select(*names, F.lit("response").alias("record_type"), F.lit(False).alias("named")))
     )
-    when = F.lit(date) if date else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())  # formatted in the session's zone, it reads as UTC
+    when = F.lit(date) if date else F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     header = F.when(F.col("record_type") == "revisit", _header("revisit", when)).otherwise(_header("response", when))
     records.select("page_id", "address", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{folder}/headers")
     # each distinct payload once; equal ones are folded before they are moved
@@ -112,11 +114,21 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_bodies(heads: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Response headers joined with their payloads. Where small payloads aren't shared an address may have many responses: those
+    of over a thousandth of all, fewer than 1000, are dealt over shares."""
+    shares = F.ceil(F.col("k") * 1000 / F.lit(max(heads.count(), 1))).cast("int")
+    hot = F.broadcast(heads.groupBy("address").agg(F.count(F.lit(1)).alias("k")).select("address", shares.alias("shares")).filter("shares > 1"))
+    n = F.coalesce("shares", F.lit(1))
+    dealt = heads.join(hot, "address", "left").withColumn("share", F.pmod(F.xxhash64("page_id", "header"), n).cast("int")).drop("shares")
+    copies = bodies.join(hot, "address", "left").select("address", "payload", F.explode(F.sequence(F.lit(0), n - 1)).alias("share"))
+    return dealt.join(copies, ["address", "share"])
+
+
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, record: the original WARC records, header block, payload (none in a revisit) and the two closing line ends."""
     heads, end = read_headers(spark, folder), F.encode(F.lit(CRLF * 2), "UTF-8")
-    bodies = read_payloads(spark, folder)
-    full = heads.filter("record_type = 'response'").join(bodies, "address").select("page_id", F.concat("header", "payload", end).alias("record"))
+    full = with_bodies(heads.filter("record_type = 'response'"), read_payloads(spark, folder)).select("page_id", F.concat("header", "payload", end).alias("record"))
     return full.unionByName(heads.filter("record_type = 'revisit'").select("page_id", F.concat("header", end).alias("record")))
 
 

@@ -135,7 +135,7 @@ def test_a_query_in_a_small_part_gets_its_full_number(spark):
 
 def test_parts_grow_with_the_vectors():
     plan = ann.Plan()
-    assert [ann.parts_for(n, plan) for n in (500, 51_282, 10**9)] == [16, 56, 128] and ann.parts_for(10**9, ann.Plan(parts=8)) == 8
+    assert [ann.parts_for(n, plan) for n in (500, 51_282, 10**7, 10**9)] == [16, 56, 790, 1024] and [ann.sample_for(n, plan) for n in (500, 51_282, 10**7, 10**9)] == [4096, 4096, 25_280, 32_768] and ann.parts_for(10**9, ann.Plan(parts=8)) == 8
 
 
 def test_records_are_whole_and_their_ids_distinct(spark, tmp_path):

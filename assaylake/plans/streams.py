@@ -1,4 +1,5 @@
-"""Queries of the streaming views. They run a file stream over the whole event table in one batch, write its result, and are held against SQL over the batch."""
+"""Queries of the streaming views. Some run a file stream over the whole event table in one batch, others in several triggers
+with late or repeated rows; they write their results and are held against SQL over the batch."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from assaylake.sources import relations as r
 from assaylake.sources import stores
 from assaylake.sources.relations import sql
-from assaylake.streaming import views
+from assaylake.streaming import replay, views
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -57,7 +58,69 @@ def upserted(s, d):
     return views.read_upserted(s, f"{folder}/table").select("case_key", "seq", "verdict", "signature")
 
 
+#: Arrivals of the events: by weeks of the month, some of them two or nine days late.
+ARRIVALS = 6
+
+
+def _arrivals(s, d):
+    e = r.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    late = F.when(F.col("event_id") % 20 == 0, 9).when(F.col("event_id") % 20 == 1, 2).otherwise(0)
+    week = F.least(F.floor((F.dayofmonth("ts") - 1 + late) / 7), F.lit(ARRIVALS - 1))
+    return e, [e.filter(week == k) for k in range(ARRIVALS)]
+
+
+def append_tumbling(s, d):
+    run = replay.triggered(_arrivals(s, d)[1], views.tumbling, _folder(s))
+    return run.appended.select(_text("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def append_sliding(s, d):
+    run = replay.triggered(_arrivals(s, d)[1], views.sliding, _folder(s))
+    return run.appended.select(_text("start").alias("start"), "event_type", "n")
+
+
+def late_rows(s, d):
+    e, arrivals = _arrivals(s, d)
+    return replay.late_count(replay.triggered(arrivals, views.tumbling, _folder(s)), e.count(), "n", "value.count")
+
+
+def _twice(s, d):
+    """The log in five arrivals, each of which brings every row twice."""
+    log = _verdicts(r.table(s, d, "events")).join(r.table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts")), "seq")
+    weeks = [log.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 7), F.lit(4)) == k) for k in range(5)]
+    return [x.unionByName(x) for x in weeks]
+
+
+def state_breaks(s, d):
+    with replay.conf(s, spark__sql__streaming__stateStore__providerClass=replay.ROCKS):
+        run = replay.triggered(_twice(s, d), lambda log: replay.signature_breaks(replay.once(log, "seq", "2 days")), _folder(s))
+    return run.appended
+
+
+def upserted_once(s, d):
+    """The upsert of a log that comes twice, and the number of its rows that got through."""
+    folder = _folder(s)
+    passed = replay.triggered(_twice(s, d), lambda log: replay.once(log, "seq", "2 days").drop("ts"), f"{folder}/once").appended
+    stream = s.readStream.schema(passed.schema).parquet(f"{folder}/once/result")
+    views.upsert_latest(stream, f"{folder}/table", f"{folder}/checkpoint", "case_key", "seq").awaitTermination()
+    n = passed.groupBy("case_key").agg(F.count(F.lit(1)).alias("n"))
+    return views.read_upserted(s, f"{folder}/table").join(n, "case_key").select("case_key", "seq", "verdict", "signature", "n")
+
+
+_LATE = f"""e as (select *, least((day(ts) - 1 + case event_id % 20 when 0 then 9 when 1 then 2 else 0 end) // 7, {ARRIVALS - 1}) as b from events),
+  seen as (select b, max(epoch_ms(ts)) as last from e group by b), marks as (select b, (select max(last) from seen x where x.b < y.b) - 3600000 as mark from seen y), final as (select max(last) - 3600000 as mark from seen),
+  k as (select e.*, start, coalesce(epoch_ms(start) + days * 86400000 <= m.mark, false) as late, epoch_ms(start) + days * 86400000 <= f.mark as closed from (select *, date_trunc('day', ts) - to_days(cast(i as integer)) as start, {{days}} as days from e, range(0, {{days}}) r(i)) e join marks m using (b), final f)"""
+
+
 QUERIES = {
+    "s_stream_append_tumbling": (append_tumbling, f"with {_LATE.format(days=1)} select strftime(start, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 4) as total from k where closed and not late group by 1, 2"),
+    "s_stream_append_sliding": (append_sliding, f"with {_LATE.format(days=2)} select strftime(start, '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from k where closed and not late group by 1, 2"),
+    "s_stream_late": (late_rows, f"with {_LATE.format(days=1)} select count(*) as arrived, count(*) filter (closed and not late) as emitted, count(*) filter (not closed and not late) as open, count(*) filter (late) as late from k"),
+    "s_stream_state_breaks": (
+        state_breaks,
+        sql("select case_key, seq, before, signature from (select case_key, seq, signature, lag(signature) over (partition by case_key order by seq) as before from run_log) where signature is distinct from before", "run_log"),
+    ),
+    "s_stream_upsert_once": (upserted_once, sql("select case_key, max(seq) as seq, arg_max(verdict, seq) as verdict, arg_max(signature, seq) as signature, count(*) as n from run_log group by case_key", "run_log")),
     "s_stream_breaks": (
         signature_breaks,
         sql("select case_key, seq, before, signature from (select case_key, seq, signature, lag(signature) over (partition by case_key order by seq) as before from run_log) where signature is distinct from before", "run_log"),

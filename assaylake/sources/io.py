@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake import schemas
+from assaylake.shared import exists
 
 
 def read_ndjson(spark: SparkSession, path: str | list[str], schema: str, strict: bool = False) -> DataFrame:
@@ -21,10 +22,7 @@ def read_ndjson(spark: SparkSession, path: str | list[str], schema: str, strict:
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A log that may not exist yet: no rows then."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def append_ndjson(rows: DataFrame, path: str) -> None:

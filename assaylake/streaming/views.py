@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake.shared import exists
+
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = 64) -> DataFrame:
     """A Parquet folder (or file pattern) as a stream with ``ts`` as event time; with None all present files are one batch, so none of their events is late."""
@@ -40,25 +40,6 @@ def drift_alerts(current: DataFrame, baseline: DataFrame, key: str) -> DataFrame
     return j.withColumn("baseline", F.coalesce("baseline", F.lit("ABSENT"))).filter(F.col("verdict") != F.col("baseline"))
 
 
-def signature_breaks(log: DataFrame) -> DataFrame:
-    """Emits a row whenever a case's signature differs from the one before, keeping one value of state for each case."""
-    import pandas as pd
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for f in frames:
-            for r in f.sort_values("seq").itertuples():
-                if r.signature != last:
-                    out.append((key[0], r.seq, last, r.signature))
-                    last = r.signature
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["case_key", "seq", "before", "signature"])
-
-    schema = "case_key long, seq long, before string, signature string"
-    return log.groupBy("case_key").applyInPandasWithState(run, schema, "signature string", "append", "NoTimeout")
-
-
 def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order: str, buckets: int = 64):
     """Keeps each key's latest row. Keys are dealt over buckets; a batch writes new versions of the buckets that it touches, then their numbers.
 
@@ -85,12 +66,9 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, order
 
 def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
     """The last version of each bucket that was finished, below a number if one is given: at most as many as buckets."""
-    try:
-        written = spark.read.schema("bucket int, version long").parquet(f"{path}_versions")
-    except Exception as e:  # no version yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, f"{path}_versions"):
         return {}
+    written = spark.read.schema("bucket int, version long").parquet(f"{path}_versions")
     rows = written if below is None else written.filter(F.col("version") < below)
     return {r["bucket"]: r["v"] for r in rows.groupBy("bucket").agg(F.max("version").alias("v")).collect()}
 
@@ -147,10 +125,3 @@ def breaks(log: DataFrame, folder: str) -> DataFrame:
 
     log.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return log.sparkSession.read.schema(schema).parquet(f"{folder}/result/batch=*")
-
-
-def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there now into a table in memory and returns it: for small results and tests."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)

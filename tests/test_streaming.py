@@ -1,10 +1,18 @@
 import datetime as dt
 
-from assaylake.streaming import views
+import pytest
+
+from assaylake.streaming import replay, views
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def drain(df, name, mode="complete"):
+    """Runs a stream over all that is there now into a table in memory."""
+    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.table(name)
+
+
 def events(spark, path, times, start=0):
     rows = [(start + i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), 1, "a", 1.0, "") for i, m in enumerate(times)]
     spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(path)
@@ -14,18 +22,60 @@ def test_stream_equals_batch(spark, tmp_path):
     path = str(tmp_path / "e")
     events(spark, path, [0, 5, 30, 1500])
     stream = views.event_stream(spark, path, EVENTS)
-    got = views.drain(views.sessions(stream), "sess")
+    got = drain(views.sessions(stream), "sess")
     assert sorted(r["n"] for r in got.collect()) == [1, 1, 2]
     batch = views.tumbling(spark.read.parquet(path)).collect()
-    assert sorted(map(tuple, views.drain(views.tumbling(stream), "tum").collect())) == sorted(map(tuple, batch))
+    assert sorted(map(tuple, drain(views.tumbling(stream), "tum").collect())) == sorted(map(tuple, batch))
+
+
+LOG = "case_key long, seq long, ts timestamp, signature string"
+
+
+def log(spark, rows):
+    return spark.createDataFrame([(k, q, dt.datetime(2024, 1, 1) + dt.timedelta(hours=q % 1000), x) for k, q, x in rows], LOG)
+
+
+@pytest.fixture
+def rocks(spark):
+    with replay.conf(spark, spark__sql__streaming__stateStore__providerClass=replay.ROCKS):
+        yield
+
+
+def test_state_is_kept_between_triggers_and_repeats_fall_out(spark, tmp_path, rocks):
+    rows = [(1, q, x) for q, x in enumerate("aabba")] + [(2, 1000 + q, "c") for q in range(3)]
+    arrivals = [log(spark, rows[:2] + rows[5:7]), log(spark, rows[:4] + rows[5:]), log(spark, rows[4:5] + rows[2:3])]
+    run = replay.triggered(arrivals, lambda x: replay.signature_breaks(replay.once(x, "seq", "1 day")), f"{tmp_path}/a")
+    got = sorted((r["case_key"], r["seq"], r["before"], r["signature"]) for r in run.appended.collect())
+    assert got == [(1, 0, None, "a"), (1, 2, "a", "b"), (1, 4, "b", "a"), (2, 1000, None, "c")]
+    with replay.conf(spark, spark__sql__shuffle__partitions="3"):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_an_idle_key_starts_anew(spark, tmp_path, rocks):
+    hour = 3_600_000
+    arrivals = [log(spark, [(1, 0, "a"), (2, 0, "a")]), log(spark, [(2, 5, "a")]), log(spark, [(2, 50, "a")]), log(spark, [(1, 51, "a"), (2, 52, "a")])]
+    view = lambda x: replay.signature_breaks(x.withWatermark("ts", "1 hour"), 10 * hour)
+    got = sorted((r["case_key"], r["seq"], r["before"]) for r in replay.triggered(arrivals, view, f"{tmp_path}/a").appended.collect())
+    assert got == [(1, 0, None), (1, 51, None), (2, 0, None)]
+
+
+def test_sessions_close_as_the_watermark_passes(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = lambda *ms: spark.createDataFrame([(i, start + dt.timedelta(minutes=m), 1, "a", 1.0, "") for i, m in enumerate(ms)], EVENTS.replace("_ntz", ""))
+    # 5 and 12 are one session, which 20 joins in the next arrival; 3 comes when all up to 240 is closed
+    run = replay.triggered([rows(5, 12), rows(20, 100), rows(300), rows(3, 295)], lambda x: views.sessions(x), f"{tmp_path}/s")
+    minute = lambda t: int((t - start).total_seconds() // 60)
+    assert sorted((minute(r["start"]), minute(r["end"]), r["n"]) for r in run.appended.collect()) == [(5, 30, 3), (100, 110, 1)]
+    assert run.state.count() == 1  # 295 and 300
 
 
-def test_signature_breaks(spark, tmp_path):
-    path = str(tmp_path / "s")
-    spark.createDataFrame([(1, i, s) for i, s in enumerate("aabba")], "case_key long, seq long, signature string").write.parquet(path)
-    stream = spark.readStream.schema("case_key long, seq long, signature string").parquet(path)
-    got = views.drain(views.signature_breaks(stream), "breaks", "append").orderBy("seq")
-    assert [(r["seq"], r["before"], r["signature"]) for r in got.collect()] == [(0, None, "a"), (2, "a", "b"), (4, "b", "a")]
+def test_late_rows_are_counted(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = lambda *hs: spark.createDataFrame([(i, start + dt.timedelta(hours=h), 1, "a", 1.0, "") for i, h in enumerate(hs)], EVENTS.replace("_ntz", ""))
+    run = replay.triggered([rows(1, 2), rows(30, 3), rows(4, 26), rows(80, 5)], views.tumbling, f"{tmp_path}/t")
+    (one,) = replay.late_count(run, 8, "n", "value.count").collect()
+    assert tuple(one) == (8, 5, 1, 2)  # 4 and 5 come when their day is closed
 
 
 def test_upsert_and_drift(spark, tmp_path):

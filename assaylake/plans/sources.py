@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assaylake import schemas
 from assaylake.sources import io, stores
 from assaylake.sources import relations as r
+from assaylake.sources.committed import CommittedStore
 from assaylake.sources.relations import sql
 
 _VERDICT = "case when gold_block then 'reject' when not gold_block then 'approve' end"
@@ -58,7 +59,7 @@ def case_sink(s, d):
 
 
 def _corrections(s, d):
-    """A suppression of every finding of an even case, whose split follows the case's hash."""
+    """A suppression of every gradeable finding, whose split follows its case's hash."""
     from assaylake.functions.hashing import split_of
 
     f = r.run_findings(s, d).filter("gradeable").select("case_id", "code").distinct()
@@ -137,6 +138,47 @@ def _store(s, d):
 _DOCS = "docs as (select 'w' || case_key % 4 as workspace_id, seq as id, strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at, case_key as fk, case when seq % 3 = 0 then 'PASS' else verdict end as verdict, verdict as first, agent, cast(case when seq % 3 = 0 then 2 else 1 end as bigint) as version from run_log)"
 
 
+class _Broken(CommittedStore):
+    """A store whose saver is lost between the files and their entry."""
+
+    def _before_commit(self) -> None:
+        raise RuntimeError("lost")
+
+
+def _committed(s, d):
+    """Every user's first verdict; then the last one of each third user, whose saver is lost at first, and which comes twice; then each seventh is deleted."""
+    first, last = (F.expr(f"{f}(verdict, seq)") for f in ("min_by", "max_by"))
+    users = r.run_log(s, d).groupBy(F.col("case_key").alias("id")).agg(first.alias("first"), F.min("seq").alias("low"), last.alias("last"), F.max("seq").alias("high"))
+    path, schema = stores.shared_folder(s, "committed"), "verdict string, seq long"
+    store = CommittedStore(s, path, schema)
+    store.save(users.select("id", F.col("first").alias("verdict"), F.col("low").alias("seq")), "open")
+    third = users.filter("id % 3 = 0").select("id", F.col("last").alias("verdict"), F.col("high").alias("seq"))
+    try:
+        _Broken(s, path, schema).save(third, "close")
+    except RuntimeError:
+        pass
+    store.save(third, "close")
+    store.save(third, "close")
+    store.delete(users.filter("id % 7 = 0").select("id"), "leave")
+    return store
+
+
+_USERS = """u as (select case_key as id, arg_min(verdict, seq) as first, min(seq) as low, arg_max(verdict, seq) as last, max(seq) as high from run_log group by case_key),
+  b as (select id, '{"verdict":"' || first || '","seq":' || low || '}' as old, '{"verdict":"' || last || '","seq":' || high || '}' as new, case when id % 3 = 0 then last else first end as verdict, cast(case when id % 3 = 0 then 2 else 1 end as bigint) as version from u)"""
+
+
+def point_reads(s, d):
+    """The records of the first users of each remainder of 25, each read from the files that may hold it, and their number."""
+    store = _committed(s, d)
+    store.compact()
+    keys = [x[0] for x in r.run_log(s, d).groupBy(F.col("case_key") % 25).agg(F.min("case_key").alias("k")).select("k").collect()]
+    each = [store.get(k).select("id", "verdict", "version", F.lit(len(store.files_of(k))).alias("files")) for k in keys]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def reports(s, d):
     """Reports with the verdict that grounding gave, else the composed one."""
     e = r.run_log(s, d)
@@ -226,6 +268,19 @@ QUERIES = {
         lambda s, d: _store(s, d).by_key("fk", r.table(s, d, "customer").select(F.col("c_custkey").alias("fk"))).select("fk", "id", "verdict"),
         sql(f"with {_DOCS} select fk, id, verdict from docs where fk in (select c_custkey from customer)", "run_log"),
     ),
+    "l07_committed_audit": (
+        lambda s, d: _committed(s, d).audit().select("id", "save", "action", "before", "after"),
+        sql(
+            f"""with {_USERS} select id, 'open' as save, 'create' as action, null as before, old as after from b union all select id, 'close', 'update', old, new from b where id % 3 = 0
+            union all select id, 'leave', 'delete', case when id % 3 = 0 then new else old end, null from b where id % 7 = 0""",
+            "run_log",
+        ),
+    ),
+    "s13_committed_upsert": (lambda s, d: _committed(s, d).current().select("id", "verdict", "version"), sql(f"with {_USERS} select id, verdict, version from b where id % 7 > 0", "run_log")),
+    "s14_point_reads": (
+        point_reads,
+        sql(f"with {_USERS} select id, verdict, version, 1 as files from b where id in (select min(case_key) from run_log group by case_key % 25) and id % 7 > 0", "run_log"),
+    ),
     "s15_json_fields": (
         lambda s, d: io.find_by_json(_store(s, d).current("w1"), "body", {"verdict": "BLOCK", "agent": "click"}).select("id", "created_at"),
         sql(f"with {_DOCS} select id, created_at from docs where workspace_id = 'w1' and first = 'BLOCK' and agent = 'click'", "run_log"),

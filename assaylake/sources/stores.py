@@ -1,7 +1,8 @@
 """Stores of versioned records: append-only Parquet logs, partitioned by workspace, of which the latest row of each key counts.
 
 A save appends rows with an ascending ``seq``; nothing is rewritten, so a save that is run again after a failure adds rows
-that the reads fold. Reads are aggregations over the log, and a filter on the workspace reads its files alone.
+that the reads fold: rows of one key and ``seq`` are one version. Reads are aggregations over the log, and a filter on the
+workspace reads its files alone. Stores whose saves come with audit rows, and that are read by key, are in ``committed``.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ class Store:
         return rows if workspace is None else rows.filter(F.col("workspace_id") == workspace)
 
     def current(self, workspace: str | None = None) -> DataFrame:
-        """Each record's latest row with the time of its first."""
+        """Each record's latest row with the time of its first, and the number of its versions."""
         log = self.log(workspace)
+        log = log.groupBy("workspace_id", "id", "seq").agg(*[F.max_by(c, F.struct("created_at", "body")).alias(c) for c in log.columns if c not in ("workspace_id", "id", "seq")])
         others = [c for c in log.columns if c not in ("workspace_id", "id", "seq", "created_at")]
         head = F.max_by(F.struct(*others, "seq"), "seq").alias("head")
         return log.groupBy("workspace_id", "id").agg(head, F.min_by("created_at", "seq").alias("created_at"), F.count(F.lit(1)).alias("version")).select("workspace_id", "id", "head.*", "created_at", "version")

@@ -50,40 +50,3 @@ def medication_presence(items: DataFrame, texts: DataFrame) -> DataFrame:
     """Disproved where any word of an item's name, of four letters or more, stands in the text joined by key."""
     words = F.filter(F.split(F.lower("name"), "[^a-z]+"), lambda w: F.length(w) >= 4)
     return items.join(texts, "key").select("key", F.exists(words, lambda w: F.contains(F.lower("text"), w)).alias("disproved"))
-
-
-def _top_of_block(k: int, least: float):
-    def run(t):
-        import numpy as np
-        import pyarrow as pa
-
-        asks, ids = t.column("asks").to_numpy(zero_copy_only=False), t.column("vec_id").to_numpy()
-        x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
-        x = x / np.sqrt((x * x).sum(1, keepdims=True))
-        rows, own, out = x[~asks], ids[~asks], []
-        for q, e in zip(ids[asks], x[asks]):
-            s = (rows * e).sum(1)
-            s[own == q] = -2
-            few = np.flatnonzero(s >= least)
-            top = few[np.lexsort((own[few], -s[few]))[:k]]
-            out += [(int(q), int(own[i]), float(s[i])) for i in top]
-        cols = list(zip(*out)) or [[], [], []]
-        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    return run
-
-
-def top_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float, block: int = 4096) -> DataFrame:
-    """Of each query vector the k nearest of another id by cosine at or above ``least``, ties to the smaller id.
-
-    Queries and vectors are cut into blocks of about ``block``, and each pair of blocks is one group that keeps k rows a query.
-    """
-    blocks = lambda df: F.lit(max(1, -(-df.count() // block)))
-    across, down = blocks(vectors), blocks(queries)
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(False).alias("asks"), own(across).alias("i"), every(down).alias("j"))
-    q = queries.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(True).alias("asks"), own(down).alias("j"), every(across).alias("i"))
-    scored = v.unionByName(q).groupBy("i", "j").applyInArrow(_top_of_block(k, least), "query_id long, vec_id long, score double")
-    ranked = scored.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)")).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))

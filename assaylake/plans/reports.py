@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import records as fr
 from assaylake.functions.hashing import uniform
-from assaylake.operators import grounding, rollup
+from assaylake.operators import grounding, neighbours, rollup
 from assaylake.operators import reports as op
 from assaylake.plans.consensus import _BUCKETS, _buckets
 from assaylake.plans.statistics import _GRADED, _PHI
@@ -95,7 +95,7 @@ def _survivors(s, d):
 
 def _order(s, d):
     e = r.table(s, d, "embeddings")
-    top = grounding.top_matches(e.filter(F.col("vec_id") % 100 == 0), e, 3, 0.1)
+    top = neighbours.top_matches(e.filter(F.col("vec_id") % 100 == 0), e, 3, 0.1)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "vec_id"))), lambda x: x["vec_id"].cast("string"))
     return top.groupBy("query_id").agg(F.array_join(ordered, ",").alias("retrieval_order")).withColumn("context_hash", F.sha2(F.concat(F.lit("q"), F.col("query_id")), 256))
 

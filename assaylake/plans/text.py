@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import text as t
 from assaylake.functions.hashing import uniform
-from assaylake.operators import containment, datagen, grounding, hierarchy, kpi, units
+from assaylake.operators import containment, datagen, grounding, hierarchy, kpi, neighbours, units
 from assaylake.sources import relations as r
 from assaylake.sources.relations import _u, sql
 
@@ -224,7 +224,7 @@ QUERIES = {
         "select p_partkey as key, len(list_filter(regexp_split_to_array(lower(p_name), '[^a-z]+'), lambda w: length(w) >= 4 and contains(lower(text), w))) > 0 as disproved from part join documents on p_partkey = doc_id",
     ),
     "t03_kb_topk": (
-        lambda s, d: grounding.top_matches(r.table(s, d, "embeddings").filter(F.col("vec_id") % 100 == 0), r.table(s, d, "embeddings"), 3, 0.1),
+        lambda s, d: neighbours.top_matches(r.table(s, d, "embeddings").filter(F.col("vec_id") % 100 == 0), r.table(s, d, "embeddings"), 3, 0.1),
         _TOP,
     ),
     "g17_finding_units": (lambda s, d: _units(s, d), sql(f"with {_UNIT_CODES} select * from units", "run_findings")),

@@ -95,9 +95,10 @@ def cache_replay(runs: DataFrame) -> DataFrame:
     return runs.withColumn("suspicious", F.coalesce(F.col("paid") & (F.col("tokens") == 0), F.lit(False)))
 
 
-def effective_lens(owned: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Codes of each judge by ownership or assignment."""
-    return owned.select("role", "code").union(assigned.select("role", "code")).distinct()
+def effective_lens(owned: DataFrame, assigned: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Codes of each judge, for each of the keys, by ownership or assignment."""
+    names = [*(keys or []), "role", "code"]
+    return owned.select(*names).union(assigned.select(*names)).distinct()
 
 
 def roster(production: list[str], observed: DataFrame) -> DataFrame:

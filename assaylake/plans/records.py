@@ -38,8 +38,12 @@ _SPOILED = f"""spoiled as (select case_id, role, run, case when {_US} < 0.1 then
   case when {_US} > 0.9 then ' ' else 'fine' end as summary from run_votes)"""
 
 
-def _assigned(s):
-    return s.createDataFrame([("risk", "tone"), ("risk", "unsafe_advice"), ("policy", "style")], "role string, code string")
+def _lens_of_languages(s, d):
+    """The judges' codes in each language: those that they own, and those that are assigned as they raised them with evidence where they passed a case."""
+    c = r.cases(s, d).select("case_id", "lang")
+    owned = c.select("lang").distinct().crossJoin(F.broadcast(_lens(s).select("role", "code")))
+    assigned = r.findings(s, d).filter("has_evidence and vote = 'PASS'").select("case_id", "role", "code").join(c, "case_id")
+    return op.effective_lens(owned, assigned, ["lang"])
 
 
 def _flags(s, d, role):
@@ -104,8 +108,8 @@ QUERIES = {
         "select event_id, coalesce(event_type = 'purchase' and case when user_id % 5 > 0 then user_id % 3 end = 0, false) as suspicious from events",
     ),
     "u06_effective_lens": (
-        lambda s, d: op.effective_lens(_lens(s), _assigned(s)),
-        sql(f"with {_LENS} select * from lens union select * from (values ('risk', 'tone'), ('risk', 'unsafe_advice'), ('policy', 'style')) a(role, code)", "dim_role", "dim_code"),
+        _lens_of_languages,
+        sql(f"with {_LENS} select distinct lang, role, code from cases, lens union select lang, role, code from findings join cases using (case_id) where has_evidence and vote = 'PASS'", "findings", "cases"),
     ),
     "u07_roster": (
         lambda s, d: op.roster(["user", "assistant"], r.table(s, d, "conversations")),

@@ -142,8 +142,8 @@ def _claims(s, d):
 def _cleaned(s, d):
     x = F.concat_ws("\n", F.lit(" <!-- verification -->"), F.col("text"), F.lit("\n\n\nend"), F.lit("<!-- /verification -->"))
     y = fr.clean_lines(x)
-    fenced = F.concat(F.lit("```yaml\n"), F.substring("text", 1, 50), F.lit("\n```"))
-    z = fr.without_fence(F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.substring("text", 1, 50)))
+    fenced = F.concat(F.lit("```yaml\n"), F.col("text"), F.lit("\n```"))
+    z = fr.without_fence(F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.col("text")))
     return r.table(s, d, "documents").filter("text is not null").select("doc_id", F.length(y).cast("long").alias("n"), F.md5(y).alias("digest"), F.md5(z).alias("unfenced"))
 
 
@@ -151,10 +151,13 @@ _TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 
 
 def _scrubbed(s, d):
-    """The first line of each text without its second sentence."""
-    line = F.split("text", "\n")[0]
-    parts = F.filter(F.split(line, r"(?<=[.!?]) +"), lambda x: x != "")
-    return r.table(s, d, "documents").select("doc_id", line.alias("line"), parts.alias("p")).filter("size(p) > 1").select("doc_id", F.size("p").cast("long").alias("parts"), F.md5(F.coalesce(fr.without_sentences(F.col("line"), F.array(F.col("p")[1])), F.lit("none"))).alias("digest"))
+    """Every line of each text without its second sentence; lines of which nothing is left go."""
+    parts = lambda line: F.filter(F.split(line, r"(?<=[.!?]) +"), lambda x: x != "")
+    second = lambda line: F.slice(parts(line), 2, 1)
+    lines = F.split("text", "\n")
+    kept = F.array_compact(F.transform(lines, lambda x: F.when(F.size(parts(x)) > 1, fr.without_sentences(x, second(x))).otherwise(x)))
+    n = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.size(parts(x)))
+    return r.table(s, d, "documents").filter("text is not null").select("doc_id", n.alias("parts"), F.md5(F.array_join(kept, "\n")).alias("digest"))
 
 
 def _tokens(s, d):
@@ -230,13 +233,16 @@ def _parsed(s, d):
 
 
 def _spans(s, d):
+    """Each text in thirds, as transcript, source and artifact, and a quote of one of them or of none."""
     k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
-    cut = lambda a: F.when(k % 5 > 0, F.substring(text, a, 500)).otherwise("")
-    quote = F.when(k % 2 == 0, F.substring(text, 1010, 60)).otherwise(F.concat(F.substring(text, 1, 60), F.lit(" never said here")))
-    return r.table(s, d, "documents").select(k.alias("case_id"), F.when(k % 3 == 0, "MISSING_ALLERGY").otherwise("FABRICATION").alias("code"), quote.alias("quote"), cut(1).alias("transcript"), cut(501).alias("source"), cut(1001).alias("artifact"))
+    third = F.floor(F.length(text) / 3).cast("int")
+    cut = lambda a, n: F.when(k % 5 > 0, F.substring(text, a, n)).otherwise("")
+    quote = F.when(k % 2 == 0, F.substring(text, 2 * third + 10, F.lit(60))).otherwise(F.concat(F.substring(text, 1, 60), F.lit(" never said here")))
+    return r.table(s, d, "documents").select(k.alias("case_id"), F.when(k % 3 == 0, "MISSING_ALLERGY").otherwise("FABRICATION").alias("code"), quote.alias("quote"), cut(F.lit(1), third).alias("transcript"), cut(third + 1, third).alias("source"), cut(2 * third + 1, F.length(text)).alias("artifact"))
 
 
-_SPAN = "substr(coalesce(text, ''), {}, 500)"
+_THIRD = "(length(coalesce(text, '')) // 3)"
+_SPAN = f"substr(coalesce(text, ''), {{}} * {_THIRD} + 1, {{}})"
 
 
 def _stage_votes(s, d):
@@ -269,8 +275,8 @@ def _cohort_rows(s, d):
 QUERIES = {
     "c01_valid_spans": (
         lambda s, d: grounding.valid_spans(_spans(s, d)),
-        f"""with k as (select doc_id, case when doc_id % 3 = 0 then 'MISSING_ALLERGY' else 'FABRICATION' end as code, case when doc_id % 2 = 0 then substr(coalesce(text, ''), 1010, 60) else substr(coalesce(text, ''), 1, 60) || ' never said here' end as quote,
-            case when doc_id % 5 > 0 then {_SPAN.format(1)} || chr(10) || {_SPAN.format(501)} || case when doc_id % 3 > 0 then chr(10) || {_SPAN.format(1001)} else '' end else '' end as corpus from documents),
+        f"""with k as (select doc_id, case when doc_id % 3 = 0 then 'MISSING_ALLERGY' else 'FABRICATION' end as code, case when doc_id % 2 = 0 then substr(coalesce(text, ''), 2 * {_THIRD} + 10, 60) else substr(coalesce(text, ''), 1, 60) || ' never said here' end as quote,
+            case when doc_id % 5 > 0 then {_SPAN.format(0, _THIRD)} || chr(10) || {_SPAN.format(1, _THIRD)} || case when doc_id % 3 > 0 then chr(10) || {_SPAN.format(2, 'length(text)')} else '' end else '' end as corpus from documents),
             w as (select *, {_split_tokens('quote', _EV)} as q, {_split_tokens('corpus', _EV)} as c from k)
             select doc_id as case_id, code, trim(replace(corpus, chr(10), ' ')) = '' or (len(q) > 0 and {_common('q', 'c')} / len(q) >= 0.8) as valid from w""",
     ),
@@ -497,13 +503,14 @@ QUERIES = {
     ),
     "f17_clean_lines": (
         _cleaned,
-        f"""with k as (select doc_id, {_TRIM.format("replace(array_to_string(list_filter(string_split(text || chr(10) || chr(10) || chr(10) || chr(10) || 'end', chr(10)), lambda x: trim(x) not in ('<!-- verification -->', '<!-- /verification -->')), chr(10)), repeat(chr(10), 3), repeat(chr(10), 2))")} as y, {_TRIM.format("substr(text, 1, 50)")} as z from documents where text is not null)
+        f"""with k as (select doc_id, {_TRIM.format("replace(array_to_string(list_filter(string_split(text || chr(10) || chr(10) || chr(10) || chr(10) || 'end', chr(10)), lambda x: trim(x) not in ('<!-- verification -->', '<!-- /verification -->')), chr(10)), repeat(chr(10), 3), repeat(chr(10), 2))")} as y, {_TRIM.format("text")} as z from documents where text is not null)
             select doc_id, length(y) as n, md5(y) as digest, md5(z) as unfenced from k""",
     ),
     "f18_scrubbed": (
         _scrubbed,
-        """with k as (select doc_id, list_filter(string_split(regexp_replace(string_split(text, chr(10))[1], '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as p from documents)
-            select doc_id, len(p) as parts, md5(case when len(list_filter(p, lambda x: x <> p[2])) > 0 then array_to_string(list_filter(p, lambda x: x <> p[2]), ' ') else 'none' end) as digest from k where len(p) > 1""",
+        """with k as (select doc_id, list_transform(string_split(text, chr(10)), lambda l: struct_pack(l := l, p := list_filter(string_split(regexp_replace(l, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))) as lines from documents where text is not null),
+            z as (select doc_id, list_transform(lines, lambda a: case when len(a.p) > 1 then case when len(list_filter(a.p, lambda x: x <> a.p[2])) > 0 then array_to_string(list_filter(a.p, lambda x: x <> a.p[2]), ' ') end else a.l end) as kept, cast(list_sum(list_transform(lines, lambda a: len(a.p))) as bigint) as parts from k)
+            select doc_id, parts, md5(coalesce(array_to_string(list_filter(kept, lambda x: x is not null), chr(10)), '')) as digest from z""",
     ),
     "f19_chunk_ids": (
         _chunks,

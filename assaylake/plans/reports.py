@@ -212,6 +212,30 @@ def _injected(s, d):
     return r.table(s, d, "documents").filter("text is not null").select("doc_id", kind.alias("defect_type"), F.md5(body).alias("digest"))
 
 
+TYPES = ["drop_line", "change_value", "add_mark"]
+
+
+def _injections(s, d):
+    """Each text with one defect, its recipe, and whether the recipe makes the same text again."""
+    from assaylake.operators import injectors
+
+    clean = r.table(s, d, "documents").select("doc_id", "text")
+    made = injectors.inject(clean, "doc_id", "text", TYPES)
+    again = injectors.replayed(clean, made, "doc_id", "text").select("doc_id", F.col("text").alias("again"))
+    j = made.join(again, "doc_id")
+    return j.select("doc_id", "recipe.defect_type", "recipe.safety_flag", "recipe.start", F.md5("recipe.pre_value").alias("pre"), "recipe.post_value", "recipe.expected", F.md5("text").alias("digest"), F.col("text").eqNullSafe(F.col("again")).alias("replays"))
+
+
+_SEED = "cast('0x' || substr(sha1('inject|' || cast(doc_id as varchar)), 1, 8) as bigint)"
+_SUM = "coalesce(cast(list_sum(list_transform({}, lambda x: length(x))) as bigint), 0)"
+_INJECTED = f"""k as (select doc_id, text, {_SEED} as seed, string_split(text, chr(10)) as l, regexp_extract_all(text, '[0-9]+') as f, regexp_split_to_array(text, '[0-9]+') as b from documents),
+  o as (select *, seed % greatest(len(l) - 1, 1) as i, seed % greatest(len(f), 1) as j, list_filter([case when len(l) > 3 then 'drop_line' end, case when len(f) > 0 then 'change_value' end, 'add_mark'], lambda x: x is not null) as opts from k),
+  p as (select *, opts[seed % len(opts) + 1] as kind from o),
+  q as (select *, case kind when 'drop_line' then {_SUM.format('l[1:i]')} + i when 'change_value' then {_SUM.format('b[1:j + 1]')} + {_SUM.format('f[1:j]')} else length(text) end as start,
+    case kind when 'drop_line' then l[i + 1] || chr(10) when 'change_value' then f[j + 1] else '' end as pre from p),
+  z as (select *, case kind when 'drop_line' then '' when 'change_value' then translate(pre, '0123456789', '1234567890') else ' [sic]' end as post from q)"""
+
+
 def _expected(s, d):
     """Runs against the set of verdicts that their case expects."""
     from assaylake.operators import records
@@ -530,6 +554,11 @@ QUERIES = {
             "run_log",
         ),
     ),
+    "d05_injections": (
+        _injections,
+        f"""with {_INJECTED} select doc_id, kind as defect_type, case kind when 'drop_line' then 'omission' when 'change_value' then 'contradiction' else 'format' end as safety_flag, start, md5(pre) as pre, post as post_value,
+            case kind when 'add_mark' then 'WARN' else 'BLOCK' end as expected, md5(substr(text, 1, start) || post || substr(text, start + length(pre) + 1)) as digest, true as replays from z""",
+    ),
     "d05_injected": (
         _injected,
         """with k as (select doc_id, text, string_split(text, chr(10)) as l from documents where text is not null) select doc_id, case when len(l) > 3 then 'drop_line' when regexp_matches(text, '[0-9]') then 'change_value' else 'add_mark' end as defect_type,

@@ -16,29 +16,8 @@ def latest_authoritative(log: DataFrame, keys: list[str], order: str, columns: l
     return latest(log.filter("replay_of is null or replay_of = ''"), keys, order, columns)
 
 
-def versions(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """1-based version numbers in order; the last is current, the others superseded."""
-    part = ", ".join(keys)
-    numbered = log.withColumn("version", F.expr(f"row_number() over (partition by {part} order by {order})")).withColumn("last", F.expr(f"count(1) over (partition by {part})"))
-    return numbered.withColumn("state", F.when(F.col("version") == F.col("last"), "current").otherwise("superseded")).drop("last")
-
-
-def first_created(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """History sequence of each write and the time of the key's first."""
-    part = ", ".join(keys)
-    return log.withColumn("history_seq", F.expr(f"row_number() over (partition by {part} order by {order})")).withColumn("created_at", F.expr(f"first_value(ts) over (partition by {part} order by {order})"))
-
-
-def segments(log: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """Gaps and islands: runs of equal values, in order, with their ends and length."""
-    o = ", ".join(order)
-    changed = log.withColumn("change", F.expr(f"case when {value} <=> lag({value}) over (partition by {key} order by {o}) and row_number() over (partition by {key} order by {o}) > 1 then 0 else 1 end"))
-    numbered = changed.withColumn("segment", F.expr(f"sum(change) over (partition by {key} order by {o} rows between unbounded preceding and current row)"))
-    return numbered.groupBy(key, "segment", value).agg(F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("n"))
-
-
 def tail(log: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
-    """The last n of each key, numbered from the oldest of them."""
+    """The last n of each key, numbered from the oldest of them. The planner keeps n of a key in each task before rows are moved."""
     down, up = ", ".join(f"{x} desc" for x in order), ", ".join(order)
     kept = log.withColumn("k", F.expr(f"row_number() over (partition by {key} order by {down})")).filter(F.col("k") <= n).drop("k")
     return kept.withColumn("place", F.expr(f"row_number() over (partition by {key} order by {up})"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assaylake.operators import history as op
+from assaylake.operators import prefix
 from assaylake.sources import relations as r
 from assaylake.sources.relations import sql
 
@@ -25,7 +26,7 @@ QUERIES = {
         sql("select agent, case_key, arg_max(verdict, seq) as verdict, arg_max(signature, seq) as signature, max(seq) as seq from run_log where replay_of is null group by agent, case_key", "run_log"),
     ),
     "w04_versions": (
-        lambda s, d: op.versions(r.run_log(s, d).select("agent", "case_key", "seq", "verdict"), ["agent", "case_key"], "seq").selectExpr("agent", "case_key", "seq", "verdict", "cast(version as bigint) as version", "state"),
+        lambda s, d: prefix.versions(r.run_log(s, d).select("agent", "case_key", "seq", "verdict"), ["agent", "case_key"], "seq").selectExpr("agent", "case_key", "seq", "verdict", "cast(version as bigint) as version", "state"),
         sql(
             """select agent, case_key, seq, verdict, row_number() over w as version, case when row_number() over w = count(*) over (partition by agent, case_key) then 'current' else 'superseded' end as state
             from run_log window w as (partition by agent, case_key order by seq)""",
@@ -33,11 +34,11 @@ QUERIES = {
         ),
     ),
     "w06_history_sequence": (
-        lambda s, d: op.first_created(r.run_log(s, d).select("case_key", "seq", "ts"), ["case_key"], "seq").selectExpr("case_key", "seq", "cast(history_seq as bigint) as history_seq", "date_format(created_at, 'yyyy-MM-dd HH:mm:ss') as created_at"),
+        lambda s, d: prefix.first_created(r.run_log(s, d).select("case_key", "seq", "ts"), ["case_key"], "seq").selectExpr("case_key", "seq", "cast(history_seq as bigint) as history_seq", "date_format(created_at, 'yyyy-MM-dd HH:mm:ss') as created_at"),
         sql("select case_key, seq, row_number() over w as history_seq, strftime(first_value(ts) over w, '%Y-%m-%d %H:%M:%S') as created_at from run_log window w as (partition by case_key order by seq)", "run_log"),
     ),
     "w08_signature_segments": (
-        lambda s, d: op.segments(r.run_log(s, d), "case_key", "signature", ["seq"]).selectExpr("case_key", "segment", "signature", "start", "`end`", "n"),
+        lambda s, d: prefix.segments(r.run_log(s, d), "case_key", "signature", ["seq"]).selectExpr("case_key", "segment", "signature", "start", "`end`", "n"),
         sql(
             """with c as (select case_key, seq, signature, case when signature is not distinct from lag(signature) over w and row_number() over w > 1 then 0 else 1 end as change from run_log window w as (partition by case_key order by seq)),
             g as (select *, cast(sum(change) over (partition by case_key order by seq rows unbounded preceding) as bigint) as segment from c)

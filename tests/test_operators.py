@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from assaylake.functions import stats, text
 from assaylake.functions.hashing import hash32, seed31, uniform
-from assaylake.operators import agreement, calibration, consensus, datagen, hierarchy, history, rollup, scorecard, units
+from assaylake.operators import agreement, calibration, consensus, datagen, hierarchy, history, prefix, rollup, scorecard, units
 
 FINDING = "case_id long, role string, code string, tier int, pillar string, owner string, has_evidence boolean, severity string, gradeable boolean"
 VOTE = "case_id long, role string, run int, gold_block boolean, vote string, confidence double"
@@ -112,14 +112,14 @@ def test_scorecards(spark):
 
 def test_segments_and_nulls(spark):
     log = spark.createDataFrame([(1, i, s) for i, s in enumerate(["a", "a", None, None, "a"])], "k long, seq long, s string")
-    assert [(r["start"], r["end"], r["s"], r["n"]) for r in history.segments(log, "k", "s", ["seq"]).orderBy("segment").collect()] == [(0, 1, "a", 2), (2, 3, None, 2), (4, 4, "a", 1)]
+    assert [(r["start"], r["end"], r["s"], r["n"]) for r in prefix.segments(log, "k", "s", ["seq"]).orderBy("segment").collect()] == [(0, 1, "a", 2), (2, 3, None, 2), (4, 4, "a", 1)]
 
 
 def test_history(spark):
     log = spark.createDataFrame([("a", 1, 1, "PASS", None), ("a", 1, 2, "BLOCK", "r1"), ("a", 1, 3, "WARN", "r2")], "agent string, case_key long, seq long, verdict string, replay_of string")
     assert history.latest(log, ["agent", "case_key"], "seq", ["verdict"]).first()["verdict"] == "WARN"
     assert history.latest_authoritative(log, ["agent", "case_key"], "seq", ["verdict"]).first()["verdict"] == "PASS"
-    assert rows(history.versions(log, ["agent", "case_key"], "seq"), "version", "state") == [(1, "superseded"), (2, "superseded"), (3, "current")]
+    assert rows(prefix.versions(log, ["agent", "case_key"], "seq"), "version", "state") == [(1, "superseded"), (2, "superseded"), (3, "current")]
     a, b = spark.createDataFrame([(1, "PASS"), (2, "PASS")], "k long, verdict string"), spark.createDataFrame([(1, "BLOCK"), (3, "PASS")], "k long, verdict string")
     assert rows(history.diff_verdicts(a, b, "k")) == [(1, "PASS", "BLOCK"), (2, "PASS", "ABSENT"), (3, "ABSENT", "PASS")]
 

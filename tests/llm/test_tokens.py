@@ -169,3 +169,28 @@ def test_plan_places_every_rank_once():
     for length, n in histogram.items():
         spans = sorted([(a, b) for k, a, b, _, _ in places if k == length] + [(a, b) for k, a, b, _ in line if k == length])
         assert [x for a, b in spans for x in range(a, b)] == list(range(n))
+
+
+@pytest.mark.parametrize("n", [1, 3, 30, 200, 3000])
+def test_windows_are_full_and_nearly_all_by_multisets(n):
+    """Every id of every document lies in one place, sequences have no gaps, and only the last ones are short: powers of two."""
+    rng = random.Random(n)
+    lengths = [max(1, min(2047, int(rng.lognormvariate(5.5, 1.1)))) for _ in range(n)]
+    histogram = {k: lengths.count(k) for k in set(lengths)}
+    places, stretches, line = packing.plan_windows(histogram)
+    lookup, at = packing.Lookup(places, stretches, line), {}
+    for length, count in histogram.items():
+        for rank in range(count):
+            pieces = lookup.pieces(length, rank)
+            assert [p[0] for p in pieces] == [sum(q[1] for q in pieces[:i]) for i in range(len(pieces))] and sum(p[1] for p in pieces) == length
+            for _, size, sequence, offset in pieces:
+                at.setdefault(sequence, []).append((offset, size))
+    for sequence, spans in at.items():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(x for _, x in spans[:i]) for i in range(len(spans))]
+    totals = [sum(x for _, x in spans) for spans in at.values()]
+    assert all(t == 2048 or t & (t - 1) == 0 for t in totals) and sum(t < 2048 for t in totals) <= 11
+    assert sorted(at) == list(range(len(at)))
+    placed = sum(k * (b - a) for k, a, b, _, _ in places)
+    if n >= 200:  # what multisets place whole, of all ids
+        assert placed > 0.97 * sum(lengths) and line.total - line.filled < 3 * 2048

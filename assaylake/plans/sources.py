@@ -91,15 +91,16 @@ def cohort_csv(s, d):
 
 
 def bundles(s, d):
-    """One bundle for each nation: its patient and a condition for every customer."""
+    """One bundle for each nation, written line by line: its patient and a condition for every customer."""
     path = stores.shared_folder(s, "bundles")
     n, c = r.table(s, d, "nation"), r.table(s, d, "customer")
-    patient = F.to_json(F.struct(F.lit("Patient").alias("resourceType"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("id")))
-    condition = F.to_json(F.struct(F.lit("Condition").alias("resourceType"), F.col("c_custkey").cast("string").alias("id")))
-    each = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list(condition).alias("conditions"))
-    entries = F.concat(F.array(patient), F.coalesce("conditions", F.array().cast("array<string>")))
-    body = F.concat(F.lit('{"resourceType": "Bundle", "entry": ['), F.array_join(F.transform(entries, lambda x: F.concat(F.lit('{"resource": '), x, F.lit("}"))), ",\n"), F.lit("]}"))
-    n.join(each, "n_nationkey", "left").select("n_nationkey", body.alias("value")).write.partitionBy("n_nationkey").text(path)
+    entry = lambda kind, id_: F.concat(F.lit('{"resource": '), F.to_json(F.struct(F.lit(kind).alias("resourceType"), id_.alias("id"))), F.lit("}"))
+    line = lambda df, key, place, value: df.select(F.col(key).alias("n_nationkey"), F.lit(place).alias("place"), value.alias("value"))
+    lines = line(n, "n_nationkey", 0, F.lit('{"resourceType": "Bundle", "entry": ['))
+    lines = lines.unionByName(line(n, "n_nationkey", 1, entry("Patient", F.concat(F.lit("n"), F.col("n_nationkey")))))
+    lines = lines.unionByName(line(c, "c_nationkey", 2, F.concat(F.lit(","), entry("Condition", F.col("c_custkey").cast("string")))))
+    lines = lines.unionByName(line(n, "n_nationkey", 3, F.lit("]}")))
+    lines.repartition("n_nationkey").sortWithinPartitions("n_nationkey", "place").drop("place").write.partitionBy("n_nationkey").text(path)
     return io.read_bundles(s, path).groupBy("patient_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 

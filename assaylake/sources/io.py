@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaylake import schemas
-from assaylake.shared import exists
+from assaylake.shared import Scratch, exists, join_dealt
 
 
 def read_ndjson(spark: SparkSession, path: str | list[str], schema: str, strict: bool = False) -> DataFrame:
@@ -55,12 +55,38 @@ def read_cohort_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])
 
 
+#: What stands before each entry's resource in a bundle; within a string its quotes would be escaped.
+ENTRY = '"resource"'
+
+
+def _whole_bundles(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, at, resource of files that are read as a row each."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "struct<entry: array<struct<resource: string>>>").alias("b"))
+    return files.select("file", F.posexplode("b.entry.resource").alias("at", "resource")).select("file", F.struct(F.lit(0).cast("long").alias("block"), F.col("at").cast("long").alias("row")).alias("at"), "resource")
+
+
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """One row a resource of each bundle file: patient_id of the file's Patient, resource type, resource as JSON text."""
-    files = spark.read.text(path, wholetext=True)
-    entries = files.select(F.from_json("value", "struct<entry: array<struct<resource: string>>>").alias("b")).select(F.col("b.entry").alias("entry"))
-    ids = F.transform(F.filter("entry", lambda e: F.get_json_object(e["resource"], "$.resourceType") == "Patient"), lambda e: F.get_json_object(e["resource"], "$.id"))
-    return entries.select(F.get(ids, F.lit(0)).alias("patient_id"), F.explode("entry.resource").alias("resource")).select("patient_id", F.get_json_object("resource", "$.resourceType").alias("type"), "resource")
+    """One row a resource of each bundle file: patient_id of the file's first Patient, resource type, resource as JSON text.
+
+    A file is cut where an entry's resource begins, so it is read in splits by many tasks and no bundle is ever a row. A file
+    in which that key stands elsewhere too, within a resource or as a value, has a piece that is no whole object; such
+    files are read again as a row each. A file's entries are joined with its patient, large files dealt over shares.
+    """
+    scratch = Scratch(spark, "bundles")
+    pieces = spark.read.option("lineSep", ENTRY).text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), "value")
+    first = (F.col("at.block") == 0) & F.ltrim("value").startswith("{")  # what stands before the first entry
+    body = F.regexp_extract("value", r"(?s)^\s*:\s*(\{.*)", 1)
+    cut = scratch.written(pieces.filter(~first).select("file", "at", F.get_json_object(body, "$").alias("resource")))
+    odd = [r["file"] for r in cut.filter("resource is null").select("file").distinct().collect()]  # names of files
+    entries = cut
+    if odd:
+        marked = spark.createDataFrame([(f,) for f in odd], "file string")
+        entries = scratch.written(cut.join(marked, "file", "left_anti").unionByName(_whole_bundles(spark, odd)))
+    kind = F.get_json_object("resource", "$.resourceType")
+    typed = entries.select("file", "at", kind.alias("type"), "resource")
+    patient = F.min_by(F.get_json_object("resource", "$.id"), F.when(F.col("type") == "Patient", F.col("at"))).alias("patient_id")
+    files = typed.groupBy("file").agg(patient, F.count(F.lit(1)).alias("k"))
+    return scratch.result(join_dealt(typed, files, "file", "k", typed.count()).select("patient_id", "type", "resource"))
 
 
 def sniff_format(text: str, filename: str = "") -> str:

@@ -45,6 +45,31 @@ def test_bundles(spark, tmp_path):
     assert sorted((r["patient_id"], r["type"]) for r in got.collect()) == [("p1", "Condition"), ("p1", "Patient")]
 
 
+def bundle(n, patient, indent=None, **extra):
+    entries = [{"fullUrl": f"u{i}", "resource": {"resourceType": "Condition", "id": f"{patient}-{i}", "note": 'a "resource" }{ said\n' * (i % 3), **extra}} for i in range(n)]
+    entries.insert(min(n, 2), {"resource": {"resourceType": "Patient", "id": patient}})
+    return json.dumps({"resourceType": "Bundle", "entry": entries}, indent=indent)
+
+
+def test_bundles_are_read_in_splits(spark, tmp_path):
+    texts = {"a": bundle(3000, "p1"), "b": bundle(5, "p2", indent=2), "c": '{"resourceType": "Bundle", "entry": []}', "d": bundle(4, "p4", contained={"resource": {"x": 1}}), "e": bundle(3, "p5", kind="resource"), "f": '{"entry":[{"resource":{"resourceType":"Condition","id":"z"}}]}'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    want = []
+    for text in texts.values():
+        resources = [e["resource"] for e in json.loads(text)["entry"]]
+        patient = next((x["id"] for x in resources if x["resourceType"] == "Patient"), None)
+        want += [(patient, x["resourceType"], json.dumps(x, sort_keys=True)) for x in resources]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = [(r["patient_id"], r["type"], json.dumps(json.loads(r["resource"]), sort_keys=True)) for r in io.read_bundles(spark, str(tmp_path)).collect()]
+        assert spark.read.option("lineSep", io.ENTRY).text(str(tmp_path / "a.json")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_decode_upload(spark):
     assert io.decode_upload(spark, '{"a": [1], "rows": [{"x": 1}, {"x": 2}], "few": [{"y": 1}]}').collect() == [("1",), ("2",)]
     assert io.decode_upload(spark, '{"x": 1}\n\n{"x": 2}\n').count() == 2

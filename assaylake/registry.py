@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rollup", "statistics", "scorecard", "consensus", "history", "text", "records", "scalars", "streams", "sources", "floors", "reports", "mappings")
+MODULES = ("rollup", "statistics", "scorecard", "consensus", "history", "text", "records", "scalars", "streams", "sources", "floors", "reports", "mappings", "plugins")
 
 
 def _all() -> dict:

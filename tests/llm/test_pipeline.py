@@ -47,7 +47,7 @@ def test_sql_twins(spark):
     from assaylake.llm import entry
 
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in entry.oracle_sql().items():
         want = c.execute(sql)

@@ -47,6 +47,12 @@ class Scratch:
         self.folders.clear()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the shuffle partitions where it comes in fewer, as a table of one row group does; else as it is."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def join_dealt(rows: DataFrame, once: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """``rows`` joined with ``once`` by ``key``, where ``count`` of ``once`` (dropped) is the key's number of ``rows``.
 

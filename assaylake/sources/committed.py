@@ -50,7 +50,8 @@ class CommittedStore:
     def _fs(self):
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         place = jvm.org.apache.hadoop.fs.Path(self.path)
-        return place.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf), jvm.org.apache.hadoop.fs.Path
+        fs = place.getFileSystem(conf)
+        return fs, jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(place).toUri(), conf), jvm.org.apache.hadoop.fs.Path
 
     def state(self) -> State:
         """What the entries say. There is one for each save since the last compaction, and they are small."""

@@ -78,6 +78,13 @@ def test_a_point_read_opens_the_files_of_one_bucket(spark, store):
     assert store.get(99_999).count() == 0
 
 
+def test_a_path_without_a_scheme(spark, tmp_path):
+    plain = CommittedStore(spark, f"{tmp_path}/plain", "name string, n int", buckets=2)
+    plain.save(rows(spark, (1, "a", 1)))
+    plain.save(rows(spark, (1, "a", 2)))
+    assert now(plain) == [(1, "a", 2, 2)]
+
+
 def test_compaction_says_the_same_in_fewer_files(spark, store):
     store.compact()
     for k in range(4):

@@ -1,9 +1,13 @@
 """N-gram Jaccard self-join by vertical partitioning, and the components of its links.
 
-The global order of the shingles is cut into fragments twice. First, fragments of about ``FRAGMENT`` shingles each count
-for every document how many of its shingles there stand in another document too; the counts are summed per document. A
-document with fewer shared shingles than the similarity asks for has no partner and is done. This drops common passages,
-which alone never fill a document. Of the rest, equal sets are one class with its smallest doc_id as representative.
+The global order of the shingles is cut into fragments twice. First, fragments of about ``FRAGMENT`` bytes of text each
+count for every document how many of its shingles there stand in no other document; the counts are summed per document. A
+document with more of them than the similarity allows of all its shingles has no partner and is done, wherever in the order
+they stand, so the first ``PART`` of the order is enough to drop documents without losing a link; common passages alone never
+fill a document. This cut has two levels, so that rows do not grow as blocks times fragments: a block writes a row for each
+coarse fragment; rows of a coarse fragment and as many blocks are cut again, a row for each fine fragment, in which equal
+shingles meet; counts go back the same way. At both levels rows are as many as blocks times the root of the fragments.
+Of the rest, equal sets are one class with its smallest doc_id as representative.
 
 The pairs of representatives that may be linked share a shingle of their prefixes (their rarest shingles, of which
 similar sets must share one). Their sets are cut at the same places of the order into ``CUTS`` fragments, the overlap of
@@ -22,6 +26,7 @@ doc_id; an empty table gives no rows; extra columns are dropped.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -37,6 +42,11 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _LOW = 5  # bytes of a shingle's hash that a fragment gets; the fragment itself stands for the upper ones
 #: Bytes of text whose shingles a block holds, and that a fragment of the first cut holds on average (two million shingles).
 TEXT, FRAGMENT = 3 << 20, 12 << 20
+#: The first cut counts in this part of the order, in tenths of what similar documents may differ in: documents of which over
+#: two fifths stand nowhere else are dropped by it. Blocks' worth of shingles that a task of it gathers for the fine fragments.
+PART, GATHER = 25, 4
+_DOC_BITS = 20  # of a document's number in its block
+_NO_DOC = (1 << _DOC_BITS) - 1
 #: Fragments of the second cut, and rows on a side of a cell.
 CUTS, BLOCK = 8, 1000
 
@@ -86,16 +96,43 @@ def _prepare(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
-    """fragment, block, own (documents' counts), low (their shingles, then the block's shared ones); also a row of each block's
-    documents, with fragment -1 - x."""
-    low_mask = np.uint64((1 << 8 * _LOW) - 1)
+def _packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Counts of documents, where a code is the block's number and the document's within it."""
+    return zlib.compress(codes.astype("<i8").tobytes() + counts.astype("<i4").tobytes(), 1)
+
+
+def _unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = zlib.decompress(x)
+    n = len(x) // 12
+    return np.frombuffer(x, "<i8", n), np.frombuffer(x, "<i4", n, 8 * n).astype(np.int64)
+
+
+def _lows(x: bytes) -> np.ndarray:
+    wide = np.zeros((len(x) // _LOW, 8), np.uint8)
+    wide[:, :_LOW] = np.frombuffer(x, np.uint8).reshape(-1, _LOW)
+    return wide.view("<u8").ravel()
+
+
+def _bytes(h: np.ndarray) -> np.ndarray:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
+
+
+#: Rows of the first cut: ``own`` are counts by document, ``low`` their shingles in the same order. Rows of a negative fragment
+#: are a block's documents; they pass all levels.
+_CUT = "fragment int, gather long, block long, own binary, low binary"
+_CUT_TYPES = pa.schema([("fragment", pa.int32()), ("gather", pa.int64()), ("block", pa.int64()), ("own", pa.binary()), ("low", pa.binary())])
+
+
+def _coarse(docs: DataFrame, words: int, percent: int, side: int, gathers: int) -> DataFrame:
+    """A row for each block and coarse fragment, one of ``side``. Shingles of several documents of a block are one, of no document."""
+    part_of_order = min(1 << 30, (1 << 30) * PART * (100 - percent) // 1000)
 
     def run(batches):
         shingler, part, seq = Shingler(words), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in slices(whole, "text", TEXT):
-                block = part << 24 | seq
+            for b in (x for i in range(0, whole.num_rows, _NO_DOC) for x in slices(whole.slice(i, _NO_DOC), "text", TEXT)):
+                block = part << 16 | seq
+                gather = zlib.crc32(block.to_bytes(8, "little")) % gathers
                 seq += 1
                 h, d = shingler.block(byte_column(b, "text"))
                 order = np.argsort(h, kind="stable")
@@ -104,80 +141,118 @@ def _fragments(docs: DataFrame, words: int, fragments: int) -> DataFrame:
                     fresh = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))
                     h, d = h[fresh], d[fresh]
                 n = np.bincount(d, minlength=b.num_rows)
+                end = np.searchsorted(h, np.uint64(part_of_order << 34)) if part_of_order < 1 << 30 else len(h)
+                h, d = h[:end], d[:end]
                 lead = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
                 size = np.diff(np.append(lead, len(h)))
-                many = np.repeat(size > 1, size)
-                shared = np.bincount(d[many], minlength=b.num_rows)
+                lone = np.bincount(d[np.repeat(size == 1, size)], minlength=b.num_rows)
                 ids = b.column("doc_id")
                 valid = np.array(ids.is_valid())
                 ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-                out = {"fragment": [-1 - block % fragments], "own": [zlib.compress(np.stack([n, shared, valid]).astype("<i4").tobytes(), 1)], "low": [ids.tobytes()]}
-                h, d, size = h[lead], d[lead], size
-                frag = ((h >> np.uint64(34)).astype(np.int64) * fragments) >> 30
-                d = np.where(size > 1, b.num_rows, d)
-                order = np.argsort(frag * (b.num_rows + 1) + d, kind="stable")
-                h, d, frag = h[order], d[order], frag[order]
-                packed = (h & low_mask).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_LOW]
-                cuts = np.searchsorted(frag, np.arange(fragments + 1))
-                for f in range(fragments):
-                    x, y = cuts[f], cuts[f + 1]
+                rows = [(-1 - block % (side * side), zlib.compress(np.stack([n, lone, valid]).astype("<i4").tobytes(), 1), ids.tobytes())]
+                h, d = h[lead], np.where(size > 1, _NO_DOC, d[lead])
+                cuts = np.searchsorted(h, np.array([-(-f * part_of_order // side) << 34 for f in range(1, side)], np.uint64))
+                for f, (x, y) in enumerate(zip(np.append(0, cuts), np.append(cuts, len(h)))):
                     if x < y:
-                        out["fragment"].append(f)
-                        out["own"].append(zlib.compress(np.bincount(d[x:y], minlength=b.num_rows + 1).astype("<u4").tobytes(), 1))
-                        out["low"].append(packed[x:y].tobytes())
-                k = len(out["fragment"])
-                for i in range(0, k, 64):
-                    part_of = slice(i, i + 64)
-                    yield pa.RecordBatch.from_arrays([pa.array(out["fragment"][part_of], pa.int32()), pa.array([block] * len(out["fragment"][part_of]), pa.int64()), pa.array(out["own"][part_of], pa.binary()), pa.array(out["low"][part_of], pa.binary())], ["fragment", "block", "own", "low"])
-
-    return docs.mapInArrow(releasing(run), "fragment int, block long, own binary, low binary")
+                        order = np.argsort(d[x:y], kind="stable")
+                        own, counts = np.unique(d[x:y], return_counts=True)
+                        rows.append((f, _packed(own + (block << _DOC_BITS), counts), _bytes(h[x:y][order]).tobytes()))
+                for i in range(0, len(rows), 64):
+                    f, own, low = zip(*rows[i : i + 64])
+                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array([gather] * len(f), pa.int64()), pa.array([block] * len(f), pa.int64()), pa.array(own, pa.binary()), pa.array(low, pa.binary())], schema=_CUT_TYPES)
+
+    return docs.mapInArrow(releasing(run), _CUT)
+
+
+def _finer(side: int):
+    """Cuts the rows of a coarse fragment and a gathering of blocks into ``side`` fine fragments, a row each."""
+
+    def cut(t: pa.Table) -> pa.Table:
+        if t.num_rows == 0 or t.column("fragment")[0].as_py() < 0:
+            return t
+        coarse, gather = t.column("fragment")[0].as_py(), t.column("gather")[0].as_py()
+        h = np.concatenate([_lows(x) for x in t.column("low").to_pylist()])
+        codes = np.concatenate([np.repeat(*_unpacked(x)) for x in t.column("own").to_pylist()])
+        fine = (h * np.uint64(side) >> np.uint64(8 * _LOW)).astype(np.int64)
+        order = np.lexsort((codes, fine))
+        h, codes, fine = _bytes(h[order]), codes[order], fine[order]
+        cuts = np.searchsorted(fine, np.arange(side + 1))
+        fragment, own, low = [], [], []
+        for f, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            if x < y:
+                fragment.append(coarse * side + f)
+                own.append(_packed(*np.unique(codes[x:y], return_counts=True)))
+                low.append(h[x:y].tobytes())
+        k = len(own)
+        return pa.table([pa.array(fragment, pa.int32()), pa.array([gather] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(own, pa.binary()), pa.array(low, pa.binary())], schema=_CUT_TYPES)
+
+    return cut
 
 
 def _count_fragment(t: pa.Table) -> pa.Table:
-    """For each block, how many shingles of each of its documents stand in other blocks too."""
+    """How many shingles of each document stand in other blocks too; a row for each gathering that has such documents."""
     if t.num_rows == 0 or t.column("fragment")[0].as_py() < 0:
-        return t.select(["block", "own", "low"])
-    rows = []
-    for x in t.column("low").to_pylist():
-        wide = np.zeros((len(x) // _LOW, 8), np.uint8)
-        wide[:, :_LOW] = np.frombuffer(x, np.uint8).reshape(-1, _LOW)
-        rows.append(wide.view("<u8").ravel())
+        return t
+    rows = [_lows(x) for x in t.column("low").to_pylist()]
     h = np.concatenate(rows)
     h.sort()
     again = h[1:][h[1:] == h[:-1]]
     del h
     again = again[np.append(True, again[1:] != again[:-1])] if len(again) else again
-    out = []
-    for own, row in zip(t.column("own").to_pylist(), rows):
-        own = np.frombuffer(zlib.decompress(own), "<u4").astype(np.int64)
-        at = np.minimum(np.searchsorted(again, row), max(len(again) - 1, 0))
-        shared = again[at] == row if len(again) else np.zeros(len(row), bool)
-        ends = np.append(0, np.cumsum(shared))[np.append(0, np.cumsum(own))]
-        out.append(zlib.compress(np.diff(ends)[:-1].astype("<i4").tobytes(), 1))
+    gather, out = [], []
+    for g, own, row in zip(t.column("gather").to_pylist(), t.column("own").to_pylist(), rows):
+        if not len(again):
+            break
+        codes, counts = _unpacked(own)
+        at = np.minimum(np.searchsorted(again, row), len(again) - 1)
+        shared = np.diff(np.append(0, np.cumsum(again[at] == row))[np.append(0, np.cumsum(counts))])
+        some = (shared > 0) & (codes & _NO_DOC != _NO_DOC)
+        if some.any():
+            gather.append(g)
+            out.append(_packed(codes[some], shared[some]))
+    k, fragment = len(out), t.column("fragment")[0].as_py()
     del rows
     release()
-    return pa.table([t.column("block"), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=["block", "own", "low"])
+    return pa.table([pa.array([fragment] * k, pa.int32()), pa.array(gather, pa.int64()), pa.nulls(k, pa.int64()), pa.array(out, pa.binary()), pa.nulls(k, pa.binary())], schema=_CUT_TYPES)
+
+
+def _sum_gathering(t: pa.Table) -> pa.Table:
+    """The counts of a coarse fragment's fine ones, summed; a row for each block."""
+    t = t.select(["fragment", "block", "own", "low"])
+    if t.num_rows == 0 or t.column("fragment")[0].as_py() < 0:
+        return t.drop_columns("fragment")
+    codes, counts = (np.concatenate(x) for x in zip(*map(_unpacked, t.column("own").to_pylist())))
+    codes, at = np.unique(codes, return_inverse=True)
+    counts = np.bincount(at, counts).astype(np.int64)
+    blocks, first = np.unique(codes >> _DOC_BITS, return_index=True)
+    out = [_packed(codes[x:y], counts[x:y]) for x, y in zip(first, np.append(first[1:], len(codes)))]
+    return pa.table([pa.array(blocks, pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=["block", "own", "low"])
 
 
 def _sum_block(t: pa.Table) -> pa.Table:
-    """doc_id, n_shingles, shared of a block's documents."""
-    ids = n = shared = valid = None
+    """doc_id, n_shingles, lone of a block's documents."""
+    shared = []
     for own, low in zip(t.column("own").to_pylist(), t.column("low").to_pylist()):
-        x = np.frombuffer(zlib.decompress(own), "<i4").astype(np.int64)
-        if low is not None:
+        if low is None:
+            shared.append(_unpacked(own))
+        else:
             ids = np.frombuffer(low, "<i8")
-            n, first, valid = x.reshape(3, -1)
-            x = first
-        shared = x if shared is None else shared + x
-    return pa.table([pa.array(ids, pa.int64(), mask=valid == 0), pa.array(n, pa.int64()), pa.array(shared, pa.int64())], names=["doc_id", "n_shingles", "shared"])
+            n, lone, valid = np.frombuffer(zlib.decompress(own), "<i4").astype(np.int64).reshape(3, -1)
+    for codes, counts in shared:
+        lone[codes & _NO_DOC] -= counts
+    return pa.table([pa.array(ids, pa.int64(), mask=valid == 0), pa.array(n, pa.int64()), pa.array(lone, pa.int64())], names=["doc_id", "n_shingles", "lone"])
 
 
-def count_shared(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, shared (shingles that other documents have too) of every document."""
+def count_lone(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, lone of every document: its shingles in the first part of the order that stand in no other document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = _fragments(docs, words, max(partitions(docs.sparkSession), -(-size // FRAGMENT)))
-    counted = parts.groupBy("fragment").applyInArrow(_count_fragment, "block long, own binary, low binary")
-    return counted.groupBy("block").applyInArrow(_sum_block, "doc_id long, n_shingles long, shared long")
+    held = size * min(1000, PART * (100 - percent)) // 1000
+    side = math.isqrt(max(partitions(docs.sparkSession), -(-held // FRAGMENT)) - 1) + 1
+    gathers = -(-size // (TEXT * GATHER * side)) or 1
+    fine = _coarse(docs, words, percent, side, gathers).groupBy("fragment", "gather").applyInArrow(_finer(side), _CUT)
+    counted = fine.groupBy("fragment").applyInArrow(_count_fragment, _CUT)
+    summed = counted.groupBy("gather", F.floor(F.col("fragment") / side)).applyInArrow(_sum_gathering, "block long, own binary, low binary")
+    return summed.groupBy("block").applyInArrow(_sum_block, "doc_id long, n_shingles long, lone long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -330,8 +405,8 @@ def join_links(sets: DataFrame, percent: int, folders: list[str]) -> DataFrame:
 def join_documents(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links are Jaccard similarities of at least ``percent`` / 100."""
     docs, folders = _prepare(docs), []
-    counted = written(count_shared(docs, words), "shared")
-    alive = counted.filter(f"doc_id is not null and n_shingles > 0 and 100 * shared >= {percent} * n_shingles").select("doc_id").distinct()
+    counted = written(count_lone(docs, words, percent), "lone")
+    alive = counted.filter(f"doc_id is not null and n_shingles > 0 and 100 * lone <= {100 - percent} * n_shingles").select("doc_id").distinct()
     sets = written(_sets(docs.join(alive.hint("merge"), "doc_id", "left_semi"), words), "sets", folders)
     known = sets.select("doc_id", "digest", "n").filter("n > 0")
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")), "classes", folders)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -58,6 +59,38 @@ def test_cells_lose_no_link(spark, make, monkeypatch):
     assert got == brute(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("fragment", [300, 2000, 12 << 20])
+def test_first_cut_counts_shingles_of_no_other_document(spark, make, monkeypatch, fragment):
+    """At 50 the cut takes the whole order, so its counts are the true ones; at 85 they are at most that."""
+    monkeypatch.setattr(ngram_join, "FRAGMENT", fragment)
+    monkeypatch.setattr(ngram_join, "TEXT", 700)
+    texts = corpus(5)
+    sets = [shingles(t) for t in texts]
+    held = Counter(x for s in sets for x in s)
+    want = {i: (len(s), sum(held[x] == 1 for x in s)) for i, s in enumerate(sets)}
+    docs = make(texts).repartition(4)
+    count = lambda percent: {r["doc_id"]: (r["n_shingles"], r["lone"]) for r in ngram_join.count_lone(docs, 4, percent).collect()}
+    assert count(50) == want
+    part = count(85)
+    assert {i: n for i, (n, _) in part.items()} == {i: n for i, (n, _) in want.items()}
+    assert all(lone <= want[i][1] for i, (_, lone) in part.items())
+    assert 0.25 < sum(x for _, x in part.values()) / sum(x for _, x in want.values()) < 0.5
+
+
+def test_rows_of_the_first_cut_follow_the_text(spark, make, monkeypatch):
+    """Four times the text in four times the blocks: the rows of a block are its coarse fragments, those of a gathering the fine ones."""
+    monkeypatch.setattr(ngram_join, "TEXT", 700)
+    docs = ngram_join._prepare(make(corpus(5)).repartition(4))
+    side = 5
+    coarse = ngram_join._coarse(docs, 4, 85, side, 6)
+    blocks = coarse.select("block").distinct().count()
+    assert blocks > 20 and coarse.count() <= blocks * (side + 1)
+    fine = coarse.filter("fragment >= 0").groupBy("fragment", "gather").applyInArrow(ngram_join._finer(side), ngram_join._CUT)
+    assert 0 < fine.count() <= 6 * side * side
+    size = lambda x: x.filter("fragment >= 0").agg(F.sum(F.octet_length("low"))).first()[0]
+    assert size(fine) == size(coarse)
+
+
 def test_links_beside_hubs_are_found(spark, make, monkeypatch):
     """Chains: each text is near the next only, so hubs alone do not connect them."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)

@@ -1,7 +1,10 @@
-"""Text predicates and transforms as column expressions. Patterns keep to what both regex dialects read alike."""
+"""Text predicates and transforms as column expressions. Patterns keep to what both regex dialects read alike or go through
+``ascii_reading``."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +41,37 @@ STOPWORDS = (
 CONTEXT = 50
 
 
+def ascii_reading(pattern: str) -> str:
+    r"""``pattern`` for Spark as SQL reads it: words at ``\b`` are ASCII letters, digits and underscores, ``\s`` is no vertical tab, and
+    with ``(?i)`` the long s and the Kelvin sign are an s and a k. Spark's own ``\b`` holds letters of any script for words."""
+    folds = {"s": "ſ", "k": "K"} if pattern.startswith("(?i)") else {}
+    w = "[A-JL-RT-Za-jl-rt-z0-9]" if folds else "[A-Za-z0-9]"
+    one = rf"(?:\\d|{w}|\[(?:\d-\d|[A-F]-[A-F]|[a-f]-[a-f]{'' if folds else '|[A-Z]-[A-Z]|[a-z]-[a-z]'})+\])"
+    # one look is enough where what follows, or what comes before, is sure to be a character of a word
+    follows = re.compile(rf"\(?{one}(?![?*]|{{0)|\(\?:(?:{w}\w*[ |])*{w}\w*\)(?![?*]|{{0)")
+    precedes = re.compile(rf"(?:{one}(?:{{[1-9]\d*(?:,\d*)?}})?\)?|\(\?:(?:\w*{w}[ |])*\w*{w}\))\Z")
+    out, inside = [], False
+    for m in re.finditer(r"\(\?[a-z]*[:)]|\\.|[A-Za-z0-9]-[A-Za-z0-9]|.", pattern, re.S):
+        x = m[0]
+        if x == r"\b" and not inside:
+            if follows.match(pattern, m.end()):
+                x = r"(?<!\w)"
+            elif precedes.search(pattern[: m.start()]):
+                x = r"(?!\w)"
+            else:
+                x = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+        elif x == r"\s":
+            x = r"\t\n\f\r " if inside else r"[\t\n\f\r ]"
+        elif inside and len(x) == 3:
+            x += "".join(c for k, c in folds.items() if x[0].lower() <= k <= x[2].lower())
+        elif x.lower() in folds:
+            x = x + folds[x.lower()] if inside else f"[{x}{folds[x.lower()]}]"
+        elif x in "[]":
+            inside = x == "["
+        out.append(x)
+    return "".join(out)
+
+
 def words(text: Column, pattern: str) -> Column:
     """Distinct non-empty parts of the lower-cased text."""
     return F.array_distinct(F.filter(F.split(F.lower(text), pattern), lambda x: x != ""))
@@ -93,17 +127,18 @@ def source_stems(text: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     for kind, pattern in REDACTIONS.items():
-        text = F.regexp_replace(text, pattern, f"[REDACTED_{kind.upper()}]")
+        text = F.regexp_replace(text, ascii_reading(pattern), f"[REDACTED_{kind.upper()}]")
     return text
 
 
 def matches(text: Column, kind: str) -> Column:
-    return F.regexp_count(text, F.lit(PII[kind]))
+    return F.regexp_count(text, F.lit(ascii_reading(PII[kind])))
 
 
 def spans(text: Column, kind: str) -> Column:
     """Every match of a kind with its start, from 0, and the text around it, ``CONTEXT`` characters on either side."""
-    found, between = F.regexp_extract_all(text, F.lit(PII[kind]), F.lit(0)), F.split(text, PII[kind], -1)
+    pattern = ascii_reading(PII[kind])
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     length = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + F.length(y))
     start = lambda i: length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i))
     around = lambda v, a: F.substring(text, F.greatest(a - CONTEXT, F.lit(0)) + 1, F.least(a, F.lit(CONTEXT)) + F.length(v) + CONTEXT)

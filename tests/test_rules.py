@@ -34,6 +34,23 @@ def test_personal_data(spark):
     assert redacted == "[REDACTED_DOB], [REDACTED_MRN], [REDACTED_ADDRESS], [REDACTED_SSN], [REDACTED_EMAIL]"
 
 
+def test_personal_data_beside_letters_of_other_scripts(spark):
+    """As SQL reads the patterns: words are ASCII, a vertical tab is no space, the long s and the Kelvin sign are s and k."""
+    import duckdb
+
+    texts = ["214 geieein. Stää zu", "202 des. Chtetz berpf er stß", "é123-45-6789ß", "ü555-123-4567ö und 5551234567é", "ña@b.coß", "äMRN: 123456", "MRN\x0b123456", "12 Long\x0bOak Street", "12 Long Oak \u017ft", "12 Oa\u212a Street"]
+    texts += ["dob\x0b1/2/1980", "éborn on 1/2/1980", "patient id \u017f\u212aab1", "mrn é1234", "１２３-45-6789", "e\u0301 12 Oak Stu\u0301", "ID 999999é", "é10.0.0.1é", "ßAA:BB:CC:DD:EE:FFß", "DL\x0b1234567", "555\x0b123 4567", "4111 1111 1111 1111é", None, ""]
+    sql = "x"
+    for kind, pattern in t.REDACTIONS.items():
+        sql = f"regexp_replace({sql}, '{pattern}', '[REDACTED_{kind.upper()}]', 'g')"
+    counts = ", ".join(f"len(regexp_extract_all(x, '{p}'))" for p in t.PII.values())
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select(t.redacted(F.col("x")), *[t.matches(F.col("x"), k) for k in t.PII], *[F.size(t.spans(F.col("x"), k)) for k in t.PII]).collect()
+    for x, r in zip(texts, got):
+        want = duckdb.execute(f"select {sql}, {counts} from (select cast(? as varchar) as x)", [x]).fetchone()
+        assert (x, *r[: len(want)]) == (x, *want)
+        assert x is None or r[len(want) :] == want[1:]
+
+
 def test_head_and_tail_and_slug(spark):
     text = "a" * 1000 + "b" * 1001
     assert one(spark, t.head_and_tail(F.col("x")), x=text) == "a" * 800 + "\n...[truncated]...\n" + "b" * 800

@@ -177,19 +177,19 @@ _TOP = """with e as (select vec_id, list_transform(embedding, lambda x: x::doubl
 
 QUERIES = {
     "f01_evidence_overlap": (
-        lambda s, d: containment.evidence_overlap(*_spans(s, d)),
+        lambda s, d: containment.overlap_of_all(*_spans(s, d)),
         f"""with {_claims(_tokens('text', _EV), _tokens('text', _EV))}, n as (select case_id, item_id, len(q) as q, {_common('q', 's')} as n from k)
-            select case_id, item_id, round(n / q, 6) as overlap from n where 10 * n >= 8 * q and q > 0""",
+            select case_id, item_id, round(n / q, 6) as overlap, round(n / q, 6) >= 0.8 as valid from n where n > 0""",
     ),
     "f02_containment": (
-        lambda s, d: containment.containment(*_spans(s, d)),
+        lambda s, d: containment.containment_of_all(*_spans(s, d)),
         f"""with {_claims(_WORDS, _WORDS)}, n as (select case_id, item_id, least(len(q), len(s)) as m, {_common('q', 's')} as n from k)
-            select case_id, item_id, round(n / m, 6) as containment from n where 10 * n >= 6 * m and m > 0""",
+            select case_id, item_id, round(n / m, 6) as containment from n where n > 0""",
     ),
     "g03_source_grounding": (
-        lambda s, d: containment.source_grounding(*_spans(s, d)),
+        lambda s, d: containment.grounding_of_all(*_spans(s, d)),
         f"""with {_claims(f"list_distinct(list_transform({_tokens('text', '[^a-z0-9]+')}, lambda w: {_stem('w')}))", _SALIENT)}, n as (select case_id, item_id, len(q) as salient, len(q) - {_common('q', 's')} as missing from k)
-            select case_id, item_id, salient, missing, missing = 0 as disproved from n where missing = 0 and salient > 0""",
+            select case_id, item_id, salient, missing, missing = 0 as disproved from n where missing < salient""",
     ),
     "g04_evidence_presence": (
         lambda s, d: containment.evidence_presence(*_spans(s, d)),

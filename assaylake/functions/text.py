@@ -84,7 +84,7 @@ def overlap_ratio(quote: Column, text: Column) -> Column:
 
 
 def containment_tokens(text: Column) -> Column:
-    return words(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " "), " +")
+    return words(text, "[^a-z0-9]+")
 
 
 def containment(a: Column, b: Column) -> Column:

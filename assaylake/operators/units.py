@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.functions.stats import precision_recall
+from assaylake.shared import Scratch
 
 
 def unit_edges(codes: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -22,7 +23,10 @@ def unit_edges(codes: DataFrame, threshold: float = 0.6) -> DataFrame:
 
 
 def finding_units(codes: DataFrame, max_codes: int, threshold: float = 0.6) -> DataFrame:
-    """case_id, code, unit: the smallest code that is reachable within the case. Labels spread once for each code at most."""
+    """case_id, code, unit: the smallest code that is reachable within the case. Labels spread once for each code at most.
+
+    ``codes`` is written once, as each side of the edges and the rows read it."""
+    codes = Scratch(codes.sparkSession, "codes").written(codes)
     edges = unit_edges(codes, threshold)
     both = edges.unionByName(edges.select("case_id", F.col("b").alias("a"), F.col("a").alias("b")))
     # the codes of a case are few: reach is grown on one row a case, without rounds of shuffles
@@ -38,7 +42,11 @@ def finding_units(codes: DataFrame, max_codes: int, threshold: float = 0.6) -> D
 
 
 def unit_scores(units: DataFrame, gold: DataFrame, families: DataFrame) -> DataFrame:
-    """A unit is right if it holds a gold code or one of a gold code's family; recall is over gold codes."""
+    """A unit is right if it holds a gold code or one of a gold code's family; recall is over gold codes.
+
+    ``units`` and ``gold`` are written once, as the counts read them several times."""
+    scratch = Scratch(units.sparkSession, "units")
+    units, gold = scratch.written(units), scratch.written(gold.select("case_id", "code"))
     named = gold.join(families, "code", "left").select("case_id", F.col("code").alias("gold_code"), "family")
     closure = named.filter("family <> ''").join(families.withColumnRenamed("code", "member"), "family").select("case_id", F.col("member").alias("code")).unionByName(named.select("case_id", F.col("gold_code").alias("code"))).distinct()
     hit = units.join(closure, ["case_id", "code"], "left_semi").select("case_id", "unit").distinct().withColumn("hit", F.lit(True))

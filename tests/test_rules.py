@@ -177,3 +177,21 @@ def test_uploads(spark):
     for r in got:
         by.setdefault((r["id"], r["kind"]), []).append(None if r["record"] is None else r["record"]["x"])
     assert by == {(1, "json"): ["1", "2"], (2, "jsonl"): ["1", "2", None], (3, "csv"): ["1", "3"], (4, "json"): ["9"], (5, "json"): ["7"]}
+
+
+def test_unit_scores_derive_the_codes_once(spark, tmp_path):
+    """Codes and units are read several times; what derives them runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    schema = "case_id long, code string, family string, tokens array<string>"
+    rows = [(1, "a", "x", ["p", "q"]), (1, "b", "x", ["p", "q"]), (1, "c", "", ["p"]), (2, "a", "x", None)]
+    codes = spark.createDataFrame(rows, schema).mapInArrow(noted, schema)
+    families = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "")], "code string, family string")
+    gold = spark.createDataFrame([(1, "a"), (2, "c")], "case_id long, code string")
+    r = units.unit_scores(units.finding_units(codes, 3), gold, families).first()
+    assert (r["units"], r["tp"], r["gold"], r["caught"]) == (3, 1, 2, 1) and seen.value == len(rows)

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.shared import Scratch
+
+#: Names of a case that go with each of its quotes.
+MANY = 1000
 #: A floor takes cases and parameters and gives case_id and ``conforms``, null where it cannot tell.
 Floor = Callable[[DataFrame, dict], DataFrame]
 _FLOORS: dict[str, Floor] = {}
@@ -149,12 +153,19 @@ def last_evidence(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 def linked_chunks(spans: DataFrame, matches: DataFrame) -> DataFrame:
     """Of each span the chunk of the first match of its case whose code (dots aside) or label stands in the quote as a whole token of three characters or more.
 
-    A token is a run of letters, digits and underscores, so the join is on tokens; no span meets every match."""
-    tokens = lambda c: F.array_distinct(F.split(c, "[^A-Za-z0-9_]+"))
+    A token is a run of letters, digits and underscores. A quote goes with the names of its case, which are MANY at most, and only
+    the tokens that are names go on. Where a case has more names the join is on all tokens; no span meets every match."""
+    parts = {"label": lambda c: F.split(c, r"\W+"), "code": lambda c: F.split(F.replace(c, F.lit("."), F.lit("")), r"\W+")}
     q = spans.select("case_id", "span_id", "quote")
-    plain = q.select("case_id", "span_id", F.explode(tokens(F.col("quote"))).alias("token"), F.lit("label").alias("kind"))
-    coded = q.select("case_id", "span_id", F.explode(tokens(F.replace("quote", F.lit("."), F.lit("")))).alias("token"), F.lit("code").alias("kind"))
     named = [matches.select("case_id", F.col(c).alias("token"), F.lit(c).alias("kind"), F.struct("place", F.lit(i).alias("i")).alias("rank"), F.concat_ws(":", "namespace", c).alias("chunk")).filter(f"length({c}) >= 3") for i, c in enumerate(("code", "label"))]
-    hit = plain.unionByName(coded).join(named[0].unionByName(named[1]), ["case_id", "token", "kind"])
+    scratch = Scratch(spans.sparkSession, "names")
+    names = scratch.written(named[0].unionByName(named[1]))
+    count = names.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    few = names.join(count.filter(F.col("n") <= MANY), "case_id", "left_semi").groupBy("case_id").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("token"))).alias(k) for k in parts])
+    some = q.join(few, "case_id").select("case_id", "span_id", *[F.array_intersect(tokens(F.col("quote")), F.col(k)).alias(k) for k, tokens in parts.items()])
+    much = q.join(count.filter(F.col("n") > MANY), "case_id", "left_semi").select("case_id", "span_id", *[F.array_distinct(tokens(F.col("quote"))).alias(k) for k, tokens in parts.items()])
+    # written, as a generator of what is not written yet cuts each quote several times
+    each = scratch.written(some.unionByName(much)).select("case_id", "span_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("tokens")) for k in parts])).alias("x"))
+    hit = each.select("case_id", "span_id", "x.kind", F.explode("x.tokens").alias("token")).join(names, ["case_id", "token", "kind"])
     best = hit.groupBy("span_id").agg(F.min_by("chunk", "rank").alias("chunk_id"))
     return q.select("span_id").join(best, "span_id", "left")

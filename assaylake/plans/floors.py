@@ -9,6 +9,7 @@ from assaylake.operators import floors as op
 from assaylake.operators import hierarchy
 from assaylake.plans.consensus import _DISPROVED, _disproved
 from assaylake.plans.text import _ISA, _isa
+from assaylake.shared import Scratch, spread
 from assaylake.sources import relations as r
 from assaylake.sources import stores
 from assaylake.sources.relations import _u, sql
@@ -118,12 +119,12 @@ def _evidence(s, d):
 
 
 def _quotes(s, d):
-    b = r.table(s, d, "documents").select(F.col("doc_id").alias("case_id"), "text")
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    w = lambda k: F.get(words, F.lit(k))
+    b = spread(r.table(s, d, "documents").select(F.col("doc_id").alias("case_id"), "text"))
+    words = F.filter(F.split("text", "[^A-Za-z0-9_]+", 43), lambda x: x != "")  # 41 words are among so many parts
+    heads = Scratch(s, "heads").written(b.select("case_id", words.alias("w")).select("case_id", *[F.get("w", F.lit(k)).alias(f"w{k}") for k in (0, 3, 40)]))
     match = lambda i, code, label: F.struct(F.lit(i).alias("place"), F.lit("kb").alias("namespace"), code.alias("code"), label.alias("label"))
     spans = b.select("case_id", F.col("case_id").alias("span_id"), F.when(F.col("case_id") % 3 > 0, F.col("text")).otherwise("code E11.9 stands here").alias("quote"))
-    matches = b.select("case_id", F.explode(F.array(match(0, F.lit("zz"), F.lit("Nowhere_To_Be_Found")), match(1, F.lit("E119"), w(40)), match(2, w(3), w(0)))).alias("x")).select("case_id", "x.*")
+    matches = heads.select("case_id", F.explode(F.array(match(0, F.lit("zz"), F.lit("Nowhere_To_Be_Found")), match(1, F.lit("E119"), F.col("w40")), match(2, F.col("w3"), F.col("w0")))).alias("x")).select("case_id", "x.*")
     return op.linked_chunks(spans, matches)
 
 

@@ -195,3 +195,12 @@ def test_unit_scores_derive_the_codes_once(spark, tmp_path):
     gold = spark.createDataFrame([(1, "a"), (2, "c")], "case_id long, code string")
     r = units.unit_scores(units.finding_units(codes, 3), gold, families).first()
     assert (r["units"], r["tp"], r["gold"], r["caught"]) == (3, 1, 2, 1) and seen.value == len(rows)
+
+
+def test_linked_chunks_of_cases_with_few_and_many_names(spark, monkeypatch):
+    spans = spark.createDataFrame([(1, "s", "the Plan of E11.9 été"), (1, "t", None), (2, "u", "Plan B12"), (3, "v", "Plan")], "case_id long, span_id string, quote string")
+    matches = spark.createDataFrame([(1, 0, "kb", "zz", "Nowhere"), (1, 1, "kb", "E119", "the"), (2, 0, "kb", "Plan", None), (2, 1, "kb", "B12", "Plan")], "case_id long, place int, namespace string, code string, label string")
+    for many in (1000, 2, 0):
+        monkeypatch.setattr(floors, "MANY", many)
+        got = {r["span_id"]: r["chunk_id"] for r in floors.linked_chunks(spans, matches).collect()}
+        assert got == {"s": "kb:E119", "t": None, "u": "kb:Plan", "v": None}

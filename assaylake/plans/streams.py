@@ -38,8 +38,8 @@ def sessions(s, d):
     return views.settled(views.sessions(_events(s, d)), _folder(s)).select(_text("start").alias("start"), "user_id", "n")
 
 
-def _verdicts(rows):
-    return rows.select(F.col("user_id").alias("case_key"), F.col("event_id").alias("seq"), F.when(F.col("value") > 60, "BLOCK").when(F.col("value") > 30, "WARN").otherwise("PASS").alias("verdict"), F.concat(F.lit("sig"), F.floor(F.dayofmonth("ts") / 7).cast("string")).alias("signature"))
+def _verdicts(rows, *more):
+    return rows.select(F.col("user_id").alias("case_key"), F.col("event_id").alias("seq"), F.when(F.col("value") > 60, "BLOCK").when(F.col("value") > 30, "WARN").otherwise("PASS").alias("verdict"), F.concat(F.lit("sig"), F.floor(F.dayofmonth("ts") / 7).cast("string")).alias("signature"), *more)
 
 
 def signature_breaks(s, d):
@@ -86,15 +86,14 @@ def late_rows(s, d):
 
 def _twice(s, d):
     """The log in five arrivals, each of which brings every row twice."""
-    log = _verdicts(r.table(s, d, "events")).join(r.table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts")), "seq")
+    log = _verdicts(r.table(s, d, "events"), F.col("ts").cast("timestamp").alias("ts"))
     weeks = [log.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 7), F.lit(4)) == k) for k in range(5)]
     return [x.unionByName(x) for x in weeks]
 
 
 def state_breaks(s, d):
     with replay.conf(s, spark__sql__streaming__stateStore__providerClass=replay.ROCKS):
-        run = replay.triggered(_twice(s, d), lambda log: replay.signature_breaks(replay.once(log, "seq", "2 days")), _folder(s))
-    return run.appended
+        return replay.breaks_once(_twice(s, d), _folder(s))
 
 
 def upserted_once(s, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,13 +106,16 @@ def appended(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/result")
 
 
-def breaks(log: DataFrame, folder: str) -> DataFrame:
-    """Rows of a stream (case_key, seq, signature) whose signature differs from the one before, with that one (null at the first).
+BREAKS = "case_key long, seq long, before string, signature string"
+
+
+def break_step(folder: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: compares a batch (case_key, seq, signature) with the last row of each key, which it then replaces.
 
     The last row of each key is a table of its own, one version a batch; a batch is compared in a window that spills, so
-    no key's rows have to fit in memory. A batch that is run again reads the version before it and writes the same places.
+    no key's rows have to fit in memory. A row that is no newer than its key's last one is no break. A batch that is run
+    again reads the version before it and writes the same places.
     """
-    schema = "case_key long, seq long, before string, signature string"
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -118,10 +123,23 @@ def breaks(log: DataFrame, folder: str) -> DataFrame:
         if number:
             known = spark.read.parquet(f"{folder}/last/batch={number - 1}")
             rows = rows.unionByName(known.select("case_key", "seq", "signature", F.lit(False).alias("new")))
-        rows = rows.withColumn("before", F.expr("lag(signature) over (partition by case_key order by seq)"))
-        rows.filter("new and not signature <=> before").select("case_key", "seq", "before", "signature").write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
-        last = rows.groupBy("case_key").agg(F.max_by(F.struct("seq", "signature"), "seq").alias("x")).select("case_key", "x.*")
+        order = "partition by case_key order by seq, new desc"  # at equal seq what is known comes last, where the next row sees it
+        rows = rows.withColumn("before", F.expr(f"lag(signature) over ({order})"))
+        rows = rows.withColumn("seen", F.expr(f"max(case when not new then seq end) over ({order} rows between unbounded preceding and unbounded following)"))
+        rows.persist()  # else the stream's own state is read twice
+        found = rows.filter("new and not signature <=> before and (seen is null or seq > seen)")
+        found.select("case_key", "seq", "before", "signature").write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+        last = rows.groupBy("case_key").agg(F.max_by(F.struct("seq", "signature"), F.struct("seq", ~F.col("new"))).alias("x")).select("case_key", "x.*")
         last.write.mode("overwrite").parquet(f"{folder}/last/batch={number}")
+        rows.unpersist()
+
+    return step
 
-    log.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return log.sparkSession.read.schema(schema).parquet(f"{folder}/result/batch=*")
+
+def breaks(log: DataFrame, folder: str) -> DataFrame:
+    """Rows of a stream (case_key, seq, signature) whose signature differs from the one before, with that one (null at the first).
+
+    Runs over all that has arrived since the run before with the same ``folder`` (``break_step``) and returns the rows of all runs.
+    """
+    log.writeStream.foreachBatch(break_step(folder)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return log.sparkSession.read.schema(BREAKS).parquet(f"{folder}/result/batch=*")

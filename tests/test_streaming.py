@@ -103,3 +103,26 @@ def test_many_files_lose_no_old_events_and_nothing_stays_in_memory(spark, tmp_pa
     assert streams.sessions(spark, str(tmp_path)).count() == 70
     assert sum(r["n"] for r in streams.tumbling(spark, str(tmp_path)).collect()) == 70
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_breaks_by_trigger_read_repeats_and_older_rows_once(spark, tmp_path, rocks):
+    rows = [(1, q, x) for q, x in enumerate("aabba")] + [(2, 1000 + q, "c") for q in range(3)]
+    arrivals = [log(spark, rows[:2] + rows[5:7]), log(spark, rows[:4] + rows[5:]), log(spark, rows[4:5] + rows[2:3])]
+    got = sorted(tuple(r) for r in replay.breaks_once(arrivals, f"{tmp_path}/a", "1 day").collect())
+    assert got == [(1, 0, None, "a"), (1, 2, "a", "b"), (1, 4, "b", "a"), (2, 1000, None, "c")]
+    # 3 comes after 5 with another signature: it is no break, and 6 is compared with 5
+    stale = [log(spark, [(1, 5, "a")]), log(spark, [(1, 3, "b"), (1, 6, "a"), (1, 7, "b")])]
+    for x in stale:
+        x.write.mode("append").parquet(f"{tmp_path}/s/in")
+        out = views.breaks(spark.readStream.schema(x.schema).parquet(f"{tmp_path}/s/in"), f"{tmp_path}/s/out")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 5, None, "a"), (1, 7, "a", "b")]
+
+
+def test_the_breaks_query_starts_no_python_worker(spark, monkeypatch):
+    from assaylake.plans import streams
+
+    def used(*_):
+        raise AssertionError("rows went through Python")
+
+    monkeypatch.setattr(replay, "signature_breaks", used)
+    assert streams.state_breaks(spark, "/root/testdata/sf0.001").count() > 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,51 @@ class Scratch:
         self.folders.clear()
 
 
+@contextmanager
+def conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings that hold within the block."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Bucketed:
+    """A table that grows in buckets by ``key``, as many as shuffle partitions; joins and groups by the key shuffle none of its rows.
+
+    Within the block it has a name in the catalog; its files are in the shared folder and stay.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, key: str):
+        self.spark, self.key, self.n = spark, key, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path, self.table = shared_folder(spark, name), f"{name}_{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Bucketed:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"drop table if exists {self.table}")  # not its files, as their place is given
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.n, self.key)
+
+    def add(self, df: DataFrame) -> None:
+        """Rows that were ``dealt``: so each bucket is a file an addition."""
+        self.schema = df.schema
+        df.write.bucketBy(self.n, self.key).option("path", self.path).mode("append").format("parquet").saveAsTable(self.table)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def result(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over the shuffle partitions where it comes in fewer, as a table of one row group does; else as it is."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

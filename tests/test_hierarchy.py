@@ -53,3 +53,20 @@ def test_cycles_and_several_parents(spark):
 def test_defined_cases(spark):
     assert closure(spark, [("a", "b"), ("a", "b"), (None, "b"), ("b", None), (None, None)]) == [("a", "b", 1)]
     assert closure(spark, []) == []
+
+
+def test_known_pairs_are_joined_where_they_lie(spark):
+    from assaylake.shared import Bucketed, conf
+
+    with conf(spark, spark__sql__requireAllClusterKeysForCoPartition="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        with Bucketed(spark, "pairs", "child") as known:
+            for k in (1, 2):  # several additions are one set of buckets
+                known.add(known.dealt(spark.createDataFrame([(f"x{i}", f"y{i}", k) for i in range(9)], "child string, ancestor string, distance int")))
+            far = known.dealt(spark.createDataFrame([("x1", "y1"), ("x1", "z")], "child string, ancestor string"))
+            new = far.join(known.rows(), ["child", "ancestor"], "left_anti")
+            assert [tuple(r) for r in new.collect()] == [("x1", "z")]
+            assert new._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1  # of far alone
+            assert known.result().count() == 18
+        assert not spark.catalog.tableExists(known.table)
+    closure(spark, [("a", "b"), ("b", "c")])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("closure_")]
